@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
+from siltstone.llm import split
 from siltstone.plans.tables import table
 
-QUERIES = {}
-SQL = {}
+
+def p5_found(spark, d):
+    return split.forced_cuts(table(spark, d, "chunks"))
+
+
+def p5_pieces(spark, d):
+    return split.split(table(spark, d, "chunks"))
+
+
+P5_SQL = r"""
+WITH big AS (SELECT chunk_id, coalesce(start_line, 1) AS first, text FROM chunks WHERE length(text) > 800),
+lines AS (
+  SELECT chunk_id, first, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+         len(string_split(text, chr(10))) AS n FROM big),
+placed AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = '' AS blank,
+         coalesce(sum(length(raw) + 1) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM lines),
+ended AS (SELECT *, a + length(raw) - CASE WHEN raw LIKE '%' || chr(13) AND i < n THEN 1 ELSE 0 END AS z FROM placed),
+grouped AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY i) AS g FROM ended),
+blocks AS (
+  SELECT chunk_id, any_value(first) + min(i) - 1 AS line_no, min(a) AS a, max(z) AS z
+  FROM grouped WHERE NOT blank GROUP BY chunk_id, g),
+pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW w AS (PARTITION BY chunk_id ORDER BY a))
+SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
+"""
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+SQL = {"p5_found": P5_SQL}
