@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import packing, split
+from siltstone.llm import leaks, packing, split
 from siltstone.plans.tables import table
 
 
@@ -26,6 +26,10 @@ def p7_unused(spark, d):
     return packing.fill_report(packing.pack(table(spark, d, "documents")))
 
 
+def p8_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 P5_SQL = r"""
 WITH big AS (SELECT chunk_id, coalesce(start_line, 1) AS first, text FROM chunks WHERE length(text) > 800),
 lines AS (
@@ -44,5 +48,5 @@ pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW
 SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
 """
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found}
 SQL = {"p5_found": P5_SQL}
