@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import leaks, neardup, packing, split, vectorjoin
+from siltstone.llm import leaks, neardup, packing, split, stuffing, vectorjoin
 from siltstone.plans.tables import table
 
 
@@ -46,6 +46,10 @@ def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark, d):
+    return stuffing.found(table(spark, d, "documents"))
+
+
 P5_SQL = r"""
 WITH big AS (SELECT chunk_id, coalesce(start_line, 1) AS first, text FROM chunks WHERE length(text) > 800),
 lines AS (
@@ -64,5 +68,5 @@ pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW
 SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
 """
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
