@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from siltstone.llm import leaks, neardup, packing, split, stuffing, vectorjoin
+from siltstone.llm import handwritten, leaks, neardup, packing, split, stuffing, vectorjoin
 from siltstone.plans.tables import table
 
 
+def p1_found(spark, d):
+    return handwritten.found(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
+def p1_judged(spark, d):
+    return handwritten.judged(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
 def p3_found(spark, d):
     return vectorjoin.pairs(table(spark, d, "vectors"))
 
@@ -68,5 +76,5 @@ pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW
 SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
 """
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
