@@ -1,16 +1,16 @@
 """Near-duplicate records, by BK-trees over the Hamming distance of min-hash codes.
 
-A record is the set of its runs of three successive words. ``BANDS`` x ``ROWS`` min-hashes of the
-set give it one shard key for each band and a 64-bit code (one bit of each of the first 64
-min-hashes). Of two sets of similarity s, the codes differ in a binomial number of bits around
-64 (1 - s) / 2, and at least one shard is common but for a share (1 - s^3)^24 (0.3 % at 0.6,
-0.02 % at 0.7).
+A record is the set of its runs of three successive words. ``BANDS`` x ``ROWS`` of its min-hashes
+give it one shard key for each band, and one bit of each of ``BITS`` min-hashes its code. Of two
+sets of similarity s, the codes differ in a binomial number of bits around BITS (1 - s) / 2, and
+at least one shard is common but for a share (1 - s^3)^24 (0.3 % at 0.6, 0.02 % at 0.7).
 
-One tree over everything would not prune: unlike records are 32 bits apart and the radius is 26.
+One tree over everything would not prune: unlike records are 64 bits apart and the radius is 41.
 So every shard has a BK-tree of its own: children are keyed by their integer distance to the
 parent, and a search follows only the edges within the radius. Trees hold at most ``SHARD``
-records; a larger shard is split into several trees, each searched by the records of the ones
-after it. What the trees find is checked on the sets themselves.
+records. The rows of a larger shard come back from the first pass untouched; a second pass splits
+them among several trees, each searched by the records of the ones after it. What the trees find
+is checked on the sets themselves.
 
 Records with the same set are one class throughout and only expanded at the end, where the result
 has to name every pair.
@@ -29,14 +29,15 @@ from siltstone.plans.tables import stage
 
 THRESHOLD = 0.6
 BANDS, ROWS = 24, 3
-RADIUS = 26
+BITS, RADIUS = 128, 41
 SHARD = 4096
 LEAST_WORDS = 20
+FEW = 500_000
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, BITS, dtype=np.uint64) * _U(2) + _U(1)
+_B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -75,13 +76,13 @@ class Shingles:
 
 
 def signatures(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(which texts, class, shard keys, code)`` of the texts that have shingles."""
+    """``(which texts, class, shard keys, code in words of 64 bits)`` of the texts that have shingles."""
     which = np.flatnonzero(np.diff(s.first))
     if not len(which):
-        return which, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64)
+        return which, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((BITS // 64, 0), np.int64)
     starts = s.first[which]
-    least = np.empty((BANDS * ROWS, len(which)), np.uint64)
-    for i in range(BANDS * ROWS):
+    least = np.empty((BITS, len(which)), np.uint64)
+    for i in range(BITS):
         least[i] = np.minimum.reduceat(s.hash * _A[i] + _B[i], starts)
     one = _mix(s.hash)
     whole = _mix(np.add.reduceat(one, starts)) ^ np.bitwise_xor.reduceat(one * _M2, starts)
@@ -91,13 +92,13 @@ def signatures(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         for r in range(ROWS):
             k = _mix(k ^ least[b * ROWS + r])
         keys[:, b] = k
-    bits = (_mix(least[:64]) & _U(1)) << np.arange(64, dtype=np.uint64)[:, None]
-    code = np.bitwise_or.reduce(bits, axis=0)
+    bits = (_mix(least) & _U(1)) << (np.arange(BITS, dtype=np.uint64) % _U(64))[:, None]
+    code = np.bitwise_or.reduce(bits.reshape(BITS // 64, 64, -1), axis=1)
     return which, whole.view(np.int64), keys.view(np.int64), code.view(np.int64)
 
 
 def described(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, file_id, class, code, shards`` of the chunks of at least ``LEAST_WORDS`` words."""
+    """``chunk_id, file_id, class, code1, code2, shards`` of the chunks of at least ``LEAST_WORDS`` words."""
 
     def describe(batches):
         known: dict[str, int] = {}
@@ -105,10 +106,10 @@ def described(chunks: DataFrame) -> DataFrame:
             which, whole, keys, code = signatures(Shingles(b.column("text").to_pylist(), known))
             take = b.select(["chunk_id", "file_id"]).take(pa.array(which))
             shards = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(whole), pa.array(code), shards], ["chunk_id", "file_id", "class", "code", "shards"])
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(whole), pa.array(code[0]), pa.array(code[1]), shards], ["chunk_id", "file_id", "class", "code1", "code2", "shards"])
 
     rows = chunks.where(F.length("text") >= 2 * LEAST_WORDS - 1).select("chunk_id", "file_id", "text")
-    return rows.mapInArrow(describe, "chunk_id long, file_id long, class long, code long, shards array<long>")
+    return rows.mapInArrow(describe, "chunk_id long, file_id long, class long, code1 long, code2 long, shards array<long>")
 
 
 class Tree:
@@ -152,50 +153,103 @@ class Tree:
         return found
 
 
-def _search(batches, radius: int):
-    """Rows sorted by shard, tree and role (members first) -> candidate pairs. Holds one tree at a time."""
+def _codes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("code1").to_numpy().view(np.uint64), b.column("code2").to_numpy().view(np.uint64)
+
+
+def _ordered(left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.array(left, np.int64), np.array(right, np.int64)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _first_pass(batches, radius: int, shard_size: int):
+    """Rows sorted by shard -> pairs (``shard`` null), and untouched the rows of shards larger than a tree.
+
+    Holds the rows of one shard, up to the size of a tree, beside a batch.
+    """
+    names = ["shard", "a", "b", "code1", "code2"]
+    kept, over = None, None  # the rows of the last shard so far; the shard that was found too large
+
+    def pairs_of(shard, ids, c1, c2):
+        left, right, large = [], [], np.zeros(len(shard), bool)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        size = np.diff(cut)
+        for lo, n in zip(cut[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            if n > shard_size:
+                large[lo : lo + n] = True
+                continue
+            tree, own = Tree(), ids[lo : lo + n].tolist()
+            for i, x, y in zip(own, c1[lo : lo + n].tolist(), c2[lo : lo + n].tolist(), strict=True):
+                code = x << 64 | y
+                near = tree.within(code, radius)
+                left += [i] * len(near)
+                right += near
+                tree.insert(code, i)
+        a, b = _ordered(left, right)
+        none = np.zeros(len(a), np.int64)
+        k = int(large.sum())
+        shards = pa.array(np.r_[none, shard[large]], mask=np.r_[np.ones(len(a), bool), np.zeros(k, bool)])
+        return pa.RecordBatch.from_arrays([shards, *(pa.array(np.r_[p, q.view(np.int64)]) for p, q in ((a, ids[large]), (b, ids[large]), (none, c1[large]), (none, c2[large])))], names)
+
+    for batch in batches:
+        now = [batch.column("shard").to_numpy(), batch.column("id").to_numpy(), *_codes(batch)]
+        if not len(now[0]):
+            continue
+        if kept is not None:
+            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        shard = now[0]
+        at = int(np.searchsorted(shard, shard[-1]))  # rows of the last shard may go on in the next batch
+        kept, now = [x[at:] for x in now], [x[:at] for x in now]
+        if over is not None and len(now[0]) and now[0][0] == over:
+            end = int(np.searchsorted(now[0], over, "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(now[0][:end]), *(pa.array(x[:end].view(np.int64)) for x in (now[1], now[1], now[2], now[3]))], names)
+            now = [x[end:] for x in now]
+        if len(now[0]):
+            yield pairs_of(*now)
+        if over != kept[0][0]:
+            over = None
+        if over is not None or len(kept[0]) > shard_size:
+            over = kept[0][0]
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0]), *(pa.array(x.view(np.int64)) for x in (kept[1], kept[1], kept[2], kept[3]))], names)
+            kept = None
+    if kept is not None and len(kept[0]):
+        yield pairs_of(*kept)
+
+
+def _second_pass(batches, radius: int):
+    """Rows sorted by shard, tree and role (members first) -> pairs. Holds one tree at a time."""
     last, tree = None, Tree()
     for b in batches:
-        shard, part = b.column("shard").to_numpy(), b.column("tree").to_numpy()
-        n = len(shard)
-        if not n:
-            continue
-        new = np.r_[True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]
-        ends = np.r_[new[1:], True]
-        alone = new & ends
-        alone[[0, -1]] = False  # may continue in the batch before or after
-        at = np.flatnonzero(~alone)
-        keys = zip(shard[at].tolist(), part[at].tolist(), strict=True)
-        ids, codes = b.column("id").to_numpy()[at].tolist(), b.column("code").to_numpy().view(np.uint64)[at].tolist()
-        member = b.column("member").to_pylist()
-        member = [member[i] for i in at.tolist()]
         left, right = [], []
-        for key, i, code, own in zip(keys, ids, codes, member, strict=True):
+        c1, c2 = _codes(b)
+        for *key, i, x, y, own in zip(*(b.column(c).to_pylist() for c in ("shard", "tree", "id")), c1.tolist(), c2.tolist(), b.column("member").to_pylist(), strict=True):
             if key != last:
                 last, tree = key, Tree()
-            for j in tree.within(code, radius):
-                if i != j:
-                    left.append(i)
-                    right.append(j)
+            code = x << 64 | y
+            near = tree.within(code, radius)
+            left += [i] * len(near)
+            right += near
             if own:
                 tree.insert(code, i)
-        if left:
-            x, y = np.array(left, np.int64), np.array(right, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _ordered(left, right)], ["a", "b"])
 
 
 def candidates(classes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
     """Pairs ``a < b`` of class ids whose codes lie within ``radius`` in a common shard."""
-    rows = classes.select(F.col("class").alias("id"), "code", F.explode("shards").alias("shard"))
-    # only shards larger than a tree: at most rows / shard_size of them
-    large = rows.groupBy("shard").count().where(F.col("count") > shard_size).select(F.col("shard").alias("_shard"), F.ceil(F.col("count") / shard_size).cast("int").alias("trees"))
-    rows = rows.join(large, F.col("shard") == F.col("_shard"), "left")
-    trees = F.coalesce("trees", F.lit(1))
-    home = F.pmod(F.xxhash64("id"), trees.cast("long")).cast("int")
-    placed = rows.select("id", "code", "shard", home.alias("home"), F.explode(F.sequence(F.lit(0), home)).alias("tree"))
-    placed = placed.select("shard", "tree", (F.col("tree") == F.col("home")).alias("member"), "id", "code")
+    rows = classes.select(F.col("class").alias("id"), "code1", "code2", F.explode("shards").alias("shard"))
+    ordered = rows.repartition("shard").sortWithinPartitions("shard")
+    first = stage(ordered.mapInArrow(lambda it: _first_pass(it, radius, shard_size), "shard long, a long, b long, code1 long, code2 long"), "first-pass")
+    found = first.where("shard is null").select("a", "b")
+    large = first.where("shard is not null").select("shard", F.col("a").alias("id"), "code1", "code2")
+    if large.isEmpty():
+        return found.distinct()
+    trees = large.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_size).alias("trees"))
+    home = F.pmod(F.xxhash64("id"), F.col("trees")).cast("int")
+    placed = large.join(trees, "shard").select("shard", "id", "code1", "code2", home.alias("home"), F.explode(F.sequence(F.lit(0), home)).alias("tree"))
+    placed = placed.withColumn("member", F.col("tree") == F.col("home")).drop("home")
     ordered = placed.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("member"))
-    return ordered.mapInArrow(lambda it: _search(it, radius), "a long, b long").distinct()
+    more = ordered.mapInArrow(lambda it: _second_pass(it, radius), "a long, b long")
+    return found.unionByName(more).distinct()
 
 
 def sets_of(chunks: DataFrame) -> DataFrame:
@@ -216,11 +270,12 @@ def linked_classes(chunks: DataFrame, rows: DataFrame, threshold: float = THRESH
 
     ``rows`` is the staged result of :func:`described`.
     """
-    classes = rows.groupBy("class").agg(F.min("chunk_id").alias("chunk_id"), F.first("code").alias("code"), F.first("shards").alias("shards"))
+    classes = rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("code1", "code2", "shards")))
     pairs = stage(candidates(classes), "candidates")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    of = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("chunk_id").alias("chunk_id"))
-    sets = stage(sets_of(chunks.join(of.select("chunk_id"), "chunk_id", "left_semi")).join(of, "chunk_id").select("class", "s"), "sets")
+    of = stage(rows.select("class", "chunk_id").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("chunk_id").alias("chunk_id")), "wanted")
+    few = F.broadcast(of) if of.count() <= FEW else of  # at most 16 bytes a row
+    sets = stage(sets_of(chunks.select("chunk_id", "text").join(few.select("chunk_id"), "chunk_id", "left_semi")).join(few, "chunk_id").select("class", "s"), "sets")
     a = sets.select(F.col("class").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
