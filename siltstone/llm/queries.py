@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import handwritten, leaks, neardup, packing, split, stuffing, vectorjoin
+from siltstone.llm import handwritten, leaks, markup, neardup, packing, split, stuffing, vectorjoin
 from siltstone.plans.tables import table
 
 
@@ -38,6 +38,14 @@ def p5_pieces(spark, d):
     return split.split(table(spark, d, "chunks"))
 
 
+def p6_found(spark, d):
+    return markup.chunk_kinds(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
+def p6_clean(spark, d):
+    return markup.clean_chunks(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
 def p7_found(spark, d):
     return packing.oversized(table(spark, d, "documents"))
 
@@ -76,5 +84,5 @@ pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW
 SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
 """
 
-QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
