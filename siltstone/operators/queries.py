@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from siltstone.operators import incremental
-from siltstone.plans.tables import table
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from siltstone.functions import scalars
+from siltstone.functions.filters import Filter, allowed_chunks, languages, listed_paths, matching_files
+from siltstone.operators import change, chunking, fusion, incremental, keyword, vectors
+from siltstone.plans.tables import stage, table
+from siltstone.streaming import sessions
 
-def p2_found(spark, d):
-    """Paths to index. The ledger is empty: no run's arrivals were committed to it yet."""
-    done = spark.createDataFrame([], incremental.INTERVALS)
-    return incremental.paths_to_index(table(spark, d, "files"), table(spark, d, "listing"), done)
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- incremental processing
 
 
-P2_SQL = r"""
+@query(r"""
 WITH seen AS (
   SELECT regexp_replace(path, '/(?:\.?/)+', '/', 'g') AS path, seen_at, arrival_no, lower(hash) AS seen_hash
   FROM listing WHERE hash IS NOT NULL AND path IS NOT NULL),
@@ -20,7 +35,435 @@ newest AS (
   SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, arrival_no DESC) = 1)
 SELECT n.path FROM newest n LEFT JOIN files f ON f.path = n.path
 WHERE coalesce(f.hash, '') = '' OR (n.seen_at > f.indexed_at AND n.seen_hash <> lower(f.hash))
+""")
+def p2_found(spark, d):
+    """Paths to index. The ledger is empty: no run's arrivals were committed to it yet."""
+    done = spark.createDataFrame([], incremental.INTERVALS)
+    return incremental.paths_to_index(table(spark, d, "files"), table(spark, d, "listing"), done)
+
+
+@query(r"""
+WITH n AS (SELECT DISTINCT arrival_no AS n, arrival_no // 65536 AS span FROM listing),
+g AS (SELECT span, n, n - row_number() OVER (PARTITION BY span ORDER BY n) AS run FROM n)
+SELECT span, min(n) AS lo, max(n) AS hi FROM g GROUP BY span, run
+""")
+def p2_intervals(spark, d):
+    return incremental.islands(table(spark, d, "listing"), "arrival_no")
+
+
+# ---- store statistics, filters, change detection
+
+_NEWEST = r"""
+seen AS (SELECT regexp_replace(path, '/(?:\.?/)+', '/', 'g') AS path, seen_at, arrival_no, lower(hash) AS seen_hash FROM listing WHERE hash IS NOT NULL AND path IS NOT NULL),
+newest AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, arrival_no DESC) = 1)
 """
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": P2_SQL}
+
+@query("""
+SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) FROM files) AS bytes, (SELECT count(*) FROM chunks) AS chunks,
+       (SELECT count(*) FROM chunks c JOIN files f USING (file_id) WHERE f.hash <> '') AS durable_chunks
+""")
+def corpus_stats(spark, d):
+    return change.store_stats(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
+@query("SELECT path FROM files WHERE lower(path) GLOB '*/src/**' OR lower(path) GLOB '/srv/code/*-[0-3]/docs/?[!a-m]*'")
+def filter_path_glob(spark, d):
+    return matching_files(table(spark, d, "files"), Filter.of(paths=["src/**", "/srv/code/*-[0-3]/docs/?[^a-m]*"])).select("path")
+
+
+@query("SELECT path FROM files WHERE lower(path) GLOB '*/*.md' OR lower(path) GLOB '*/*.htm' OR lower(path) GLOB '*/*.html' OR lower(path) GLOB '*/*.rs'")
+def filter_ext_lang(spark, d):
+    return matching_files(table(spark, d, "files"), Filter.of(exts=[".MD"], langs=["HTML", "rust"])).select("path")
+
+
+@query("SELECT path FROM files WHERE lower(path) GLOB '*/docs/**' AND (lower(path) GLOB '*/*.md' OR lower(path) GLOB '*/*.markdown')")
+def filter_intersect(spark, d):
+    return matching_files(table(spark, d, "files"), Filter.of(paths=["docs/**"], langs=["markdown"])).select("path")
+
+
+@query("SELECT c.chunk_id FROM chunks c JOIN files f USING (file_id) WHERE lower(f.path) GLOB '*/*.py' OR lower(f.path) GLOB '*/*.pyi'")
+def filtered_chunk_ids(spark, d):
+    return allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(langs=["python"]))
+
+
+@query("SELECT count(*) AS files FROM files WHERE lower(path) GLOB '*/*.toml'")
+def matching_files_count(spark, d):
+    return matching_files(table(spark, d, "files"), Filter.of(langs=["toml"])).agg(F.count("*").alias("files"))
+
+
+@query("""
+WITH m AS (SELECT path FROM files WHERE lower(path) GLOB '*/*.go')
+SELECT path, greatest((SELECT count(*) FROM m) - 200, 0) AS left_out FROM m ORDER BY path LIMIT 200
+""")
+def files_capped(spark, d):
+    return listed_paths(table(spark, d, "files"), Filter.of(exts=["go"]), 200)
+
+
+@query(f"WITH {_NEWEST} SELECT coalesce(n.path, f.path) AS path, CASE WHEN n.path IS NULL THEN 'unlisted' WHEN f.path IS NULL THEN 'new' WHEN f.hash = '' THEN 'unfinished' WHEN lower(f.hash) = n.seen_hash THEN 'unchanged' ELSE 'changed' END AS status FROM newest n FULL JOIN files f ON f.path = n.path")
+def change_detect(spark, d):
+    return change.statuses(table(spark, d, "files"), table(spark, d, "listing"))
+
+
+@query(f"WITH {_NEWEST} SELECT CASE WHEN n.path IS NULL THEN 'unlisted' WHEN f.path IS NULL THEN 'new' WHEN f.hash = '' THEN 'unfinished' WHEN lower(f.hash) = n.seen_hash THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS files FROM newest n FULL JOIN files f ON f.path = n.path GROUP BY 1")
+def index_report(spark, d):
+    return change_detect(spark, d).groupBy("status").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH {_NEWEST} SELECT f.file_id, f.path FROM files f WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.path = f.path)")
+def sweep_anti(spark, d):
+    return change.vanished(table(spark, d, "files"), table(spark, d, "listing")).select("file_id", "path")
+
+
+@query(r"""
+WITH last AS (SELECT max(started_at) AS t FROM runs WHERE outcome = 'ok'),
+batch AS (SELECT DISTINCT regexp_replace(path, '/(?:\.?/)+', '/', 'g') AS path FROM listing, last WHERE seen_at > t),
+walk AS (SELECT DISTINCT regexp_replace(path, '/(?:\.?/)+', '/', 'g') AS path FROM listing WHERE hash IS NOT NULL)
+SELECT path FROM batch WHERE path IN (SELECT path FROM walk) OR path IN (SELECT path FROM files)
+""")
+def admissible_semi(spark, d):
+    listing = table(spark, d, "listing").withColumn("path", incremental.reduced(F.col("path")))
+    last = table(spark, d, "runs").where("outcome = 'ok'").agg(F.max("started_at").alias("t"))
+    batch = listing.crossJoin(F.broadcast(last)).where("seen_at > t").select("path").distinct()  # a single row
+    return change.admissible(batch, listing.where("hash is not null"), table(spark, d, "files"))
+
+
+@query("SELECT lang, string_agg(ext, ',') AS extensions FROM (VALUES " + ", ".join(f"('{k}', '{e}')" for k, v in __import__("siltstone.functions.filters", fromlist=["LANGUAGES"]).LANGUAGES.items() for e in v) + ") t(lang, ext) GROUP BY lang")
+def language_table(spark, d):
+    return languages(spark)
+
+
+@query("""
+SELECT split_part(path, '/', 4) AS store, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM files GROUP BY 1
+UNION ALL SELECT NULL, count(*), CAST(sum(bytes) AS BIGINT) FROM files
+""")
+def fleet_stats(spark, d):
+    files = table(spark, d, "files").withColumn("store", F.split_part("path", F.lit("/"), F.lit(4)))
+    return files.rollup("store").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@query(r"""
+SELECT file_id, regexp_extract(path, '([^/]+)/*$', 1) AS name, regexp_extract(path, '^(.*)/[^/]+/*$', 1) AS parent, lower(regexp_extract(path, '[^/]\.([^./]+)$', 1)) AS ext,
+       CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.0f KB', bytes / 1024.0) ELSE printf('%.1f MB', bytes / 1048576.0) END AS size
+FROM files WHERE bytes % 1024 <> 512
+""")
+def path_parts(spark, d):
+    """Sizes half-way between two whole KB are left to either side's rounding."""
+    p = F.col("path")
+    return table(spark, d, "files").where("bytes % 1024 <> 512").select("file_id", scalars.file_name(p).alias("name"), scalars.parent(p).alias("parent"), scalars.extension(p).alias("ext"), scalars.human_bytes(F.col("bytes")).alias("size"))
+
+
+@query("""
+WITH s AS (SELECT shard, start_id, lead(start_id) OVER (ORDER BY start_id) AS next_id FROM shards)
+SELECT s.shard, lpad(CAST(s.start_id AS VARCHAR), 16, '0') AS name, count(DISTINCT v.chunk_id) AS vectors, count(DISTINCT v.chunk_id) * (2 * 64 * 4 // 8 + 36) AS resident
+FROM s LEFT JOIN vectors v ON v.chunk_id >= s.start_id AND (s.next_id IS NULL OR v.chunk_id < s.next_id) AND v.embedding IS NOT NULL GROUP BY ALL
+""")
+def shard_sizes(spark, d):
+    """Vectors by the shard in whose id range they fall. The starts (one for each 4,096 or more vectors) are searched, not joined."""
+    starts = table(spark, d, "shards").select("shard", "start_id")
+    owner = table(spark, d, "vectors").where("embedding is not null").select("chunk_id").distinct()
+    tagged = owner.select(F.col("chunk_id").alias("id"), F.lit(None).cast("long").alias("shard")).unionByName(starts.select(F.col("start_id").alias("id"), "shard"))
+    bucket = F.floor(F.col("id") / 65536)
+    inside = Window.partitionBy("bucket").orderBy("id", F.col("shard").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = tagged.withColumn("bucket", bucket).withColumn("own", F.last(F.when(F.col("shard").isNotNull(), F.struct("shard", F.col("id").alias("start_id"))), ignorenulls=True).over(inside))
+    ends = rows.groupBy("bucket").agg(F.max(F.when(F.col("shard").isNotNull(), F.struct(F.col("id").alias("start_id"), "shard"))).alias("end"))
+    before = ends.withColumn("carried", F.last("end", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each 65,536 ids
+    placed = rows.join(before.select(F.col("bucket").alias("_b"), "carried"), F.col("bucket") == F.col("_b"))
+    placed = placed.withColumn("at", F.coalesce("own.shard", "carried.shard")).where("shard is null").groupBy("at").agg(F.count("*").alias("vectors"))
+    out = starts.join(placed, F.col("shard") == F.col("at"), "left").select("shard", scalars.shard_name(F.col("start_id")).alias("name"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
+    return out.withColumn("resident", scalars.resident_bytes(F.col("vectors"), 64, 4))
+
+
+# ---- vectors
+
+_DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def _first_vector(vecs):
+    return vecs.where("embedding is not null").orderBy("chunk_id").select("embedding").first()["embedding"]
+
+
+def _searched(spark, d):
+    return table(spark, d, "vectors").where("embedding is not null").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+
+
+_VECS = "v AS (SELECT chunk_id, any_value(embedding) AS embedding FROM vectors WHERE embedding IS NOT NULL GROUP BY chunk_id), q AS (SELECT embedding AS e FROM v ORDER BY chunk_id LIMIT 1)"
+
+
+@query(f"WITH {_VECS}, s AS (SELECT chunk_id, {_DOT.format(a='embedding', b='e')} AS x FROM v, q) SELECT chunk_id, round(x, 6) AS similarity, row_number() OVER (ORDER BY x DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20")
+def knn_topk(spark, d):
+    vecs = _searched(spark, d)
+    return vectors.top_k(vecs, _first_vector(vecs), 20).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""
+WITH {_VECS}, s AS (SELECT chunk_id, {_DOT.format(a='embedding', b='e')} AS x FROM v, q
+  WHERE chunk_id IN (SELECT chunk_id FROM chunks c JOIN files f USING (file_id) WHERE lower(f.path) GLOB '*/*.js' OR lower(f.path) GLOB '*/*.jsx' OR lower(f.path) GLOB '*/*.mjs' OR lower(f.path) GLOB '*/*.cjs'))
+SELECT chunk_id, round(x, 6) AS similarity, row_number() OVER (ORDER BY x DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20
+""")
+def knn_filtered(spark, d):
+    vecs = _searched(spark, d)
+    allowed = allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(langs=["javascript"]))
+    return vectors.top_k(vecs, _first_vector(vecs), 20, allowed=allowed).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""
+SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS similarity,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(a='q.embedding', b='e.embedding')} DESC, e.vec_id) AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10
+""")
+def knn_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    found = vectors.top_k_batch(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""
+SELECT vec_id, CAST(round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS DOUBLE) AS norm,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: power(x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 2))))::DOUBLE, 4) AS unit FROM embeddings
+""")
+def normalize_vectors(spark, d):
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 4).alias("norm"), F.round(vectors.norm(vectors.normalized(v)), 4).alias("unit"))
+
+
+@query(f"""
+WITH c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE * 7 + 0.5) / 7 * list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE) AS code FROM embeddings),
+q AS (SELECT vec_id, embedding FROM c WHERE vec_id % 50 = 0),
+a AS (SELECT q.vec_id AS query_id, c.vec_id FROM q, c QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(a='q.embedding', b='c.embedding')} DESC, c.vec_id) <= 10),
+b AS (SELECT q.vec_id AS query_id, c.vec_id FROM q, c QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(a='q.embedding', b='c.code')} DESC, c.vec_id) <= 10),
+o AS (SELECT query_id, count(*) / 10.0 AS overlap FROM a JOIN b USING (query_id, vec_id) GROUP BY query_id)
+SELECT round(avg(overlap), 4) AS mean_overlap, CAST(min(overlap) AS DOUBLE) AS least_overlap FROM o
+""")
+def overlap_at_10(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vectors.top_k_batch(e, q, 10).select("query_id", "vec_id")
+    coded = vectors.top_k_batch(e.withColumn("embedding", vectors.quantized(F.col("embedding"))), q, 10).select("query_id", "vec_id")
+    per = exact.join(coded, ["query_id", "vec_id"]).groupBy("query_id").agg((F.count("*") / 10.0).alias("overlap"))
+    return per.agg(F.round(F.avg("overlap"), 4).alias("mean_overlap"), F.min("overlap").alias("least_overlap"))
+
+
+# ---- keyword search
+
+KEYWORDS = "durable snapshot, allowlist (vector cache) while the lock"
+_TOKENS = r"""
+words AS (SELECT chunk_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM chunks),
+toks AS (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM words),
+total AS (SELECT count(*) AS n_all, avg(len(w)) AS average FROM words)
+"""
+
+
+def _bm25_sql(query_text: str, restrict: str = "", k: int = 20) -> str:
+    wanted = keyword.phrases(query_text)
+    parts = []
+    for i, p in enumerate(wanted):
+        joins = " ".join(f"JOIN toks t{n} ON t{n}.chunk_id = t0.chunk_id AND t{n}.pos = t0.pos + {n} AND t{n}.term = '{term}'" for n, term in enumerate(p) if n)
+        parts.append(f"SELECT {i} AS phrase, t0.chunk_id, count(*) AS f FROM toks t0 {joins} WHERE t0.term = '{p[0]}' GROUP BY t0.chunk_id")
+    return f"""
+hits AS ({' UNION ALL '.join(parts)}),
+idf AS (SELECT phrase, CASE WHEN ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS idf FROM hits, total GROUP BY phrase, n_all),
+scored AS (
+  SELECT h.chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w.w) / average))), 9) AS score
+  FROM hits h JOIN idf USING (phrase) JOIN words w ON w.chunk_id = h.chunk_id, total {restrict} GROUP BY h.chunk_id),
+keyword_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= {k})
+"""
+
+
+_IN_DOCS = "WHERE h.chunk_id IN (SELECT chunk_id FROM chunks JOIN files USING (file_id) WHERE lower(path) GLOB '*/docs/**')"
+
+
+def _index(spark, d):
+    words = stage(keyword.tokenized(table(spark, d, "chunks")), "words")
+    return keyword.postings(words), keyword.lengths(words)
+
+
+@query(f"WITH {_TOKENS}, {_bm25_sql(KEYWORDS)} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
+def keyword_bm25(spark, d):
+    return keyword.keyword_top(keyword.bm25(*_index(spark, d), KEYWORDS), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOKENS}, {_bm25_sql('while_the_lock nothing_at_all durable')} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
+def keyword_phrase(spark, d):
+    return keyword.keyword_top(keyword.bm25(*_index(spark, d), "while_the_lock nothing_at_all durable"), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOKENS}, {_bm25_sql(KEYWORDS, _IN_DOCS)} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
+def keyword_filtered(spark, d):
+    """Filtered, with the statistics of the whole store."""
+    allowed = allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(paths=["docs/**"]))
+    return keyword.keyword_top(keyword.bm25(*_index(spark, d), KEYWORDS, allowed=allowed), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOKENS}, {_bm25_sql('snapshot AND (vector* NEAR -lock')} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
+def keyword_syntax_inert(spark, d):
+    return keyword.keyword_top(keyword.bm25(*_index(spark, d), 'snapshot" AND (vector* NEAR -lock'), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOKENS} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS occurrences FROM toks GROUP BY term")
+def vocabulary(spark, d):
+    index, _ = _index(spark, d)
+    return index.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+@query(r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS w, regexp_extract_all(lower(strip_accents(string_split(coalesce(text, ''), chr(10))[1])), '[\p{L}\p{N}]+') AS first FROM documents),
+p AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+total AS (SELECT count(*) AS n_all, avg(len(w)) AS average FROM words),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT doc_id AS query_id, unnest(first) AS term FROM words WHERE doc_id % 50 = 0) GROUP BY ALL),
+idf AS (SELECT term, CASE WHEN ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((n_all - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS idf FROM p, total GROUP BY term, n_all),
+s AS (SELECT query_id, p.doc_id, round(sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w.w) / average))), 9) AS score
+      FROM asked JOIN p USING (term) JOIN idf USING (term) JOIN words w ON w.doc_id = p.doc_id, total GROUP BY query_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)
+SELECT count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM (SELECT DISTINCT query_id FROM asked) a LEFT JOIN r ON r.query_id = a.query_id AND r.doc_id = a.query_id
+""")
+def mrr_at_10(spark, d):
+    """Known-item search: the first line of a document as a query should find it. Queries are the rows whose id 50 divides."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = stage(keyword.tokenized(docs, "doc_id"), "words")
+    first = keyword.tokenized(docs.where("doc_id % 50 = 0").withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "doc_id")
+    asked = first.select(F.col("doc_id").alias("query_id"), F.explode("words").alias("term"))
+    found = keyword.bm25_batch(keyword.postings(words, "doc_id"), keyword.lengths(words, "doc_id"), asked, 10, "doc_id")
+    hit = found.where("doc_id = query_id").select("query_id", (1.0 / F.col("rank")).alias("gain"))
+    return asked.select("query_id").distinct().join(hit, "query_id", "left").agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("gain", F.lit(0.0))), 6).alias("mrr"))
+
+
+# ---- hybrid search and fleets
+
+
+def _hybrid_sql(k: int, restrict_v: str = "", restrict_k: str = "") -> str:
+    return f"""
+WITH {_TOKENS}, {_bm25_sql(KEYWORDS, restrict_k, 4 * k)}, {_VECS},
+s AS (SELECT chunk_id, {_DOT.format(a='embedding', b='e')} AS similarity FROM v, q {restrict_v}),
+dense AS (SELECT chunk_id, similarity, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= {4 * k}),
+fused AS (
+  SELECT coalesce(d.chunk_id, w.chunk_id) AS chunk_id, coalesce((1::FLOAT / (60 + d.rank)::FLOAT), 0::FLOAT) + coalesce((1::FLOAT / (60 + w.rank)::FLOAT), 0::FLOAT) AS score,
+         coalesce(similarity, 0) AS similarity, coalesce(d.rank, 1000000000 + w.rank) AS o
+  FROM dense d FULL JOIN keyword_top w ON d.chunk_id = w.chunk_id),
+best AS (SELECT *, row_number() OVER (ORDER BY score DESC, o) AS position FROM fused QUALIFY position <= {k})
+SELECT position, round(b.score::DOUBLE, 6) AS score, round(b.similarity, 6) AS similarity, path, start_line, end_line, text, b.chunk_id
+FROM best b JOIN chunks c ON c.chunk_id = b.chunk_id JOIN files f USING (file_id)
+"""
+
+
+def _hybrid(spark, d, k, narrowed=None):
+    vecs = _searched(spark, d)
+    files, chunks = table(spark, d, "files"), table(spark, d, "chunks")
+    hits = fusion.search(files, chunks, vecs, *_index(spark, d), KEYWORDS, _first_vector(vecs), k, narrowed)
+    return hits.withColumn("score", F.round(F.col("score").cast("double"), 6)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_hybrid_sql(8))
+def hybrid_rrf(spark, d):
+    return _hybrid(spark, d, 8)
+
+
+_MD = "chunk_id IN (SELECT chunk_id FROM chunks JOIN files USING (file_id) WHERE lower(path) GLOB '*/*.md' OR lower(path) GLOB '*/*.markdown') AND {0}.chunk_id IN (SELECT chunk_id FROM v)"
+
+
+@query(_hybrid_sql(8, "WHERE v." + _MD.format("v"), "WHERE h." + _MD.format("h")).replace("hits AS (", f"{_VECS}, hits AS (", 1).replace(f", {_VECS},\ns AS", ",\ns AS", 1))
+def hybrid_filtered(spark, d):
+    return _hybrid(spark, d, 8, Filter.of(langs=["markdown"]))
+
+
+@query("SELECT 0 AS position, 0.0::DOUBLE AS score, 0.0::DOUBLE AS similarity, path, start_line, end_line, text, chunk_id FROM chunks JOIN files USING (file_id) WHERE false")
+def hybrid_k_zero(spark, d):
+    return _hybrid(spark, d, 0)
+
+
+_FLEET = f"""
+WITH {_TOKENS}, {_bm25_sql(KEYWORDS, "", 1 << 40)}, {_VECS},
+of_store AS (SELECT chunk_id, split_part(path, '/', 4) AS store FROM chunks JOIN files USING (file_id)),
+ords AS (SELECT store, row_number() OVER (ORDER BY store) AS store_ord FROM (SELECT DISTINCT store FROM of_store)),
+dense AS (SELECT chunk_id, store, similarity, row_number() OVER (PARTITION BY store ORDER BY similarity DESC, chunk_id) AS rank
+          FROM (SELECT v.chunk_id, store, {_DOT.format(a='embedding', b='e')} AS similarity FROM v JOIN of_store USING (chunk_id), q) QUALIFY rank <= 32),
+kw AS (SELECT chunk_id, store, row_number() OVER (PARTITION BY store ORDER BY score DESC, chunk_id) AS rank FROM (SELECT chunk_id, score FROM keyword_top) JOIN of_store USING (chunk_id) QUALIFY rank <= 32),
+fused AS (
+  SELECT coalesce(d.store, k.store) AS store, coalesce(d.chunk_id, k.chunk_id) AS chunk_id, coalesce((1::FLOAT / (60 + d.rank)::FLOAT), 0::FLOAT) + coalesce((1::FLOAT / (60 + k.rank)::FLOAT), 0::FLOAT) AS score,
+         coalesce(similarity, 0) AS similarity, coalesce(d.rank, 1000000000 + k.rank) AS o FROM dense d FULL JOIN kw k ON d.chunk_id = k.chunk_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY score DESC, o) AS position FROM fused QUALIFY position <= 8),
+held AS (SELECT *, min(similarity) OVER (PARTITION BY store, score ORDER BY position) AS held FROM ranked JOIN ords USING (store)),
+merged AS (SELECT *, row_number() OVER (ORDER BY score DESC, held DESC, store_ord, position) AS merged FROM held QUALIFY merged <= 20)
+"""
+
+
+def _fleet(spark, d):
+    files, chunks = table(spark, d, "files"), table(spark, d, "chunks")
+    own = chunks.select("chunk_id", "file_id").join(files.select("file_id", F.split_part("path", F.lit("/"), F.lit(4)).alias("store")), "file_id").select("chunk_id", "store")
+    stores = files.select(F.split_part("path", F.lit("/"), F.lit(4)).alias("store")).distinct()
+    stores = stores.withColumn("store_ord", F.row_number().over(Window.orderBy("store")))  # one row for each store
+    vecs = _searched(spark, d)
+    index, n_tokens = _index(spark, d)
+    limit = lambda df, order: df.withColumn("rank", F.row_number().over(Window.partitionBy("store").orderBy(*order))).where("rank <= 32")
+    dense = limit(vecs.select("chunk_id", vectors.dot(F.col("embedding"), vectors.literal(_first_vector(vecs))).alias("similarity")).join(own, "chunk_id"), (F.desc("similarity"), "chunk_id"))
+    words = keyword.bm25(index, n_tokens, KEYWORDS).withColumn("score", F.round("score", 9)).join(own, "chunk_id")
+    return dense, limit(words, (F.desc("score"), "chunk_id")), stores
+
+
+def _fleet_hits(spark, d):
+    dense, words, stores = _fleet(spark, d)
+    part = lambda c: F.coalesce(F.lit(1).cast("float") / (60 + F.col(c)).cast("float"), F.lit(0.0).cast("float"))
+    both = dense.select("chunk_id", "store", "similarity", F.col("rank").alias("a")).join(words.select(F.col("chunk_id").alias("c"), F.col("store").alias("s"), F.col("rank").alias("b")), F.col("chunk_id") == F.col("c"), "full")
+    both = both.select(F.coalesce("chunk_id", "c").alias("chunk_id"), F.coalesce("store", "s").alias("store"), (part("a") + part("b")).cast("float").alias("score"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("a", 1_000_000_000 + F.col("b")).alias("o"))
+    ranked = both.withColumn("position", F.row_number().over(Window.partitionBy("store").orderBy(F.desc("score"), "o"))).where("position <= 8")
+    return fusion.merge(ranked.join(stores, "store"), 20), stores
+
+
+@query(_FLEET + "SELECT merged, store, position, chunk_id, round(score::DOUBLE, 6) AS score FROM merged")
+def fleet_merge(spark, d):
+    """Every project directory as a store: each ranks for itself, then one merged ranking."""
+    return _fleet_hits(spark, d)[0].select("merged", "store", "position", "chunk_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+@query(_FLEET + "SELECT o.store, count(m.merged) AS hits FROM ords o LEFT JOIN merged m USING (store) GROUP BY o.store")
+def fleet_breakdown(spark, d):
+    return fusion.breakdown(*_fleet_hits(spark, d))
+
+
+# ---- chunking
+
+_CHUNK_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, list_transform(CASE WHEN text LIKE '%' || chr(10) THEN raw[1:len(raw) - 1] ELSE raw END, lambda x, i: CASE WHEN i < len(raw) AND x LIKE '%' || chr(13) THEN x[1:length(x) - 1] ELSE x END) AS lines
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents WHERE text <> '')),
+s AS (
+  SELECT doc_id, 0 AS a, 1 AS e, strlen(lines[1]) + 1 AS used FROM l WHERE len(lines) > 0
+  UNION ALL
+  SELECT doc_id, CASE WHEN grow THEN a ELSE nxt END, CASE WHEN grow THEN e + 1 ELSE nxt + 1 END, CASE WHEN grow THEN used + strlen(lines[e + 1]) + 1 ELSE strlen(lines[nxt + 1]) + 1 END
+  FROM (SELECT s.doc_id, a, e, used, lines, len(lines) AS n, e < len(lines) AND used + strlen(lines[e + 1]) < 800 AS grow,
+               CASE WHEN regexp_matches(array_to_string(lines[a + 1:e], chr(10)), '^\s*$') THEN e WHEN e = len(lines) THEN e ELSE greatest(e - 2, a + 1) END AS nxt FROM s JOIN l USING (doc_id))
+  WHERE grow OR nxt < n),
+bodies AS (
+  SELECT s.doc_id, a, e, array_to_string(lines[a + 1:e], chr(10)) AS body FROM s JOIN l USING (doc_id)
+  WHERE NOT (e < len(lines) AND used + strlen(lines[e + 1]) < 800) AND NOT regexp_matches(array_to_string(lines[a + 1:e], chr(10)), '^\s*$')),
+pieces AS (SELECT doc_id, a, e, body, unnest(generate_series(0, length(body) - 1, 800)) AS p FROM bodies),
+final AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, p) - 1 AS INTEGER) AS ord, a + 1 AS start_line, e AS end_line, substring(body, p + 1, 800) AS text FROM pieces)
+"""
+
+
+@query(_CHUNK_SQL + "SELECT * FROM final")
+def chunk_lines(spark, d):
+    return chunking.chunked(table(spark, d, "documents"), "doc_id")
+
+
+@query(_CHUNK_SQL + "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, max(length(text)) AS longest, CAST(sum(length(text)) AS BIGINT) AS chars FROM final")
+def chunk_stats(spark, d):
+    c = chunk_lines(spark, d)
+    return c.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---- streams
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM g GROUP BY user_id, n
+""")
+def watch_sessions(spark, d):
+    return sessions.quiet_sessions(table(spark, d, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("SELECT user_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def watch_last_state(spark, d):
+    return sessions.last_state(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "ts", "event_type")
