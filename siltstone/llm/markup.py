@@ -30,6 +30,7 @@ DOCUMENTS = ["md", "markdown", "html", "htm", "wiki", "tex", "txt", "docx", "odt
 TRAIN_DOCS = 1600
 PROPOSE = 0.05
 CODE_SURE = 0.7
+FEW = 500_000
 PATH_DIM, WORD_DIM, SIGN_DIM, HIDDEN = 16, 32, 96, 24
 INPUTS = PATH_DIM + WORD_DIM + SIGN_DIM + 6
 
@@ -413,8 +414,15 @@ def kinds_of(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray) -> list[st
     return sorted(got)
 
 
-def _documents(files: DataFrame) -> DataFrame:
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(DOCUMENTS)).select("file_id").distinct()
+def _of_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk_id, text`` of the chunks of document files.
+
+    Up to ``FEW`` document files their ids (8 bytes each) are broadcast, and no text is shuffled;
+    beyond that both sides are shuffled by file, and AQE splits files of very many chunks.
+    """
+    own = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(DOCUMENTS)).select("file_id").distinct()
+    small = own.limit(FEW + 1).count() <= FEW
+    return chunks.select("chunk_id", "file_id", "text").join(F.broadcast(own) if small else own, "file_id", "left_semi").select("chunk_id", "text")
 
 
 def chunk_kinds(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -434,7 +442,7 @@ def chunk_kinds(files: DataFrame, chunks: DataFrame) -> DataFrame:
                     kinds.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], ["chunk_id", "kind"])
 
-    rows = chunks.where("text is not null").select("chunk_id", "file_id", "text").join(_documents(files), "file_id", "left_semi").select("chunk_id", "text")
+    rows = _of_documents(files, chunks.where("text is not null"))
     return rows.mapInArrow(find, "chunk_id long, kind string").distinct()
 
 
@@ -529,5 +537,5 @@ def clean_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
             done = [None if t is None else clean(*x) for t, x in zip(texts, label(model, [t or "" for t in texts]), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(done, pa.string())], ["chunk_id", "text"])
 
-    rows = chunks.select("chunk_id", "file_id", "text").join(_documents(files), "file_id", "left_semi").select("chunk_id", "text")
+    rows = _of_documents(files, chunks)
     return rows.mapInArrow(work, "chunk_id long, text string")
