@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from siltstone.plans.tables import stage
 
 K = 5
-PROBES = 6
+PROBES = 4
 EPS = 2.5
 SAMPLE = 65_536
 LISTS_MAX = 4096
@@ -167,7 +167,8 @@ def _searched(batches, dim: int, k: int, centroids: np.ndarray):
         lists, blocks, role = (b.column(c).to_numpy() for c in ("list", "block", "role"))
         if not len(lists):
             continue
-        x = b.column("x").flatten().to_numpy().reshape(-1, dim)
+        x = b.column("x").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+        x /= np.sqrt((x * x).sum(1))[:, None]
         ids = b.column("ids")
         cut = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]) | (blocks[1:] != blocks[:-1]) | (role[1:] != role[:-1]), True])
         c1, c2, found, sims = [], [], [], []
@@ -235,11 +236,11 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, lists: int
             c2 = np.array([v >> 64 for v in h], np.uint64).view(np.int64)
             near, _ = _nearest(unit.astype(np.float32), centroids, m)
             take = b.column("chunk_id").take(pa.array(at))
-            xs = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(unit.ravel().astype(np.float64)))
+            xs = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(raw.ravel()))
             ps = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * m), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([take, pa.array(c1), pa.array(c2), ps, xs], ["chunk_id", "c1", "c2", "probes", "x"])
 
-    coded = stage(rows.mapInArrow(describe, "chunk_id long, c1 long, c2 long, probes array<int>, x array<double>"), "coded")
+    coded = stage(rows.mapInArrow(describe, "chunk_id long, c1 long, c2 long, probes array<int>, x array<float>"), "coded")
     members = coded.select("chunk_id", "c1", "c2").distinct()
     few = members.withColumn("_r", F.row_number().over(Window.partitionBy("c1", "c2").orderBy("chunk_id"))).where(F.col("_r") <= k + 1)
     ids = few.groupBy("c1", "c2").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
