@@ -56,6 +56,7 @@ SIGNS = {
         r"|^\s*\\[\[\]]\s*$|\\\(.+?\\\)|(?<![\w$\\])\$(?=\S)[^$\n]*(?:\\[A-Za-z]+|[_^][{\d])[^$\n]*\$(?!\d)|\}~?\\ref\{|\w~\\(?:ref|cite)\{"
     ),
 }
+_PRE_OPENS = re.compile(r"<pre\b(?!.*</pre)", re.I)
 _SETEXT = re.compile(r"^ {0,3}(?:={3,}|-{3,})\s*$")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 _TOKEN = re.compile(r"</?[A-Za-z][\w-]*|\\[A-Za-z]+|[^\W\d_]+|\d+|&[#\w]+;|\[\[|\]\]|\]\(|\{\{|\}\}|\{\||\|\}|'{2,3}|={2,}|-{3,}|\#+|`+|~{3}|\*+|[^\w\s]")
@@ -471,10 +472,11 @@ def clean(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray, propose: floa
     for i, (line, path) in enumerate(found):
         if "fence-start" in path or "fence-end" in path:
             continue
-        if _is_code(path, p[i]):
+        opens = bool(_PRE_OPENS.search(line)) and "fence" not in path
+        if opens or _is_code(path, p[i]):
             inner = "fence" in path
             text = line if inner else re.sub(r"</?(?:pre|code)\b[^>]*>", "", line, flags=re.I)
-            text = html_entities.unescape(text) if not inner and "pre" in path else text
+            text = html_entities.unescape(text) if not inner and (opens or "pre" in path) else text
             if re.match(r"^\s*\\end\{", text) or not text.strip():
                 continue
             fence(True)

@@ -280,7 +280,8 @@ def linked_classes(chunks: DataFrame, rows: DataFrame, threshold: float = THRESH
     b = sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
-    return checked.where(F.col("similarity") >= threshold).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
+    linked = checked.where(F.col("similarity") >= threshold).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
+    return linked.distinct()  # a repeated chunk row repeats its set
 
 
 def pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
