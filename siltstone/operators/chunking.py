@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.tables import spread
+
 MAX_CHARS = 800
 OVERLAP_LINES = 2
 CHUNKS = "array<struct<ord:int,start_line:int,end_line:int,text:string>>"
 #: White space by Unicode's property, which is not quite what ``str.strip`` takes.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lines_of(text: str) -> list[str]:
@@ -70,4 +72,4 @@ def chunked(documents: DataFrame, key: str, limit: int = MAX_CHARS) -> DataFrame
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return documents.select(key, "text").mapInArrow(split, f"{key} long, ord int, start_line int, end_line int, text string")
+    return spread(documents.select(key, "text")).mapInArrow(split, f"{key} long, ord int, start_line int, end_line int, text string")

@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.plans.tables import spread
+
 K1, B = 1.2, 0.75
 #: An idf that is not positive counts as this.
 IDF_FLOOR = 1e-6
@@ -38,13 +40,17 @@ def phrases(query: str) -> list[tuple[str, ...]]:
 
 
 def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``key, words``, in batches."""
+    """``key, words``, from Arrow batch to Arrow batch."""
 
-    @F.pandas_udf("array<string>")
-    def split(text: pd.Series) -> pd.Series:
-        return text.map(tokens)
+    def split(batches):
+        for b in batches:
+            words, ends = [], [0]
+            for t in b.column("text").to_pylist():
+                words += tokens(t)
+                ends.append(len(words))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()))], [key, "words"])
 
-    return chunks.select(key, split("text").alias("words"))
+    return spread(chunks.select(key, "text")).mapInArrow(split, f"{key} {chunks.schema[key].dataType.simpleString()}, words array<string>")
 
 
 def postings(words: DataFrame, key: str = "chunk_id") -> DataFrame:

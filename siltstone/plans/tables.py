@@ -43,3 +43,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table up to this many bytes is dealt out to all cores before work in Python.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out evenly before costly work.
+
+    A table of one file and row group is one task however many cores there are. Up to
+    ``SPREAD_BYTES`` (by the optimizer's estimate) moving it costs less than that; a larger one
+    has parts enough of its own and stays where it is.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
