@@ -52,3 +52,10 @@ def utf8_lossy(content: Column) -> Column:
 def is_binary(content: Column, window: int = 8192) -> Column:
     """Whether the first bytes hold a zero byte."""
     return F.contains(F.substring(content, 1, window), F.lit(b"\0"))
+
+
+def progress(scanned: int, total: int, chunks: int, seconds: float) -> str:
+    """How far an indexing run is, how fast, and how long the rest takes at that pace."""
+    rate = chunks / seconds if seconds > 0 else 0.0
+    left = (total - scanned) * seconds / scanned if scanned else 0.0
+    return f"{scanned}/{total} files, {rate:.1f} chunks/s, {left:.0f}s left"

@@ -227,10 +227,7 @@ class Store:
         rows.select("chunk_id", "file_id", "ord", "start_line", "end_line", "text").write.parquet(f"{at}/chunks")
         kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
         kept.select("chunk_id", "file_id", shard.alias("shard"), embedding.embedded(F.col("text"), g.model).alias("embedding")).write.parquet(f"{at}/vectors")
-        words = stage(keyword.tokenized(kept), "words")
-        ids = kept.select("chunk_id", "file_id")
-        keyword.postings(words).join(ids, "chunk_id").select("term", "chunk_id", "file_id", "positions").sortWithinPartitions("term").write.parquet(f"{at}/postings")
-        keyword.lengths(words).join(ids, "chunk_id").select("chunk_id", "file_id", "n_tokens").write.parquet(f"{at}/lengths")
+        self._write_words(at)
         new = done.join(part, "path").select("file_id", "path", "hash", "bytes", F.current_timestamp().alias("indexed_at"))
         old = self.files(g).join(new.select("path"), "path", "left_anti").select("file_id", "path", "hash", "bytes", "indexed_at")
         return self._write_files(g, old.unionByName(new), (*g.segments, segment), g.next_file_id + n_files, g.next_chunk_id + n_chunks)
@@ -262,8 +259,37 @@ class Store:
                 self.table(name, g).select(*cols).write.parquet(os.path.join(self.root, segment, name))
             self._write_files(g, self.files(g), (segment,), g.next_file_id, g.next_chunk_id)
 
+    def backfill(self) -> int:
+        """Rebuild the inverted index of segments that lack it, from their chunks. The number of segments mended."""
+        with WriterLock(self.root):
+            mended = 0
+            for segment in self.generation().segments:
+                at = os.path.join(self.root, segment)
+                if not os.path.exists(f"{at}/postings/_SUCCESS") or not os.path.exists(f"{at}/lengths/_SUCCESS"):
+                    self._write_words(at)
+                    mended += 1
+            return mended
+
+    def _write_words(self, at: str) -> None:
+        kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
+        words, ids = stage(keyword.tokenized(kept), "words"), kept.select("chunk_id", "file_id")
+        keyword.postings(words).join(ids, "chunk_id").select("term", "chunk_id", "file_id", "positions").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
+        keyword.lengths(words).join(ids, "chunk_id").select("chunk_id", "file_id", "n_tokens").write.mode("overwrite").parquet(f"{at}/lengths")
+
     # ---- reading
 
+    def __len__(self) -> int:
+        """Vectors that a search sees."""
+        return self.table("vectors").count()
+
+    def shards(self) -> DataFrame:
+        """``shard, start_id, n_vectors`` of the live vectors."""
+        return self.table("vectors").groupBy("shard").agg(F.min("chunk_id").alias("start_id"), F.count("*").alias("n_vectors"))
+
+    def warm(self) -> int:
+        """Keep the live vectors in the executors' storage memory, spilling to disk; how many there are."""
+        return self.table("vectors").persist().count()
+
     def stats(self) -> dict:
         g = self.generation()
         f = self.files(g).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()

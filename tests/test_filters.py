@@ -52,4 +52,5 @@ def test_scalars(spark):
     raw = spark.createDataFrame([(b"abc\0def",), (b"fn main() {}",), (b"\xff ok",)], "c binary")
     assert [tuple(r) for r in raw.select(scalars.is_binary(raw.c), scalars.utf8_lossy(raw.c)).collect()][1:] == [(False, "fn main() {}"), (False, "� ok")]
     durations = spark.createDataFrame([(30.0,), (120.0,), (7200.0,)], "s double")
+    assert scalars.progress(10, 30, 50, 5.0) == "10/30 files, 10.0 chunks/s, 10s left" and scalars.progress(0, 3, 0, 0.0).startswith("0/3")
     assert [r[0] for r in durations.select(scalars.human_duration(durations.s)).collect()] == ["30s", "2m", "2.0h"]

@@ -55,6 +55,13 @@ def test_round_trip(spark, store, corpus_dir):
     assert store.table("chunks").agg({"chunk_id": "max"}).first()[0] > before
     (corpus_dir / "bread.md").write_text(" \n ")  # now blank: what was there stays
     assert store.index([str(corpus_dir)]).skipped == 2 and store.stats()["files"] == 2
+    import shutil
+
+    for name in store.generation().segments:
+        shutil.rmtree(os.path.join(store.root, name, "postings"))
+    assert store.backfill() == 2 and store.backfill() == 0 and len(store) == 2
+    assert names(store.search("borrowing", 1)) == ["rust.md"]
+    assert store.shards().first()["n_vectors"] == 2 and store.warm() == 2
     store.compact()
     assert len(store.generation().segments) == 1 and store.stats()["chunks"] == 2
     assert store.forget(str(corpus_dir / "rust.md")) == 1 and store.forget(str(corpus_dir / "rust.md")) == 0
