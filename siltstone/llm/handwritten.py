@@ -23,7 +23,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from siltstone.plans.tables import spread
 
 #: Extensions (lower case) of files that are source code, which only can be generated, minified or data saved as code.
 CODE = "rs py pyi js mjs cjs jsx go ts tsx c h cc cpp hpp cs java kt scala rb php pl lua swift m sql sh bash css scss dart ex erl hs jl r proto vue".split()
@@ -110,7 +111,7 @@ def file_signs(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("file_id"), *(pa.array(list(c), pa.int64()) for c in cols)], ["file_id", *SIGNS])
 
     schema = "file_id long, " + ", ".join(f"{s} long" for s in SIGNS)
-    told = chunks.where("text is not null and file_id is not null").select("file_id", "start_line", "text").mapInArrow(tell, schema)
+    told = spread(chunks.where("text is not null and file_id is not null").select("file_id", "start_line", "text")).mapInArrow(tell, schema)
     return told.groupBy("file_id").agg(*(F.sum(s).alias(s) for s in SIGNS))
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.tables import spread
+
 GUARANTEE = 12
 GRAM = 6
 PROBE_WORDS = 1_000_000
@@ -184,7 +186,7 @@ def leaks(documents: DataFrame, items: DataFrame, guarantee: int = GUARANTEE, gr
             doc = b.column("doc_id").take(pa.array([t for t, _ in got], pa.int64()))
             yield pa.RecordBatch.from_arrays([doc, pa.array([i for _, i in got], pa.int64())], ["doc_id", "item_id"])
 
-    return documents.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long").distinct()
+    return spread(documents.select("doc_id", "text")).mapInArrow(find, "doc_id long, item_id long").distinct()
 
 
 def _signed(h: np.ndarray) -> list[int]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.tables import spread
+
 KINDS = ["html", "markdown", "wiki", "latex"]
 LABELS = [*KINDS, "code"]
 #: Extensions of document files.
@@ -423,7 +425,7 @@ def _of_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     own = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(DOCUMENTS)).select("file_id").distinct()
     small = own.limit(FEW + 1).count() <= FEW
-    return chunks.select("chunk_id", "file_id", "text").join(F.broadcast(own) if small else own, "file_id", "left_semi").select("chunk_id", "text")
+    return spread(chunks.select("chunk_id", "file_id", "text")).join(F.broadcast(own) if small else own, "file_id", "left_semi").select("chunk_id", "text")
 
 
 def chunk_kinds(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.plans.tables import stage
+from siltstone.plans.tables import spread, stage
 
 THRESHOLD = 0.6
 BANDS, ROWS = 24, 3
@@ -109,7 +109,7 @@ def described(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*take.columns, pa.array(whole), pa.array(code[0]), pa.array(code[1]), shards], ["chunk_id", "file_id", "class", "code1", "code2", "shards"])
 
     rows = chunks.where(F.length("text") >= 2 * LEAST_WORDS - 1).select("chunk_id", "file_id", "text")
-    return rows.mapInArrow(describe, "chunk_id long, file_id long, class long, code1 long, code2 long, shards array<long>")
+    return spread(rows).mapInArrow(describe, "chunk_id long, file_id long, class long, code1 long, code2 long, shards array<long>")
 
 
 class Tree:

@@ -84,5 +84,23 @@ pairs AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM blocks WINDOW
 SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM pairs WHERE z - a <= 800 AND pz - pa <= 800 AND z - pa > 800
 """
 
+P4_SQL = r"""
+WITH words AS (SELECT chunk_id, file_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM chunks),
+runs AS (
+  SELECT DISTINCT chunk_id, file_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run
+  FROM (SELECT chunk_id, file_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 20)),
+sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+common AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS n FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id AND a.file_id <> b.file_id GROUP BY ALL)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM common c JOIN sizes p ON p.chunk_id = x JOIN sizes q ON q.chunk_id = y WHERE c.n / (p.n + q.n - c.n) >= 0.6
+"""
+
+P8_SQL = r"""
+WITH own AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'e', item_id, text FROM eval_items),
+words AS (SELECT kind, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{Mn}\p{Me}\x{115F}\x{1160}\x{3164}\x{FFA0}]+', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM own WHERE text <> ''),
+toks AS (SELECT kind, id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words),
+grams AS MATERIALIZED (SELECT kind, id, string_agg(t, ' ') OVER twelve AS g, count(*) OVER twelve AS n FROM toks WINDOW twelve AS (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM grams d JOIN grams e ON d.g = e.g AND d.n = 12 AND e.n = 12 WHERE d.kind = 'd' AND e.kind = 'e'
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
-SQL = {"p5_found": P5_SQL}
+SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL}

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.plans.tables import spread
+
 SHARE = 0.5
 NEAR = 48
 WINDOW = 64
@@ -140,4 +142,4 @@ def found(documents: DataFrame, share: float = SHARE) -> DataFrame:
             keep = [i for i, t in enumerate(b.column("text").to_pylist()) if t and stuffed_share(t) > share]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep, pa.int64()))], ["doc_id"])
 
-    return documents.select("doc_id", "text").mapInArrow(judge, "doc_id long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(judge, "doc_id long")

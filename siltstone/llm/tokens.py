@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.plans.tables import spread
+
 VOCABULARY = os.environ.get("SILTSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern this vocabulary was made with (fixed value): contractions, words, numbers, signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -48,4 +50,4 @@ def sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [count(t, vocabulary) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(measure, "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(measure, "doc_id long, n_tokens long")

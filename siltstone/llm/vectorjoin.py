@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.plans.tables import stage
+from siltstone.plans.tables import spread, stage
 
 K = 5
 PROBES = 4
@@ -239,7 +239,7 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, lists: int
             ps = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * m), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([take, pa.array(c1), pa.array(c2), ps, xs], ["chunk_id", "c1", "c2", "probes", "x"])
 
-    coded = stage(rows.mapInArrow(describe, "chunk_id long, c1 long, c2 long, probes array<int>, x array<float>"), "coded")
+    coded = stage(spread(rows).mapInArrow(describe, "chunk_id long, c1 long, c2 long, probes array<int>, x array<float>"), "coded")
     members = coded.select("chunk_id", "c1", "c2").distinct()
     few = members.withColumn("_r", F.row_number().over(Window.partitionBy("c1", "c2").orderBy("chunk_id"))).where(F.col("_r") <= k + 1)
     ids = few.groupBy("c1", "c2").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
