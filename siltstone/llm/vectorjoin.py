@@ -202,17 +202,18 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, lists: int
     """``chunk_id, ids, sims``: the ``k`` most similar others of every vector, best first.
 
     Ids are distinct; of rows with one id the vectors are taken to be equal. Null vectors, all-zero
-    and non-finite ones and those of another length than the first are left out. Of equal
+    and non-finite ones and those of another length than most are left out. Of equal
     similarities (to 12 decimals) the smaller id comes first. Fewer than ``k`` others may be found
     where the lists searched hold fewer. Extra columns are not kept.
     """
     spark = vectors.sparkSession
     rows = vectors.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding")
-    head = rows.select(F.size("embedding").alias("n")).head()
+    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n")  # a row for each length
+    head = lengths.where("n > 0").first()
     schema = "chunk_id long, ids array<long>, sims array<double>"
     if head is None:
         return spark.createDataFrame([], schema)
-    dim, n = head["n"], rows.count()
+    dim, n = head["n"], head["count"]
     k_lists = lists or int(min(LISTS_MAX, max(1, round(1.6 * n**0.5))))
     want = min(SAMPLE, max(2048, 32 * k_lists))
     share = int(min(1.0, want / n) * (1 << 30))

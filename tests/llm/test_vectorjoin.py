@@ -27,7 +27,7 @@ def data():
 
 def rows_of(ids, x):
     rows = [(int(i), 1, v.tolist(), "", "") for i, v in zip(ids, x)]
-    return rows + [(9001, None, None, "", ""), (9002, 1, [0.0] * 64, "", ""), (9003, 1, [1.0] * 3, "", ""), (9004, 1, [float("nan")] * 64, "", ""), *rows[5:6], *rows[5:6]]
+    return [(9000, 1, [2.0], "", "")] + rows + [(9001, None, None, "", ""), (9002, 1, [0.0] * 64, "", ""), (9003, 1, [1.0] * 3, "", ""), (9004, 1, [float("nan")] * 64, "", ""), *rows[5:6], *rows[5:6]]
 
 
 def test_all_lists_searched_is_exact(spark, data):
@@ -48,7 +48,7 @@ def test_recall_and_pairs(spark, data):
 
 def test_small_and_empty(spark, data):
     _, x = data
-    df = spark.createDataFrame(rows_of([1, 2], x[:2])[:2], SCHEMA)
+    df = spark.createDataFrame(rows_of([1, 2], x[:2])[1:3], SCHEMA)
     assert [tuple(r) for r in vectorjoin.pairs(df).collect()] == [(1, 2)]
     assert vectorjoin.pairs(df.limit(0)).count() == 0
     none = spark.createDataFrame([(1, 1, [0.0] * 4, "", "")], SCHEMA)
