@@ -24,7 +24,7 @@ def close(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if not k.startswith("p5")))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
