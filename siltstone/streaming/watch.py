@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -15,13 +14,12 @@ from siltstone.sources.store import IndexReport, Store
 BATCH_WAIT = "500 milliseconds"
 
 
-def watch(store: Store, roots: Sequence[str], checkpoint: str, report: Callable[[IndexReport], None] = lambda r: None, once: bool = False) -> StreamingQuery:
+def watch(store: Store, roots: Sequence[str], checkpoint: str, report: Callable[[IndexReport], None] = lambda r: None) -> StreamingQuery:
     """Catch up with a full pass, then index what changes.
 
     Every batch names the paths that differ from the snapshot before, however they came to: a
     rename or an atomic save needs no rule of its own, and what changed back is no change. A batch
-    that is repeated after a failure finds the hashes it left and does nothing twice. ``once``
-    ends the stream when it has caught up.
+    that is repeated after a failure finds the hashes it left and does nothing twice.
     """
     report(store.index(roots))
 
@@ -33,9 +31,4 @@ def watch(store: Store, roots: Sequence[str], checkpoint: str, report: Callable[
             report(done)
 
     stream = corpus.changes(store.spark, roots).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (stream.trigger(once=True) if once else stream.trigger(processingTime=BATCH_WAIT)).start()
-
-
-def inside(path: str, roots: Sequence[str]) -> bool:
-    real = os.path.realpath(path)
-    return any(os.path.commonpath([real, os.path.realpath(r)]) == os.path.realpath(r) for r in roots)
+    return stream.trigger(processingTime=BATCH_WAIT).start()
