@@ -35,7 +35,7 @@ def test_contents_and_places(spark):
         ("/p/src/c.py", "emit('// generated by ' + tool)\n# do not edit the order by hand\n# this was an auto-generated table; rewritten by hand\n" + HAND, []),
         ("/p/node_modules/x/README.MD", "# Read me", ["vendored"]), ("/p/vendor_portal/a.py", HAND, []), ("/p/docs/external_reviews/a.md", "text", []),
         ("/p/src/d.rs", "// Vendored from other 1.2, local changes: none.\nfn a() {}", ["vendored"]), ("/p/src/e.js", "function f(a){return a.b(a,34)};" * 60, ["minified"]),
-        ("/p/src/f.c", numbers, ["generated", "data"]), ("/p/src/g.py", blob, ["data"]), ("/p/src/h.ts", accessors, ["generated"]), ("/p/data.csv", "1,2,3\n" * 30, []),
+        ("/p/src/f.c", numbers, ["generated", "data"]), ("/p/src/g.py", blob, ["generated", "data"]), ("/p/src/h.ts", accessors, ["generated"]), ("/p/data.csv", "1,2,3\n" * 30, []),
         ("/p/x.pb.go", HAND, ["generated"]), ("/p/Cargo.LOCK", "[[package]]", ["generated"]), ("/p/src/i.py", None, []), ("/p/src/j.py", "", []), ("/p/src/k.py", ..., []), (None, HAND, []),
         ("/p/src/code_generator.py", HAND, []), ("/p/notes.md", "This file was automatically generated by x", []), ("/p/src/l.py", "# Diese Datei wurde automatisch von x erzeugt.\n" + HAND, ["generated"]),
     ]
