@@ -7,6 +7,10 @@ before and after it, and says for each leaf how likely it holds HTML, Markdown,
 markup or is sample code. It is trained here, in seconds, on ``TRAIN_DOCS`` documents written by
 the generator below with known labels; nothing is fitted to the data it is used on.
 
+A chunk that begins inside a fence, ``<pre>`` or listing of its file is read with that open: the
+signs that open and close them are gathered from all chunks of a document file and followed in its
+order (see ``seeds``).
+
 A kind is reported where the labeller proposes it (at least ``PROPOSE``) and an exact check then
 finds a sign of that kind outside sample code. The clean text is made from the same labels.
 """
@@ -14,6 +18,7 @@ finds a sign of that kind outside sample code. The clean text is made from the s
 from __future__ import annotations
 
 import html as html_entities
+import json
 import random
 import re
 from functools import lru_cache
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.plans.tables import spread
+from siltstone.plans.tables import spread, stage
 
 KINDS = ["html", "markdown", "wiki", "latex"]
 LABELS = [*KINDS, "code"]
@@ -34,6 +39,8 @@ TRAIN_DOCS = 1600
 PROPOSE = 0.05
 CODE_SURE = 0.7
 FEW = 500_000
+#: Chunks of a file that are followed at once; a longer file's buckets are combined.
+BUCKET = 1024
 PATH_DIM, WORD_DIM, SIGN_DIM, HIDDEN = 16, 32, 96, 24
 INPUTS = PATH_DIM + WORD_DIM + SIGN_DIM + 6
 
@@ -114,19 +121,38 @@ def _shown(token: str) -> str:
     return "0" if token[0].isdigit() else token.lower()
 
 
-def leaves(text: str) -> list[tuple[str, tuple[str, ...]]]:
-    """``(line, tag path)`` of the lines that aren't blank. The path names what is open before the line, and what encloses all of it."""
+#: Letters, in a state, of what holds sample code besides fences. A state is the open fence and the letters of the rest that is open.
+_HELD = {"p": "pre", "v": "env:verbatim", "l": "env:lstlisting"}
+_ALL = "".join(_HELD)
+_HOLDS = re.compile(r"`{3}|~{3}|</?pre\b|\\(?:begin|end)\{(?:verbatim|lstlisting)", re.I)
+_LISTING = re.compile(r"\\(begin|end)\{(verbatim|lstlisting)\*?\}")
+
+
+def _fence(line: str) -> tuple[str, bool] | None:
+    """The run of fence signs that a line begins with, and whether it is all of the line. A run of backticks with others after it is a code span."""
+    m = _FENCE.match(line)
+    if not m:
+        return None
+    run, rest = m.group(1), line[m.end() :]
+    return None if run[0] == "`" and "`" in rest else (run, not rest.strip())
+
+
+def leaves(text: str, state: str = "") -> list[tuple[str, tuple[str, ...]]]:
+    """``(line, tag path)`` of the lines that aren't blank. The path names what is open before the line, and what encloses all of it.
+
+    ``state`` is what the text begins in.
+    """
     out: list[tuple[str, tuple[str, ...]]] = []
-    path: list[str] = []
-    fence = ""
+    fence = state.rstrip(_ALL)
+    path = [_HELD[x] for x in state[len(fence) :]]
     for line in text.split("\n"):
         line = line.rstrip("\r")
         if not line.strip():
             continue
-        m = _FENCE.match(line)
-        if m and (not fence or (line.strip().startswith(fence) and not line.strip().strip(fence[0]))):
+        run, bare = _fence(line) or ("", False)
+        if run and (not fence or (bare and run.startswith(fence))):
             out.append((line, (*path, "fence-end" if fence else "fence-start")))
-            fence = "" if fence else m.group(1)
+            fence = "" if fence else run
             continue
         if fence:
             out.append((line, (*path, "fence")))
@@ -147,6 +173,80 @@ def leaves(text: str) -> list[tuple[str, tuple[str, ...]]]:
     return out
 
 
+# ---- what is open where a chunk begins
+
+
+def holds(text: str) -> list[tuple[int, str]]:
+    """Line (from 0) and sign of all that may open or close a fence (its run, with ``.`` if it is all of the line), ``<pre>`` or listing (``+p``, ``-p``)."""
+    out: list[tuple[int, str]] = []
+    if not _HOLDS.search(text):
+        return out
+    for i, line in enumerate(text.split("\n")):
+        if not _HOLDS.search(line):
+            continue
+        if found := _fence(line):
+            out.append((i, found[0] + "." * found[1]))
+            continue
+        bare = _SPAN.sub("`x`", line)
+        out += [(i, ("-" if m.group(1) else "+") + "p") for m in _TAG.finditer(bare) if m.group(2).lower() == "pre" and not m.group(3)]
+        out += [(i, ("+" if m.group(1) == "begin" else "-") + m.group(2)[0]) for m in _LISTING.finditer(bare)]
+    return out
+
+
+def advance(state: str, signs: list[str]) -> str:
+    """The state after some signs. Within a fence only its end counts."""
+    fence = state.rstrip(_ALL)
+    held = set(state[len(fence) :])
+    for sign in signs:
+        if sign[0] in "`~":
+            run = sign.rstrip(".")
+            if not fence:
+                fence = run
+            elif run != sign and run.startswith(fence):
+                fence = ""
+        elif not fence:
+            (held.add if sign[0] == "+" else held.discard)(sign[1])
+    return fence + "".join(x for x in _ALL if x in held)
+
+
+def effect(signs: list[str]) -> list[tuple[str, str, str]]:
+    """What some signs do to any state: ``(fence, state after it alone, state after it and all else open)`` for no fence and the longest fence that each closing line is the first to end."""
+    fences = {""}
+    for c in "`~":
+        longest = 0
+        for sign in signs:
+            if sign[0] == c and sign[-1] == "." and len(sign) - 1 > longest:
+                longest = len(sign) - 1
+                fences.add(c * longest)
+    return [(f, advance(f, signs), advance(f + _ALL, signs)) for f in sorted(fences)]
+
+
+def apply(done: list[tuple[str, str, str]], state: str) -> str:
+    """The state after signs of which only the effect is known. A fence that none of them ends stays, and so does what is open in it."""
+    fence = state.rstrip(_ALL)
+    for f, least, most in done:
+        if f.startswith(fence) and (fence or not f):
+            out = least.rstrip(_ALL)
+            held = state[len(fence) :]
+            return out + "".join(x for x in _ALL if x in most[len(out) :] and (x in least[len(out) :] or x in held))
+    return state
+
+
+def own_signs(rows: list[dict]) -> list[list[str]]:
+    """For each chunk in a file's order its signs on lines that no later chunk repeats.
+
+    Chunks that begin at one line are pieces of it, and all but the first begin within that line,
+    where no fence begins.
+    """
+    out = []
+    for k, r in enumerate(rows):
+        first, after = r["start_line"], rows[k + 1]["start_line"] if k + 1 < len(rows) else None
+        inside = k > 0 and rows[k - 1]["start_line"] == first
+        stop = after if after is not None and after > first else None
+        out.append([x for n, x in zip(r["at"] or [], r["sign"] or [], strict=True) if (stop is None or first + n < stop) and not (inside and n == 0 and x[0] in "`~")])
+    return out
+
+
 def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
     out = np.zeros((len(found), INPUTS), np.float32)
     for i, (line, path) in enumerate(found):
@@ -379,9 +479,9 @@ def labeller() -> Labeller:
     return model
 
 
-def label(model: Labeller, texts: list[str], batch: int = 256) -> list[tuple[list[tuple[str, tuple[str, ...]]], np.ndarray]]:
-    """Leaves of each text and the probabilities of their labels. Texts of like length go through the network together."""
-    found = [leaves(t) for t in texts]
+def label(model: Labeller, texts: list[str], batch: int = 256, states: list[str] | None = None) -> list[tuple[list[tuple[str, tuple[str, ...]]], np.ndarray]]:
+    """Leaves of each text, read from its state on, and the probabilities of their labels. Texts of like length go through the network together."""
+    found = [leaves(t, s or "") for t, s in zip(texts, states or [""] * len(texts), strict=True)]
     out: list = [(f, np.zeros((0, len(LABELS)), np.float32)) for f in found]
     order = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
     at = 0
@@ -425,14 +525,85 @@ def kinds_of(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray) -> list[st
 
 
 def _of_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``chunk_id, text`` of the chunks of document files.
+    """``chunk_id, text, state`` of the chunks of document files.
 
     Up to ``FEW`` document files their ids (8 bytes each) are broadcast, and no text is shuffled;
-    beyond that both sides are shuffled by file, and AQE splits files of very many chunks.
+    beyond that both sides are shuffled by file, and AQE splits files of very many chunks. So it is
+    with the states. Chunks without ``ord`` and ``start_line`` are read by themselves.
     """
     own = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(DOCUMENTS)).select("file_id").distinct()
     small = own.limit(FEW + 1).count() <= FEW
-    return spread(chunks.select("chunk_id", "file_id", "text")).join(F.broadcast(own) if small else own, "file_id", "left_semi").select("chunk_id", "text")
+    placed = {"ord", "start_line"} <= set(chunks.columns)
+    rows = spread(chunks.select("chunk_id", "file_id", "text", *(["ord", "start_line"] if placed else []))).join(F.broadcast(own) if small else own, "file_id", "left_semi")
+    if not placed:
+        return rows.select("chunk_id", "text", F.lit("").alias("state"))
+    begun = seeds(rows)
+    few = begun.limit(FEW + 1).count() <= FEW
+    return rows.select("chunk_id", "text").join(F.broadcast(begun) if few else begun, "chunk_id", "left").select("chunk_id", "text", F.coalesce("state", F.lit("")).alias("state"))
+
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """``chunk_id, state`` of the chunks that begin with something open, from all chunks of their files by ``ord``.
+
+    A chunk's signs are some bytes. ``BUCKET`` chunks are a group, whatever their file's length; the
+    groups of a longer file are followed by their effects alone, one row each.
+    """
+
+    def gather(batches):
+        for b in batches:
+            found = [holds(t or "") for t in b.column("text").to_pylist()]
+            at = pa.array([[n for n, _ in x] for x in found], pa.list_(pa.int32()))
+            sign = pa.array([[s for _, s in x] for x in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("chunk_id", "file_id", "ord", "start_line")), at, sign], ["chunk_id", "file_id", "ord", "start_line", "at", "sign"])
+
+    told = rows.where("ord is not null and start_line is not null").select("chunk_id", "file_id", F.col("ord").cast("long"), F.col("start_line").cast("long"), "text").mapInArrow(gather, "chunk_id long, file_id long, ord long, start_line long, at array<int>, sign array<string>")
+    bucket = F.floor(F.col("ord") / BUCKET)
+    # the first chunk of a bucket also ends the one before
+    both = F.when((F.col("ord") % BUCKET == 0) & (F.col("ord") > 0), F.array(bucket, bucket - 1)).otherwise(F.array(bucket))
+    told = told.withColumn("bucket", F.explode(both))
+    groups = told.groupBy("file_id", "bucket").agg(F.sort_array(F.collect_list(F.struct("ord", "start_line", "chunk_id", "at", "sign"))).alias("rows"), F.max(F.size("sign")).alias("signs"))
+    groups = stage(groups.select("file_id", "bucket", "rows", "signs"), "holds")
+
+    def ordered(rows, bucket):
+        kept = []
+        for r in rows:
+            if not kept or r["chunk_id"] != kept[-1]["chunk_id"]:  # repeated rows
+                kept.append(r)
+        signs = own_signs(kept)
+        return [(r, x) for r, x in zip(kept, signs, strict=True) if r["ord"] // BUCKET == bucket]
+
+    def sum_up(batches):
+        for b in batches:
+            done = [json.dumps(effect([s for _, x in ordered(r, k) for s in x])) for r, k in zip(b.column("rows").to_pylist(), b.column("bucket").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("bucket"), pa.array(done, pa.string())], ["file_id", "bucket", "done"])
+
+    def carry(batches):
+        for b in batches:
+            out = []
+            for file, buckets in zip(b.column("file_id").to_pylist(), b.column("buckets").to_pylist(), strict=True):
+                state = ""
+                for x in buckets:
+                    out.append((file, x["bucket"], state))
+                    state = apply(json.loads(x["done"]), state)
+            out = [x for x in out if x[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["file_id", "bucket", "carried"])
+
+    def follow(batches):
+        for b in batches:
+            ids, states = [], []
+            for rows, k, state in zip(b.column("rows").to_pylist(), b.column("bucket").to_pylist(), b.column("carried").to_pylist(), strict=True):
+                for r, x in ordered(rows, k):
+                    if state:
+                        ids.append(r["chunk_id"])
+                        states.append(state)
+                    state = advance(state or "", x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(states, pa.string())], ["chunk_id", "state"])
+
+    long = groups.join(groups.where("bucket > 0").select("file_id").distinct(), "file_id", "left_semi").select("rows", "file_id", "bucket")
+    effects = long.mapInArrow(sum_up, "file_id long, bucket long, done string")
+    carried = effects.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "done"))).alias("buckets")).mapInArrow(carry, "file_id long, bucket long, carried string")
+    begun = groups.join(carried, ["file_id", "bucket"], "left").where("signs > 0 or carried is not null").select("rows", "bucket", "carried").mapInArrow(follow, "chunk_id long, state string")
+    return stage(begun.distinct(), "begun")
 
 
 def chunk_kinds(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -446,7 +617,7 @@ def chunk_kinds(files: DataFrame, chunks: DataFrame) -> DataFrame:
     def find(batches):
         for b in batches:
             ids, kinds = [], []
-            for i, (found, p) in zip(b.column("chunk_id").to_pylist(), label(model, [t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for i, (found, p) in zip(b.column("chunk_id").to_pylist(), label(model, [t or "" for t in b.column("text").to_pylist()], states=b.column("state").to_pylist()), strict=True):
                 for k in kinds_of(found, p):
                     ids.append(i)
                     kinds.append(k)
@@ -545,7 +716,7 @@ def clean_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            done = [None if t is None else clean(*x) for t, x in zip(texts, label(model, [t or "" for t in texts]), strict=True)]
+            done = [None if t is None else clean(*x) for t, x in zip(texts, label(model, [t or "" for t in texts], states=b.column("state").to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(done, pa.string())], ["chunk_id", "text"])
 
     rows = _of_documents(files, chunks)

@@ -79,3 +79,54 @@ def test_tables(spark, model):
     clean = {r["chunk_id"]: r["text"] for r in markup.clean_chunks(files, chunks).collect()}
     assert set(clean) == {1, 3, 4, 6} and clean[3] is None and clean[4] == "" and clean[6].endswith("&")
     assert markup.chunk_kinds(files, chunks.limit(0)).count() == 0 and markup.chunk_kinds(files.limit(0), chunks).count() == 0
+
+
+CODE = "```python\nx = run(a)[0]\n" + "y = x[[1]]\nz = '<b>' + y\n" * 3
+
+
+def pieces(text, n, overlap=2):
+    lines = text.split("\n")
+    return [(k, at + 1, "\n".join(lines[at : at + n])) for k, at in enumerate(range(0, len(lines), n - overlap))]
+
+
+@pytest.mark.parametrize("bucket", [2, 3, 1024])
+def test_chunks_begin_in_what_is_open(spark, monkeypatch, bucket):
+    monkeypatch.setattr(markup, "BUCKET", bucket)
+    texts = {
+        1: PROSE + CODE + "````\n" + "~~~\n" + PROSE + "~~~\n" + PROSE + "It links to [[Main page|the start]] of it.\n",
+        2: "````\n```\n" + PROSE * 3 + "```\n````\n" + PROSE + "It is \\emph{very} important.\n" + "```run``` is a word\n" + PROSE * 3,
+        3: PROSE + "<pre>\n" + "a < b\n" * 9 + "</pre>\n" + PROSE * 3 + "\\begin{verbatim}\n" + "x = y\n" * 9 + "\\end{verbatim}\n" + PROSE,
+    }
+    rows = [(100 * f + k, f, k, at, t) for f, text in texts.items() for k, at, t in pieces(text, 5)]
+    df = spark.createDataFrame(rows + rows[:9], "chunk_id long, file_id long, ord int, start_line int, text string")
+    state = {r["chunk_id"]: r["state"] for r in markup.seeds(df).collect()}
+    assert set("".join(state.values())) == set("`~pv")
+    for f, text in texts.items():
+        whole, lines = markup.leaves(text), text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        for i, own, at, t in ((100 * f + k, f, at, t) for k, at, t in pieces(text, 5)):
+            inside = [x for n, x in zip(full, whole, strict=True) if at - 1 <= n < at - 1 + len(t.split("\n"))]
+            assert markup.leaves(t, state.get(i, "")) == inside, (own, at)
+
+
+def test_pieces_of_one_line():
+    rows = [{"start_line": a, "at": [0] * len(s), "sign": s} for a, s in ((1, ["+p"]), (1, ["```"]), (1, ["-p"]), (2, ["```."]))]
+    assert markup.own_signs(rows) == [["+p"], [], ["-p"], ["```."]]
+
+
+def test_effect_is_that_of_the_signs():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        signs = list(rng.choice(["```", "```.", "````.", "`````.", "~~~.", "~~~~", "+p", "-p", "+v", "-v"], rng.integers(0, 9)))
+        for state in ("", "p", "pv", "```", "````l", "``````p", "~~~~v"):
+            assert markup.apply(markup.effect(signs), state) == markup.advance(state, signs)
+
+
+def test_signs_after_an_orphan_fence(spark):
+    text = PROSE + CODE + "```\n" + "It links to [[Main page|the start]] of it.\nFish &amp; chips are in the house.\n" + PROSE
+    lines = text.split("\n")
+    files = spark.createDataFrame([(1, "/a/x.md")], "file_id long, path string")
+    chunks = spark.createDataFrame([(1, 1, 0, 1, "\n".join(lines[:8])), (2, 1, 1, 7, "\n".join(lines[6:]))], "chunk_id long, file_id long, ord int, start_line int, text string")
+    assert {tuple(r) for r in markup.chunk_kinds(files, chunks).collect()} >= {(2, "wiki"), (2, "html")}
+    clean = {r["chunk_id"]: r["text"] for r in markup.clean_chunks(files, chunks).collect()}
+    assert clean[2].endswith("```\nIt links to the start of it.\nFish & chips are in the house.\n" + PROSE.strip())
