@@ -9,8 +9,9 @@ A segment is stuffing if it is
 - content words most of which recur within ``NEAR`` words, with next to no function words,
 - the same at one lag, with some function words but no sentence (a phrase repeated with a
   changing word), or
-- a list of words without any function word, sign of a sentence, figure or code (distinct nouns
-  between separators).
+- a list of a few words between separators, with next to no function words and no sign of a
+  sentence, table, figure or code, in a run of such lists that has ``MANY`` distinct words. Nothing
+  needs to recur in it; a short list is honest.
 
 Code, logs, tables of figures and pinned versions are told by their signs and never count. A page
 is a case if stuffing makes up more than ``SHARE`` of what is judged. Null and empty texts are no
@@ -34,6 +35,7 @@ WINDOW = 64
 LAGS = 24
 WIDE = 400
 PROSE = 0.36
+MANY = 24
 #: Function words of the corpus' languages, which no sentence of some length does without.
 FUNCTION = frozenset(
     """the of and to a an in is it its that this these those for on with as was were be been by are at from not nor or but have has had if when then than only we
@@ -52,6 +54,7 @@ _FIGURE = re.compile(r"(?<!\S)\S*\d\S*")
 _SENTENCE = re.compile(r"[.!?][\"')]*\s*$")
 _BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý¿¡\"'(])")
 _SEPARATORS = re.compile(r"[|»›/,;•·>]|\s[-–—]\s")
+_NO_LIST = re.compile(r"[{}\[\]()=<$`\\]|::|->|\w[._]\w|^\s*\||:.*:", re.S)
 _META = re.compile(r"<meta\s+name=.keywords.[^>]*>", re.I)
 
 
@@ -97,6 +100,12 @@ def recurrence(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, np.minimum(best, 1)
 
 
+def is_list(seg: str, n: int) -> bool:
+    """Whether a segment of ``n`` words is a list: four items or more of 2.5 words on the average, and no sign of anything else."""
+    items = 1 + len(_SEPARATORS.findall(seg.strip().rstrip(",;|·•")))
+    return items >= 4 and n <= 2.5 * items and not _SENTENCE.search(seg) and not _NO_LIST.search(seg) and len(_FIGURE.findall(seg)) <= 0.1 * n
+
+
 def stuffed_share(text: str) -> float:
     """The share of the judged characters that is stuffing."""
     found = list(_WORD.finditer(text))
@@ -111,6 +120,7 @@ def stuffed_share(text: str) -> float:
     content_near = np.r_[0, np.cumsum(near & ~function)]
     functions, lags = np.r_[0, np.cumsum(function)], np.r_[0, np.cumsum(best)]
     bad = total = 0
+    run, run_words = 0, set()  # the lists since the last segment of another form
     for a, b in segments(text):
         seg = text[a:b]
         size = len(seg.strip())
@@ -126,11 +136,17 @@ def stuffed_share(text: str) -> float:
         f = (functions[hi] - functions[lo]) / n
         recur = (content_near[hi] - content_near[lo]) / max(1, n - (functions[hi] - functions[lo]))
         lag = (lags[hi] - lags[lo]) / n
-        if not links and (len(_CODE.findall(seg)) >= 2 + n / 12 or len(_FIGURE.findall(seg)) >= max(3, 0.25 * len(seg.split()))):
-            continue
+        coded = not links and (len(_CODE.findall(seg)) >= 2 + n / 12 or len(_FIGURE.findall(seg)) >= max(3, 0.25 * len(seg.split())))
         listed = len(_SEPARATORS.findall(seg)) >= max(2, n / 5)
-        if (f < 0.1 and recur >= 0.6) or (f < 0.3 and lag >= 0.45 and recur >= 0.6 and not _SENTENCE.search(seg)) or (f < 0.05 and n >= 4 and (listed or links) and recur >= 0.3) or (f < 0.05 and n >= 5 and recur >= 0.4) or (f == 0 and n <= 10 and _HOST.search(seg)):
+        if not coded and ((f < 0.1 and recur >= 0.6) or (f < 0.3 and lag >= 0.45 and recur >= 0.6 and not _SENTENCE.search(seg)) or (f < 0.05 and n >= 4 and (listed or links) and recur >= 0.3) or (f < 0.05 and n >= 5 and recur >= 0.4) or (f == 0 and n <= 10 and _HOST.search(seg))):
             bad += size
+        elif f < 0.05 and is_list(seg, n):
+            run += size
+            run_words.update(ids[lo:hi].tolist())
+        elif coded or n > 3:
+            bad += run if len(run_words) >= MANY else 0
+            run, run_words = 0, set()
+    bad += run if len(run_words) >= MANY else 0
     return bad / total if total else 0.0
 
 

@@ -38,3 +38,21 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars string")
     assert [r[0] for r in stuffing.found(df).collect()] == [1, 1]
     assert stuffing.found(df.limit(0)).count() == 0
+
+
+NOUNS = "sandals boots loafers sneakers clogs mules pumps slippers brogues moccasins espadrilles wedges heels flats trainers cleats galoshes wellingtons oxfords derbies monks plimsolls stilettos kitten platforms gladiators huaraches jellies slides thongs skates spikes waders chukkas jodhpurs ugg desert chelsea cowboy hiking ankle knee riding rain snow work combat dress court golf tennis bowling dance ballet".split()
+
+
+@pytest.mark.parametrize("between", [", ", " | ", "; ", " · ", ","])
+def test_distinct_keywords(between):
+    assert stuffing.stuffed_share(between.join(NOUNS)) > 0.9
+    assert stuffing.stuffed_share("\n".join(between.join(NOUNS[i : i + 6]) for i in range(0, len(NOUNS), 6))) > 0.8
+    assert stuffing.stuffed_share("Great shoes\n" + PROSE + "\n" + between.join(NOUNS)) > 0.5
+
+
+def test_honest_lists_of_distinct_words():
+    assert stuffing.stuffed_share(", ".join(NOUNS[:12])) == 0
+    assert stuffing.stuffed_share(("Kinds: " + ", ".join(NOUNS[:9]) + "\n") + PROSE + "\n" + ", ".join(NOUNS[9:18])) == 0
+    assert stuffing.stuffed_share("\n".join("| " + " | ".join(NOUNS[i : i + 4]) + " |" for i in range(0, 40, 4))) == 0
+    assert stuffing.stuffed_share("\n".join(f"{a}: {b}, {c}: {d}, {e}" for a, b, c, d, e in zip(*[iter(NOUNS)] * 5))) == 0
+    assert stuffing.stuffed_share("\n".join(f"{a}({b}, {c}); {d}, {e}" for a, b, c, d, e in zip(*[iter(NOUNS)] * 5))) == 0
