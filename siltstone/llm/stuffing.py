@@ -15,8 +15,8 @@ A segment is stuffing if it is
 
 Code, logs, tables of figures and pinned versions are told by their signs and never count. A page
 is a case if stuffing makes up more than ``SHARE`` of what is judged. Null and empty texts are no
-cases. Every character of a text is judged; a page without links of which more than ``PROSE`` of
-the words are function words is prose without a closer look.
+cases. Every character of a text is judged. Recurrence is counted only where the segments that may
+be stuffing at all, by their links and function words, make up enough of the page.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ NEAR = 48
 WINDOW = 64
 LAGS = 24
 WIDE = 400
-PROSE = 0.36
 MANY = 24
 #: Function words of the corpus' languages, which no sentence of some length does without.
 FUNCTION = frozenset(
@@ -106,28 +105,34 @@ def is_list(seg: str, n: int) -> bool:
     return items >= 4 and n <= 2.5 * items and not _SENTENCE.search(seg) and not _NO_LIST.search(seg) and len(_FIGURE.findall(seg)) <= 0.1 * n
 
 
-def stuffed_share(text: str) -> float:
-    """The share of the judged characters that is stuffing."""
+def stuffed_share(text: str, share: float = SHARE) -> float:
+    """The share of the judged characters that is stuffing, or 0 where it can't be more than ``share``."""
     found = list(_WORD.finditer(text))
     words = [m.group().lower() for m in found]
-    if sum(map(FUNCTION.__contains__, words)) > PROSE * len(words) and sum(len(m.group()) for m in _LINK.finditer(text)) < 0.25 * len(text):
-        return 0.0
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    near, best = recurrence(ids)
     starts = np.fromiter((m.start() for m in found), np.int64, len(found))
     function = np.fromiter((w in FUNCTION for w in words), bool, len(words))
-    content_near = np.r_[0, np.cumsum(near & ~function)]
-    functions, lags = np.r_[0, np.cumsum(function)], np.r_[0, np.cumsum(best)]
-    bad = total = 0
-    run, run_words = 0, set()  # the lists since the last segment of another form
+    functions = np.r_[0, np.cumsum(function)]
+    parts = []
+    may = total = 0
     for a, b in segments(text):
         seg = text[a:b]
         size = len(seg.strip())
         lo, hi = np.searchsorted(starts, (a, b))
-        n = int(hi - lo)
-        total += size
         links = sum(len(m.group()) for m in _LINK.finditer(seg))
+        parts.append((seg, size, lo, hi, links))
+        total += size
+        if links >= 0.5 * size or functions[hi] - functions[lo] < 0.3 * (hi - lo) or _META.search(seg):
+            may += size
+    if may <= share * total:
+        return 0.0
+    near, best = recurrence(ids)
+    content_near, lags = np.r_[0, np.cumsum(near & ~function)], np.r_[0, np.cumsum(best)]
+    bad = 0
+    run, run_words = 0, set()  # the lists since the last segment of another form
+    for seg, size, lo, hi, links in parts:
+        n = int(hi - lo)
         if _META.search(seg) or links >= 0.5 * size:
             bad += size
             continue
@@ -155,7 +160,7 @@ def found(documents: DataFrame, share: float = SHARE) -> DataFrame:
 
     def judge(batches):
         for b in batches:
-            keep = [i for i, t in enumerate(b.column("text").to_pylist()) if t and stuffed_share(t) > share]
+            keep = [i for i, t in enumerate(b.column("text").to_pylist()) if t and stuffed_share(t, share) > share]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep, pa.int64()))], ["doc_id"])
 
     return spread(documents.select("doc_id", "text")).mapInArrow(judge, "doc_id long")

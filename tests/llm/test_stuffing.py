@@ -56,3 +56,12 @@ def test_honest_lists_of_distinct_words():
     assert stuffing.stuffed_share("\n".join("| " + " | ".join(NOUNS[i : i + 4]) + " |" for i in range(0, 40, 4))) == 0
     assert stuffing.stuffed_share("\n".join(f"{a}: {b}, {c}: {d}, {e}" for a, b, c, d, e in zip(*[iter(NOUNS)] * 5))) == 0
     assert stuffing.stuffed_share("\n".join(f"{a}({b}, {c}); {d}, {e}" for a, b, c, d, e in zip(*[iter(NOUNS)] * 5))) == 0
+
+
+def test_phrases_beside_much_prose():
+    phrase = "buy the red cabinet rack in Rome " * 8
+    prose = "When it is late, we do not keep the lock and it has to be there for all of us. "
+    text = "\n".join([phrase] * 3 + [prose * 3] * 2)
+    words = stuffing._WORD.findall(text.lower())
+    assert sum(map(stuffing.FUNCTION.__contains__, words)) > 0.36 * len(words)
+    assert stuffing.stuffed_share(text) > 0.5
