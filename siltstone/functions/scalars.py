@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 KB = 1024
 
 
+def _shifted(n: Column, bits: int) -> Column:
+    """``n`` divided by a power of two, to whole numbers; halves go to the even one."""
+    q, rest, half = F.shiftright(n, bits), n.bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+    return q + F.when((rest > half) | ((rest == half) & (q % 2 == 1)), 1).otherwise(0)
+
+
 def human_bytes(n: Column) -> Column:
-    """``B``, ``KB`` without and ``MB`` with one decimal."""
-    return F.when(n < KB, F.format_string("%d B", n)).when(n < KB * KB, F.format_string("%.0f KB", n / F.lit(float(KB)))).otherwise(F.format_string("%.1f MB", n / F.lit(float(KB * KB))))
+    """``B``, ``KB`` without and ``MB`` with one decimal. Halves go to the even digit; null for null."""
+    n = n.cast("long")
+    tenths = _shifted(n * 10, 20)
+    mb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
+    return F.when(n < KB, F.format_string("%d B", n)).when(n < KB * KB, F.concat(_shifted(n, 10).cast("string"), F.lit(" KB"))).otherwise(mb)
 
 
 def human_duration(seconds: Column) -> Column:

@@ -148,9 +148,9 @@ SELECT file_id, regexp_extract(path, '([^/]+)/*$', 1) AS name, regexp_extract(pa
 FROM files WHERE bytes % 1024 <> 512
 """)
 def path_parts(spark, d):
-    """Sizes half-way between two whole KB are left to either side's rounding."""
+    """All files. The SQL leaves out those whose size is half-way between two whole KB, and those without one."""
     p = F.col("path")
-    return table(spark, d, "files").where("bytes % 1024 <> 512").select("file_id", scalars.file_name(p).alias("name"), scalars.parent(p).alias("parent"), scalars.extension(p).alias("ext"), scalars.human_bytes(F.col("bytes")).alias("size"))
+    return table(spark, d, "files").select("file_id", scalars.file_name(p).alias("name"), scalars.parent(p).alias("parent"), scalars.extension(p).alias("ext"), scalars.human_bytes(F.col("bytes")).alias("size"))
 
 
 @query("""

@@ -54,3 +54,14 @@ def test_scalars(spark):
     durations = spark.createDataFrame([(30.0,), (120.0,), (7200.0,)], "s double")
     assert scalars.progress(10, 30, 50, 5.0) == "10/30 files, 10.0 chunks/s, 10s left" and scalars.progress(0, 3, 0, 0.0).startswith("0/3")
     assert [r[0] for r in durations.select(scalars.human_duration(durations.s)).collect()] == ["30s", "2m", "2.0h"]
+
+
+def test_path_parts_has_every_file(spark, tmp_path):
+    from siltstone.operators import queries
+
+    sizes = [0, 512, 1023, 1024, 1536, 2560, 2561, 3584, 1048575, 1048576, 1310720, 1835008, 3 * 1048576 + 52429, None]
+    rows = [(i, f"/a/b{i}/x.Rs", n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "file_id long, path string, bytes long").write.parquet(str(tmp_path / "files.parquet"))
+    got = {r["file_id"]: r["size"] for r in queries.path_parts(spark, str(tmp_path)).collect()}
+    want = ["0 B", "512 B", "1023 B", "1 KB", "2 KB", "2 KB", "3 KB", "4 KB", "1024 KB", "1.0 MB", "1.2 MB", "1.8 MB", "3.1 MB", None]
+    assert [got.get(i, "missing") for i in range(len(sizes))] == want
