@@ -44,7 +44,6 @@ NAMES = (
     r"(?:^|/)[^/]*\.lock$",
     r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|go\.sum|gradlew(?:\.bat)?)$",
 )
-HEAD_LINES = 40
 MINED_FROM = 2
 PACKED_LINE = 200
 PACKED_BLANKS = 0.1
@@ -82,10 +81,9 @@ _WORD = re.compile(r"\w+")
 SIGNS = ["generated", "foreign", "lines", "data", "long_chars", "long_blanks", "chars", "shaped", "shapes"]
 
 
-def signs(text: str, first_line: int) -> tuple[int, ...]:
+def signs(text: str) -> tuple[int, ...]:
     """What one chunk tells, as counts that add up over a file's chunks (see ``SIGNS``)."""
     lines = text.split("\n")
-    head = "\n".join(lines[: max(0, HEAD_LINES - first_line + 1)])
     full = [x for x in lines if x.strip()]
     data = sum(1 for x in full if _DATA.match(x))
     packed = [x for x in full if len(x) >= PACKED_LINE]
@@ -95,7 +93,7 @@ def signs(text: str, first_line: int) -> tuple[int, ...]:
         common = Counter(_WORD.sub("w", text).split("\n"))
         shaped = sum(n for x, n in Counter({k: v for k, v in common.items() if k.strip()}).most_common(3) if n > 1)
     return (
-        int(bool(head) and bool(_GENERATED.search(head))), int(bool(head) and bool(_FOREIGN.search(head))), len(full), data,
+        int(bool(_GENERATED.search(text))), int(bool(_FOREIGN.search(text))), len(full), data,
         sum(map(len, packed)), sum(x.count(" ") + x.count("\t") for x in packed), sum(map(len, full)), shaped, shapes,
     )
 
@@ -105,13 +103,12 @@ def file_signs(chunks: DataFrame) -> DataFrame:
 
     def tell(batches):
         for b in batches:
-            first = b.column("start_line").to_pylist()
-            rows = [signs(t, n or 1) for t, n in zip(b.column("text").to_pylist(), first, strict=True)]
+            rows = [signs(t) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows, strict=True)) or [[] for _ in SIGNS]
             yield pa.RecordBatch.from_arrays([b.column("file_id"), *(pa.array(list(c), pa.int64()) for c in cols)], ["file_id", *SIGNS])
 
     schema = "file_id long, " + ", ".join(f"{s} long" for s in SIGNS)
-    told = spread(chunks.where("text is not null and file_id is not null").select("file_id", "start_line", "text")).mapInArrow(tell, schema)
+    told = spread(chunks.where("text is not null and file_id is not null").select("file_id", "text")).mapInArrow(tell, schema)
     return told.groupBy("file_id").agg(*(F.sum(s).alias(s) for s in SIGNS))
 
 

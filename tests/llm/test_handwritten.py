@@ -56,3 +56,10 @@ def test_empty(spark):
     f = spark.createDataFrame([], "file_id long, path string")
     c = spark.createDataFrame([], "file_id long, start_line int, text string")
     assert h.found(f, c).count() == 0
+
+
+def test_statement_at_the_end(spark):
+    body = "\n".join(f"let {'abcdefghij'[i % 10] * (1 + i % 7)} = {'run(' * (i % 5)}x{')' * (i % 5)};" + " y" * (i % 3) for i in range(60))
+    rows = [(1, 1, body), (1, 61, "done();\n// Code generated by tool. DO NOT EDIT."), (2, 1, body), (2, 61, "done();\nlet s = 1; // it was generated by hand"), (3, 1, body), (3, 61, "// vendored from upstream")]
+    told = {r["file_id"]: r for r in h.file_signs(spark.createDataFrame(rows, "file_id long, start_line int, text string")).collect()}
+    assert [told[i]["generated"] for i in (1, 2, 3)] == [1, 0, 0] and [told[i]["foreign"] for i in (1, 2, 3)] == [0, 0, 1]
