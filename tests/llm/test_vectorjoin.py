@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import vectorjoin
@@ -33,7 +34,7 @@ def rows_of(ids, x):
 def test_all_lists_searched_is_exact(spark, data):
     ids, x = data
     df = spark.createDataFrame(rows_of(ids, x), SCHEMA)
-    got = {r["chunk_id"]: r["ids"] for r in vectorjoin.neighbours(df, lists=4, probes=4).collect()}
+    got = {r["chunk_id"]: r["ids"] for r in vectorjoin.neighbours(df, lists=4, probes=None).collect()}
     assert got == brute(ids, x.astype(np.float64), 5)
 
 
@@ -57,16 +58,55 @@ def test_small_and_empty(spark, data):
     assert vectorjoin.neighbours(flat, lists=1).count() == 9
 
 
-def test_bounds_hold_and_blocks_agree(data):
+def block_of(unit):
+    ids = pa.array([[i] for i in range(len(unit))], pa.list_(pa.int64()))
+    return vectorjoin.Block(unit, ids, unit.mean(0).astype(np.float32), vectorjoin.rotation(64))
+
+
+def test_bounds_hold_and_prune(data):
     _, x = data
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
-    block = vectorjoin.Block(unit, [np.array([i]) for i in range(len(unit))], unit.mean(0).astype(np.float32), vectorjoin.rotation(64))
-    about, off = block.estimate(unit.astype(np.float32))
-    inside = np.abs(about - unit @ unit.T) <= off + 0.02  # rounding the searching side adds a little
-    assert inside.mean() > 0.98
+    block = block_of(unit)
+    r = (unit - block.centroid) @ block.turn.T
+    bound = np.c_[r, np.sqrt((r * r).sum(1)), np.ones(len(r))] @ block.columns() + 1 - (r * r).sum(1)[:, None] / 2
+    assert (bound >= unit @ unit.T - 1e-5).mean() > 0.998
+    assert (bound - unit @ unit.T).mean() < 0.25
     exact = np.round(unit @ unit.T, 12)
-    for i, (ids, _) in enumerate(block.search(unit[:50], 6)):
-        assert set(ids) == set(sorted(range(len(unit)), key=lambda j: (-exact[i, j], j))[:6])
+    counts, ids, sims, kept, edge = block.search(unit[:50], 6)
+    assert (counts == 6).all() and kept.mean() < 0.4 * len(unit)
+    for i, (own, s) in enumerate(zip(ids.reshape(50, 6), sims.reshape(50, 6))):
+        assert list(own) == sorted(range(len(unit)), key=lambda j: (-exact[i, j], j))[:6]
+        assert np.allclose(s, exact[i, own]) and abs(edge[i] - s[-1]) < 1e-5
+
+
+def test_a_threshold_leaves_out_what_is_below(data):
+    _, x = data
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+    counts, ids, sims, kept, _ = block_of(unit).search(unit[:20], 6, np.full(20, 0.9999, np.float32))
+    assert (sims >= 0.9998).all() and counts.min() >= 1 and kept.mean() < 0.2 * len(unit)
+
+
+def test_no_list_that_holds_a_better_vector_is_passed_over(data):
+    _, x = data
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = vectorjoin.fit(unit, 9)
+    near, best = vectorjoin._nearest(unit, c, 1)
+    near, radii = near[:, 0], np.full(9, -1, np.float32)
+    np.maximum.at(radii, near, np.sqrt(np.maximum(0, best[:, 0] + 1)))
+    lists = vectorjoin.Lists(c, radii, None)
+    sim = unit @ unit.T
+    for i in range(0, len(unit), 7):
+        tau = np.sort(sim[i][near == near[i]])[-6:][0]
+        asked = set(lists.others(unit[i : i + 1], int(near[i]), np.array([tau]))[1].tolist())
+        assert {int(n) for n, s in zip(near, sim[i]) if s > tau + 1e-6 and n != near[i]} <= asked
+
+
+def test_kept_share(spark, data):
+    ids, x = data
+    df = spark.createDataFrame(rows_of(ids, x), SCHEMA)
+    r = vectorjoin.kept_share(df, lists=2).first()
+    assert 0 < r["share"] < 0.5 and r["compared"] < r["estimated"] and r["blocks"] >= 1
+    assert vectorjoin.kept_share(df.limit(0)).first()["estimated"] == 0
 
 
 def test_skewed_lists_are_cut_in_blocks(spark, data, monkeypatch):
