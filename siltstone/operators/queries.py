@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import scalars
 from siltstone.functions.filters import Filter, allowed_chunks, languages, listed_paths, matching_files
 from siltstone.operators import change, chunking, fusion, incremental, keyword, vectors
-from siltstone.plans.tables import stage, table
+from siltstone.plans.tables import own_folder, stage, table
 from siltstone.streaming import sessions
 
 QUERIES, SQL = {}, {}
@@ -37,16 +37,50 @@ SELECT n.path FROM newest n LEFT JOIN files f ON f.path = n.path
 WHERE coalesce(f.hash, '') = '' OR (n.seen_at > f.indexed_at AND n.seen_hash <> lower(f.hash))
 """)
 def p2_found(spark, d):
-    """Paths to index. The ledger is empty: no run's arrivals were committed to it yet."""
-    done = spark.createDataFrame([], incremental.INTERVALS)
-    return incremental.paths_to_index(table(spark, d, "files"), table(spark, d, "listing"), done)
+    """Paths to index: the ledger begins with the arrivals that finished runs have processed, the next run takes the gaps and commits."""
+    return _ledger(spark, d).output(2)
 
 
-@query(r"""
-WITH n AS (SELECT DISTINCT arrival_no AS n, arrival_no // 65536 AS span FROM listing),
-g AS (SELECT span, n, n - row_number() OVER (PARTITION BY span ORDER BY n) AS run FROM n)
+def _ledger(spark, d):
+    files, listing = table(spark, d, "files"), table(spark, d, "listing")
+    ledger = incremental.Ledger(spark, own_folder(spark, "ledger"))
+    ledger.seed(incremental.reflected(files, listing, table(spark, d, "runs")))
+    incremental.next_run(ledger, files, listing)
+    return ledger
+
+
+_REFLECTED = r"""
+WITH seen AS (SELECT arrival_no, regexp_replace(path, '/(?:\.?/)+', '/', 'g') AS path, seen_at, lower(hash) AS h FROM listing
+              WHERE seen_at <= (SELECT max(finished_at) FROM runs WHERE outcome = 'ok')),
+done AS (SELECT arrival_no AS n FROM seen WHERE h IS NULL UNION
+         SELECT arrival_no FROM seen JOIN files f USING (path) WHERE f.hash <> '' AND (lower(f.hash) = h OR seen_at <= indexed_at))
+"""
+_ISLANDS = """
+g AS (SELECT n // 65536 AS span, n, n - row_number() OVER (PARTITION BY n // 65536 ORDER BY n) AS run FROM {0})
 SELECT span, min(n) AS lo, max(n) AS hi FROM g GROUP BY span, run
-""")
+"""
+
+
+@query(_REFLECTED + ", " + _ISLANDS.format("done"))
+def p2_reflected(spark, d):
+    """Intervals of the arrivals that finished runs have processed."""
+    return incremental.reflected(table(spark, d, "files"), table(spark, d, "listing"), table(spark, d, "runs"))
+
+
+@query(_REFLECTED + "SELECT arrival_no FROM listing WHERE arrival_no NOT IN (SELECT n FROM done)")
+def p2_pending(spark, d):
+    """Arrivals in the gaps: late, failed, killed or new."""
+    done = incremental.reflected(table(spark, d, "files"), table(spark, d, "listing"), table(spark, d, "runs"))
+    return incremental.pending(table(spark, d, "listing").select("arrival_no"), "arrival_no", stage(done, "reflected"))
+
+
+@query("WITH n AS (SELECT DISTINCT arrival_no AS n FROM listing), " + _ISLANDS.format("n"))
+def p2_committed(spark, d):
+    """Intervals after the next run: its own merged with those before it."""
+    return _ledger(spark, d).done()
+
+
+@query("WITH n AS (SELECT DISTINCT arrival_no AS n FROM listing), " + _ISLANDS.format("n"))
 def p2_intervals(spark, d):
     return incremental.islands(table(spark, d, "listing"), "arrival_no")
 

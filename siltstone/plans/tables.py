@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.plans import folders
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory; columns and filters reach its scan."""
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folders.make_for_session(spark, path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -40,22 +48,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     and lets several consumers share one evaluation.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = own_folder(spark, name) + "/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table up to this many bytes is dealt out to all cores before work in Python.
-SPREAD_BYTES = 32 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out evenly before costly work.
+    """Deal a scan out to all cores before costly work if it has fewer parts than there are cores.
 
-    A table of one file and row group is one task however many cores there are. Up to
-    ``SPREAD_BYTES`` (by the optimizer's estimate) moving it costs less than that; a larger one
-    has parts enough of its own and stays where it is.
+    Spark makes at least a part for each core as soon as there are 4 MB (its open cost) for each, so
+    what moves is less than that times the cores; any larger table stays where it is. A table of one
+    file and row group would else be one task however many cores there are.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)

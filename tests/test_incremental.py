@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.operators import incremental as inc
+from siltstone.plans import folders
 
 T0 = dt.datetime(2025, 1, 1)
 FILES = "path string, hash string, indexed_at timestamp_ntz, extra int"
@@ -45,17 +46,83 @@ def test_late_numbers_are_picked_up_and_nothing_twice(spark, tmp_path):
     assert ledger.pending(rows(1, 2, 3, 4, 5, 7), "seq").count() == 1
 
 
-def test_the_loser_of_a_race_commits_nothing(spark, tmp_path):
-    ledger = inc.Ledger(spark, str(tmp_path / "ledger"))
-    rows = spark.createDataFrame([(1,)], "seq long")
+def test_the_loser_of_a_race_commits_nothing(spark, tmp_path, monkeypatch):
+    """The rival publishes after the loser has written everything and just before it publishes."""
+    root = str(tmp_path / "ledger")
+    rows = lambda *n: spark.createDataFrame([(i,) for i in n], "seq long")
+    ledger, rival = inc.Ledger(spark, root), inc.Ledger(spark, root)
+    publish = folders.publish
+    raced = []
 
-    def beaten(df):
-        inc.Ledger(spark, str(tmp_path / "ledger")).run(rows, "seq", lambda x: x)
-        return df
+    def late(*a):
+        if not raced:
+            raced.append(1)
+            assert rival.run(rows(1), "seq", lambda x: x) == 1
+        return publish(*a)
 
+    monkeypatch.setattr(inc.folders, "publish", late)
     with pytest.raises(RuntimeError, match="another run"):
-        ledger.run(rows, "seq", beaten)
-    assert ledger.version() == 1
+        ledger.run(rows(1, 2), "seq", lambda x: x)
+    assert ledger.version() == 1 and intervals(ledger.done()) == [(1, 1)]
+    assert len(folders.names(spark, f"{root}/data")) == 1
+    assert ledger.run(rows(1, 2), "seq", lambda x: x) == 2
+    assert [r["seq"] for r in ledger.output(2).collect()] == [2]
+
+
+def test_a_run_that_dies_before_it_publishes_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(3,), (4,)], "seq long")
+    ledger = inc.Ledger(spark, root)
+
+    def killed(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(inc.folders, "publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            ledger.run(rows, "seq", lambda x: x)
+    assert ledger.version() == 0 and ledger.done().count() == 0 and not folders.names(spark, f"{root}/data")
+    assert ledger.run(rows, "seq", lambda x: x) == 1 and intervals(ledger.done()) == [(3, 4)]
+
+
+def test_runs_take_gaps_and_repeat_what_nobody_applied(spark, tmp_path):
+    files = spark.createDataFrame([("/a", "aa", at(5), 1), ("/b", "bb", at(5), 1), ("/dead", "", at(5), 1)], FILES)
+    runs = spark.createDataFrame([("ok", at(6)), ("ok", at(5)), ("killed", None)], "outcome string, finished_at timestamp_ntz")
+    first = [(1, "/a", "aa", at(1), 0), (2, "/b", "zz", at(1), 0), (3, "/dead", "dd", at(2), 0), (4, "/blind", None, at(2), 0), (8, "/new", "nn", at(9), 0)]
+    listing = spark.createDataFrame(first, LISTING)
+    seed = inc.reflected(files, listing, runs)
+    assert intervals(seed) == [(1, 2), (4, 4)]
+    assert inc.reflected(files, listing, runs.limit(0)).count() == 0
+    ledger = inc.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.seed(seed) == 1 and ledger.outstanding() == []
+    assert inc.next_run(ledger, files, listing) == 2
+    assert sorted(r["path"] for r in ledger.output(2).collect()) == ["/dead", "/new"]
+    assert intervals(ledger.done()) == [(1, 4), (8, 8)]
+    # late arrivals: one older than what is known of /new, one that changes /a; nobody has applied the last output
+    listing = spark.createDataFrame([*first, (6, "/new", "older", at(3), 0), (7, "/a", "a2", at(8), 0)], LISTING)
+    assert inc.next_run(ledger, files, listing) == 3
+    assert sorted(r["path"] for r in ledger.output(3).collect()) == ["/a", "/dead", "/new"]
+    files = spark.createDataFrame([("/a", "a2", at(10), 1), ("/b", "bb", at(5), 1), ("/dead", "dd", at(10), 1), ("/new", "nn", at(10), 1)], FILES)
+    ledger.mark_applied(3)
+    assert ledger.outstanding() == []
+    assert inc.next_run(ledger, files, listing) == 4 and ledger.output(4).count() == 0
+    assert intervals(ledger.done()) == [(1, 4), (6, 8)]
+
+
+def test_an_older_late_arrival_does_not_hide_the_newest(spark):
+    """The newest says unchanged and is processed; the late one differs but is older."""
+    files = spark.createDataFrame([("/a", "aa", at(5), 1)], FILES)
+    listing = spark.createDataFrame([(1, "/a", "aa", at(9), 0), (2, "/a", "old", at(7), 0)], LISTING)
+    done = inc.islands(listing.where("arrival_no = 1"), "arrival_no")
+    assert inc.paths_to_index(files, listing, done).count() == 0
+
+
+def test_spans_beyond_doubles(spark):
+    big = (1 << 60) + 65_535
+    df = spark.createDataFrame([(big,), (big + 1,), (-1,), (None,)], "n long")
+    got = sorted(tuple(r) for r in inc.islands(df, "n").collect())
+    assert got == [(-1, -1, -1), (big >> 16, big, big), ((big >> 16) + 1, big + 1, big + 1)]
+    assert inc.pending(df, "n", inc.islands(df.where(f"n = {big}"), "n")).count() == 2
 
 
 def test_paths_to_index(spark):
@@ -71,7 +138,9 @@ def test_paths_to_index(spark):
     )
     found = sorted(r["path"] for r in inc.paths_to_index(files, listing).collect())
     assert found == ["/a", "/new/x", "/nohash", "/open"]
+    again = files.where("false").select("path").unionByName(spark.createDataFrame([("/a",), ("/same",), ("/gone",)], "path string"))
     done = inc.islands(listing.where("arrival_no in (1, 3)"), "arrival_no")
+    assert sorted(r["path"] for r in inc.paths_to_index(files, listing, done, again).collect()) == ["/a", "/new/x", "/nohash", "/open"]
     assert sorted(r["path"] for r in inc.paths_to_index(files, listing, done).collect()) == ["/new/x", "/nohash", "/open"]
     assert inc.paths_to_index(files, listing.limit(0)).count() == 0
     assert inc.paths_to_index(files.limit(0), listing).count() == 6
