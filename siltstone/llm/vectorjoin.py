@@ -190,7 +190,7 @@ class Lists:
         return np.nonzero(ok)
 
 
-_FOUND = "c1 long, c2 long, ids array<long>, sims array<double>, seen long, kept long, list int, tau float, x array<float>"
+_FOUND = "c1 long, c2 long, ids array<long>, sims array<double>, seen long, kept long, list int, tau float, x binary"
 _NAMES = [f.split(" ")[0] for f in _FOUND.split(", ")]
 
 
@@ -201,19 +201,27 @@ def _lists_of(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 def _answers(c1: pa.Array, c2: pa.Array, found, n: int) -> pa.RecordBatch:
     counts, ids, sims, kept, _ = found
     none = lambda t: pa.nulls(len(c1), t)
-    cols = [c1, c2, _lists_of(ids, counts), _lists_of(sims, counts), pa.array(np.full(len(c1), n)), pa.array(kept.astype(np.int64)), none(pa.int32()), none(pa.float32()), none(pa.list_(pa.float32()))]
+    cols = [c1, c2, _lists_of(ids, counts), _lists_of(sims, counts), pa.array(np.full(len(c1), n)), pa.array(kept.astype(np.int64)), none(pa.int32()), none(pa.float32()), none(pa.binary())]
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
-def _asks(c1: pa.Array, c2: pa.Array, x: pa.ListArray, rows: np.ndarray, lists: np.ndarray, tau: np.ndarray) -> pa.RecordBatch:
+def _asks(c1: pa.Array, c2: pa.Array, x: pa.BinaryArray, rows: np.ndarray, lists: np.ndarray, tau: np.ndarray) -> pa.RecordBatch:
     at = pa.array(rows)
     none = lambda t: pa.nulls(len(rows), t)
     cols = [c1.take(at), c2.take(at), none(pa.list_(pa.int64())), none(pa.list_(pa.float64())), none(pa.int64()), none(pa.int64()), pa.array(lists.astype(np.int32)), pa.array(tau[rows].astype(np.float32)), x.take(at)]
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
-def _unit(x: pa.ListArray, dim: int) -> np.ndarray:
-    v = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _packed(x: np.ndarray) -> pa.BinaryArray:
+    """Rows of single-precision numbers as bytes, which the JVM passes on without looking into them."""
+    n, size = x.shape[0], x.shape[1] * 4
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x, np.float32))])
+
+
+def _unit(x: pa.BinaryArray, dim: int) -> np.ndarray:
+    _, offsets, data = x.buffers()
+    first = np.frombuffer(offsets, np.int32)[x.offset]
+    v = np.frombuffer(data, np.float32, len(x) * dim, first).reshape(-1, dim).astype(np.float64)
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
@@ -270,7 +278,7 @@ def _searched(batches, dim: int, k: int, lists: Lists, at_home: bool):
 
 
 def _described(rows: DataFrame, dim: int, centroids: np.ndarray) -> DataFrame:
-    """``chunk_id, c1, c2, list, far, x``: class, list and squared distance from the centroid of every valid vector."""
+    """``chunk_id, c1, c2, list, far, x``: class, list and squared distance from the centroid of every valid vector, and the vector in single precision."""
 
     def describe(batches):
         from xxhash import xxh3_128_intdigest as digest
@@ -283,11 +291,11 @@ def _described(rows: DataFrame, dim: int, centroids: np.ndarray) -> DataFrame:
             c1, c2 = (np.array([v >> s & mask for v in h], np.uint64).view(np.int64) for s in (0, 64))
             near, best = _nearest(unit.astype(np.float32), centroids, 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("chunk_id").take(pa.array(at)), pa.array(c1), pa.array(c2), pa.array(near[:, 0]), pa.array(np.maximum(0, best[:, 0] + 1)), _lists_of(raw.ravel(), np.full(len(at), dim))],
+                [b.column("chunk_id").take(pa.array(at)), pa.array(c1), pa.array(c2), pa.array(near[:, 0]), pa.array(np.maximum(0, best[:, 0] + 1)), _packed(raw)],
                 ["chunk_id", "c1", "c2", "list", "far", "x"],
             )
 
-    return rows.mapInArrow(describe, "chunk_id long, c1 long, c2 long, list int, far float, x array<float>")
+    return rows.mapInArrow(describe, "chunk_id long, c1 long, c2 long, list int, far float, x binary")
 
 
 def _searches(vectors: DataFrame, k: int, probes: int | None, lists: int | None) -> tuple[DataFrame, DataFrame] | None:
