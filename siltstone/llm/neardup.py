@@ -1,16 +1,20 @@
 """Near-duplicate records, by BK-trees over the Hamming distance of min-hash codes.
 
 A record is the set of its runs of three successive words. ``BANDS`` x ``ROWS`` of its min-hashes
-give it one shard key for each band, and one bit of each of ``BITS`` min-hashes its code. Of two
-sets of similarity s, the codes differ in a binomial number of bits around BITS (1 - s) / 2, and
+give it one shard key for each band, and ``NIBBLE`` bits of each of ``HASHES`` min-hashes its code. Two
+sets of similarity s differ in a share (1 - s) / 2 of the bits, give or take 0.026, and
 at least one shard is common but for a share (1 - s^3)^24 (0.3 % at 0.6, 0.02 % at 0.7).
 
-One tree over everything would not prune: unlike records are 64 bits apart and the radius is 41.
-So every shard has a BK-tree of its own: children are keyed by their integer distance to the
-parent, and a search follows only the edges within the radius. Trees hold at most ``SHARD``
-records. The rows of a larger shard come back from the first pass untouched; a second pass splits
-them among several trees, each searched by the records of the ones after it. What the trees find
-is checked on the sets themselves.
+A BK-tree prunes little at such a similarity: unlike records are half of all bits apart (256 of 512),
+give or take 11, and edges between them all lie within the radius of 148. So the shards cut
+the work: every shard that holds two or more records has a BK-tree of its own. Children are keyed by
+their integer distance to the parent, and a search follows only the edges within the radius, which
+are nearly all (``visited`` has the figures).
+
+First the keys alone are brought together, and only records that share one send their codes. Trees hold at most
+``SHARD`` records. A larger shard, such as the pages of one template, is cut by the other bands of
+its codes (of which a pair misses all with 0.005 % at 0.6); what still is larger then is split among several trees, each searched by the records of
+the ones after it. What the trees find is checked on the sets themselves.
 
 Records with the same set are one class throughout and only expanded at the end, where the result
 has to name every pair.
@@ -24,20 +28,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.plans.tables import spread, stage
 
 THRESHOLD = 0.6
 BANDS, ROWS = 24, 3
-BITS, RADIUS = 128, 41
+HASHES, NIBBLE = 128, 4
+RADIUS = 148
 SHARD = 4096
 LEAST_WORDS = 20
 FEW = 500_000
+KNOWN = 1 << 20
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_A = _RNG.integers(1, 1 << 63, BITS, dtype=np.uint64) * _U(2) + _U(1)
-_B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
+_B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -76,13 +83,13 @@ class Shingles:
 
 
 def signatures(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(which texts, class, shard keys, code in words of 64 bits)`` of the texts that have shingles."""
+    """``(which texts, class, keys of the bands, code in bytes)`` of the texts that have shingles."""
     which = np.flatnonzero(np.diff(s.first))
     if not len(which):
-        return which, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((BITS // 64, 0), np.int64)
+        return which, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, HASHES * NIBBLE // 8), np.uint8)
     starts = s.first[which]
-    least = np.empty((BITS, len(which)), np.uint64)
-    for i in range(BITS):
+    least = np.empty((HASHES, len(which)), np.uint64)
+    for i in range(HASHES):
         least[i] = np.minimum.reduceat(s.hash * _A[i] + _B[i], starts)
     one = _mix(s.hash)
     whole = _mix(np.add.reduceat(one, starts)) ^ np.bitwise_xor.reduceat(one * _M2, starts)
@@ -92,35 +99,54 @@ def signatures(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         for r in range(ROWS):
             k = _mix(k ^ least[b * ROWS + r])
         keys[:, b] = k
-    bits = (_mix(least) & _U(1)) << (np.arange(BITS, dtype=np.uint64) % _U(64))[:, None]
-    code = np.bitwise_or.reduce(bits.reshape(BITS // 64, 64, -1), axis=1)
-    return which, whole.view(np.int64), keys.view(np.int64), code.view(np.int64)
+    nibbles = (_mix(least) & _U(15)).astype(np.uint8)
+    return which, whole.view(np.int64), keys.view(np.int64), np.ascontiguousarray((nibbles[::2] << 4 | nibbles[1::2]).T)
+
+
+_DESCRIBED = "chunk_id long, file_id long, class long, code binary, shards array<long>"
 
 
 def described(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, file_id, class, code1, code2, shards`` of the chunks of at least ``LEAST_WORDS`` words."""
+    """``chunk_id, file_id, class, code, shards`` of the chunks of at least ``LEAST_WORDS`` words.
+
+    Of the chunks of one class that a task meets only the first has a code and keys (but for a class
+    that comes again after ``KNOWN`` others), so that copies don't pile up in their shards.
+    """
+    names = [f.split(" ")[0] for f in _DESCRIBED.split(", ")]
 
     def describe(batches):
         known: dict[str, int] = {}
+        seen: set[int] = set()
         for b in batches:
             which, whole, keys, code = signatures(Shingles(b.column("text").to_pylist(), known))
+            new = np.zeros(len(which), bool)
+            if len(seen) > KNOWN:
+                seen.clear()
+            for i, c in enumerate(whole.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    new[i] = True
             take = b.select(["chunk_id", "file_id"]).take(pa.array(which))
-            shards = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(whole), pa.array(code[0]), pa.array(code[1]), shards], ["chunk_id", "file_id", "class", "code1", "code2", "shards"])
+            told = np.cumsum(new) - 1
+            own = keys[new]
+            shards = pa.array([own[t] if n else None for t, n in zip(told.tolist(), new.tolist(), strict=True)], pa.list_(pa.int64()))
+            codes = pa.array([code[i].tobytes() if n else None for i, n in enumerate(new.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(whole), codes, shards], names)
 
     rows = chunks.where(F.length("text") >= 2 * LEAST_WORDS - 1).select("chunk_id", "file_id", "text")
-    return spread(rows).mapInArrow(describe, "chunk_id long, file_id long, class long, code1 long, code2 long, shards array<long>")
+    return spread(rows).mapInArrow(describe, _DESCRIBED)
 
 
 class Tree:
     """A BK-tree: the edge to a child has the integer distance of its code to the parent's."""
 
-    __slots__ = ("codes", "items", "edges")
+    __slots__ = ("codes", "items", "edges", "visited")
 
     def __init__(self) -> None:
         self.codes: list[int] = []
         self.items: list[list[int]] = []
         self.edges: list[dict[int, int]] = []
+        self.visited = 0
 
     def insert(self, code: int, item: int) -> None:
         at = 0 if self.codes else -1
@@ -144,6 +170,7 @@ class Tree:
         todo = [0] if self.codes else []
         while todo:
             at = todo.pop()
+            self.visited += 1
             d = (self.codes[at] ^ code).bit_count()
             if d <= radius:
                 found += self.items[at]
@@ -153,103 +180,79 @@ class Tree:
         return found
 
 
-def _codes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return b.column("code1").to_numpy().view(np.uint64), b.column("code2").to_numpy().view(np.uint64)
-
-
-def _ordered(left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.array(left, np.int64), np.array(right, np.int64)
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def _first_pass(batches, radius: int, shard_size: int):
-    """Rows sorted by shard -> pairs (``shard`` null), and untouched the rows of shards larger than a tree.
+def _tree_pass(batches, radius: int, counts: bool = False):
+    """Rows sorted by shard, tree and role (members first) -> pairs, or how much of the trees was visited. Holds one tree at a time.
 
-    Holds the rows of one shard, up to the size of a tree, beside a batch.
+    A member searches what its tree holds so far and enters it; others only search.
     """
-    names = ["shard", "a", "b", "code1", "code2"]
-    kept, over = None, None  # the rows of the last shard so far; the shard that was found too large
-
-    def pairs_of(shard, ids, c1, c2):
-        left, right, large = [], [], np.zeros(len(shard), bool)
-        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-        size = np.diff(cut)
-        for lo, n in zip(cut[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            if n > shard_size:
-                large[lo : lo + n] = True
-                continue
-            tree, own = Tree(), ids[lo : lo + n].tolist()
-            for i, x, y in zip(own, c1[lo : lo + n].tolist(), c2[lo : lo + n].tolist(), strict=True):
-                code = x << 64 | y
-                near = tree.within(code, radius)
-                left += [i] * len(near)
-                right += near
-                tree.insert(code, i)
-        a, b = _ordered(left, right)
-        none = np.zeros(len(a), np.int64)
-        k = int(large.sum())
-        shards = pa.array(np.r_[none, shard[large]], mask=np.r_[np.ones(len(a), bool), np.zeros(k, bool)])
-        return pa.RecordBatch.from_arrays([shards, *(pa.array(np.r_[p, q.view(np.int64)]) for p, q in ((a, ids[large]), (b, ids[large]), (none, c1[large]), (none, c2[large])))], names)
-
-    for batch in batches:
-        now = [batch.column("shard").to_numpy(), batch.column("id").to_numpy(), *_codes(batch)]
-        if not len(now[0]):
-            continue
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-        shard = now[0]
-        at = int(np.searchsorted(shard, shard[-1]))  # rows of the last shard may go on in the next batch
-        kept, now = [x[at:] for x in now], [x[:at] for x in now]
-        if over is not None and len(now[0]) and now[0][0] == over:
-            end = int(np.searchsorted(now[0], over, "right"))
-            yield pa.RecordBatch.from_arrays([pa.array(now[0][:end]), *(pa.array(x[:end].view(np.int64)) for x in (now[1], now[1], now[2], now[3]))], names)
-            now = [x[end:] for x in now]
-        if len(now[0]):
-            yield pairs_of(*now)
-        if over != kept[0][0]:
-            over = None
-        if over is not None or len(kept[0]) > shard_size:
-            over = kept[0][0]
-            yield pa.RecordBatch.from_arrays([pa.array(kept[0]), *(pa.array(x.view(np.int64)) for x in (kept[1], kept[1], kept[2], kept[3]))], names)
-            kept = None
-    if kept is not None and len(kept[0]):
-        yield pairs_of(*kept)
-
-
-def _second_pass(batches, radius: int):
-    """Rows sorted by shard, tree and role (members first) -> pairs. Holds one tree at a time."""
     last, tree = None, Tree()
+
+    def report():
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (members, could, tree.visited)], ["members", "could_visit", "visited"])
+
+    members = could = 0
     for b in batches:
         left, right = [], []
-        c1, c2 = _codes(b)
-        for *key, i, x, y, own in zip(*(b.column(c).to_pylist() for c in ("shard", "tree", "id")), c1.tolist(), c2.tolist(), b.column("member").to_pylist(), strict=True):
-            if key != last:
-                last, tree = key, Tree()
-            code = x << 64 | y
+        for shard, at, i, raw, own in zip(*(b.column(c).to_pylist() for c in ("shard", "tree", "id", "code", "member")), strict=True):
+            if (shard, at) != last:
+                if counts and members:
+                    yield report()
+                last, tree, members, could = (shard, at), Tree(), 0, 0
+            code = int.from_bytes(raw)
+            could += len(tree.codes)
             near = tree.within(code, radius)
             left += [i] * len(near)
             right += near
             if own:
                 tree.insert(code, i)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _ordered(left, right)], ["a", "b"])
-
-
-def candidates(classes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """Pairs ``a < b`` of class ids whose codes lie within ``radius`` in a common shard."""
-    rows = classes.select(F.col("class").alias("id"), "code1", "code2", F.explode("shards").alias("shard"))
-    ordered = rows.repartition("shard").sortWithinPartitions("shard")
-    first = stage(ordered.mapInArrow(lambda it: _first_pass(it, radius, shard_size), "shard long, a long, b long, code1 long, code2 long"), "first-pass")
-    found = first.where("shard is null").select("a", "b")
-    large = first.where("shard is not null").select("shard", F.col("a").alias("id"), "code1", "code2")
-    if large.isEmpty():
-        return found.distinct()
-    trees = large.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_size).alias("trees"))
+                members += 1
+        if not counts:
+            x, y = np.array(left, np.int64), np.array(right, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    if counts and members:
+        yield report()
+
+
+def _together(keyed: DataFrame) -> DataFrame:
+    """``shard, id, n``: the rows of ``keyed(shard, id)`` whose shard holds ``n`` > 1 different ids. 16 bytes a row are shuffled, once."""
+    one = keyed.repartition("shard").groupBy("shard", "id").agg(F.lit(1).alias("_"))
+    return one.withColumn("n", F.count("*").over(Window.partitionBy("shard"))).where("n > 1").select("shard", "id", "n")
+
+
+def _members(rows: DataFrame, shard_size: int) -> DataFrame:
+    """``shard, tree, id, code, member``: which trees each class enters or searches. ``rows`` is the staged result of :func:`described`."""
+    told = rows.where("shards is not null")
+    first = stage(_together(told.select(F.explode("shards").alias("shard"), F.col("class").alias("id"))), "shards")
+    small = first.where(F.col("n") <= shard_size).select("shard", "id", F.lit(1).alias("trees"))
+    large = first.where(F.col("n") > shard_size)
+    if not large.isEmpty():
+        placed = told.select(F.col("class").alias("id"), F.hex("code").alias("digits"), F.posexplode("shards").alias("own", "shard"))  # a digit for each min-hash
+        cut = large.join(placed, ["shard", "id"]).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)))).where("band <> own")
+        cut = cut.select(F.xxhash64("shard", "band", F.substring("digits", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("shard"), "id")
+        again = stage(_together(cut), "fresh-shards")
+        small = small.unionByName(again.select("shard", "id", F.ceil(F.col("n") / shard_size).cast("int").alias("trees")))
+    codes = told.select(F.col("class").alias("id"), "code")
+    wanted = small.select("id").distinct()
+    codes = codes.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("code").alias("code"))
     home = F.pmod(F.xxhash64("id"), F.col("trees")).cast("int")
-    placed = large.join(trees, "shard").select("shard", "id", "code1", "code2", home.alias("home"), F.explode(F.sequence(F.lit(0), home)).alias("tree"))
-    placed = placed.withColumn("member", F.col("tree") == F.col("home")).drop("home")
-    ordered = placed.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("member"))
-    more = ordered.mapInArrow(lambda it: _second_pass(it, radius), "a long, b long")
-    return found.unionByName(more).distinct()
+    placed = small.join(codes, "id").select("shard", "id", "code", home.alias("home"), F.explode(F.sequence(F.lit(0), home)).alias("tree"))
+    return placed.select("shard", "tree", "id", "code", (F.col("tree") == F.col("home")).alias("member"))
+
+
+def candidates(rows: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
+    """Pairs ``a < b`` of class ids whose codes lie within ``radius`` in a common shard. ``rows`` is the staged result of :func:`described`."""
+    ordered = _members(rows, shard_size).repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("member"))
+    return ordered.mapInArrow(lambda it: _tree_pass(it, radius), "a long, b long").distinct()
+
+
+def visited(chunks: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
+    """How much of the trees the searches visit, by tree size: ``least_members`` (a power of two), ``trees, could_visit, visited, share``."""
+    rows = stage(described(chunks.where("file_id is not null")), "described")
+    ordered = _members(rows, shard_size).repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("member"))
+    told = ordered.mapInArrow(lambda it: _tree_pass(it, radius, True), "members long, could_visit long, visited long")
+    size = F.pow(2.0, F.floor(F.log2("members"))).cast("long").alias("least_members")
+    each = told.groupBy(size).agg(F.count("*").alias("trees"), F.sum("could_visit").alias("could_visit"), F.sum("visited").alias("visited"))
+    return each.withColumn("share", F.when(F.col("could_visit") > 0, F.col("visited") / F.col("could_visit")))
 
 
 def sets_of(chunks: DataFrame) -> DataFrame:
@@ -265,13 +268,12 @@ def sets_of(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "text").mapInArrow(compute, "chunk_id long, s array<long>")
 
 
-def linked_classes(chunks: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def linked_classes(chunks: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHARD) -> DataFrame:
     """``class_a, class_b, similarity`` of different classes with at least ``threshold``.
 
     ``rows`` is the staged result of :func:`described`.
     """
-    classes = rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("code1", "code2", "shards")))
-    pairs = stage(candidates(classes), "candidates")
+    pairs = stage(candidates(rows, shard_size=shard_size), "candidates")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     of = stage(rows.select("class", "chunk_id").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("chunk_id").alias("chunk_id")), "wanted")
     few = F.broadcast(of) if of.count() <= FEW else of  # at most 16 bytes a row
@@ -284,7 +286,7 @@ def linked_classes(chunks: DataFrame, rows: DataFrame, threshold: float = THRESH
     return linked.distinct()  # a repeated chunk row repeats its set
 
 
-def pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def pairs(chunks: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHARD) -> DataFrame:
     """``chunk_id_a < chunk_id_b`` of different files with at least ``threshold`` similarity.
 
     Chunks of fewer than ``LEAST_WORDS`` words, null and empty texts are in no pair. Chunks with
@@ -292,7 +294,7 @@ def pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chunk ids count once. Every pair of equal sets is named, as the result requires.
     """
     rows = stage(described(chunks.where("file_id is not null")), "described")
-    links = linked_classes(chunks, rows, threshold)
+    links = linked_classes(chunks, rows, threshold, shard_size)
     member = rows.select("class", "chunk_id", "file_id").distinct()
     a = member.select(F.col("class").alias("class_a"), F.col("chunk_id").alias("x"), F.col("file_id").alias("fx"))
     b = member.select(F.col("class").alias("class_b"), F.col("chunk_id").alias("y"), F.col("file_id").alias("fy"))
@@ -304,7 +306,7 @@ def pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return across.unionByName(within)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component of ``edges(a, b)``.
 
     Labels spread along the edges and are then doubled (a node takes its root's root), so the
@@ -312,7 +314,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jump = spread.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -320,7 +322,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from siltstone.llm import neardup
 from siltstone.plans.tables import stage
@@ -47,10 +46,29 @@ def test_pairs_equal_brute_force(spark, rows):
 
 def test_shards_larger_than_a_tree_lose_nothing(spark, rows):
     described = stage(neardup.described(spark.createDataFrame(rows, SCHEMA)))
-    classes = described.groupBy("class").agg(*(F.first(c).alias(c) for c in ("code1", "code2", "shards")))
-    want = {tuple(r) for r in neardup.candidates(classes).collect()}
+    want = {tuple(r) for r in neardup.candidates(described).collect()}
     for size in (2, 1):
-        assert {tuple(r) for r in neardup.candidates(classes, shard_size=size).collect()} == want
+        got = {tuple(r) for r in neardup.candidates(described, shard_size=size).collect()}
+        assert len(want - got) <= 0.02 * len(want)  # unlike candidates may be missed
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in neardup.pairs(df, shard_size=2).collect()} == brute(rows)
+
+
+def test_a_tree_prunes_where_the_radius_is_small():
+    rng = random.Random(3)
+    tree = neardup.Tree()
+    for f in range(1000):
+        tree.insert(rng.getrandbits(512), f)
+    for radius, share in ((2, 0.4), (neardup.RADIUS, 1.0)):
+        tree.visited = 0
+        tree.within(rng.getrandbits(512), radius)
+        assert tree.visited <= share * 1000
+
+
+def test_visited(spark, rows):
+    got = neardup.visited(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert got and all(0 < r["visited"] <= r["could_visit"] for r in got)
+    assert neardup.visited(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_tree_follows_only_edges_within_the_radius():
