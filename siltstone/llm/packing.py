@@ -186,6 +186,7 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def oversized(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """``doc_id`` of documents that had to be split: those with items in more than one part of the packing."""
+    """``doc_id`` of documents that had to be split: those of whose parts the packing put some in one container and some in others."""
     packed = pack(documents, capacity, vocabulary)
-    return packed.where("part = 1").select("doc_id").distinct()
+    per = packed.groupBy("doc_id").agg(F.max("part").alias("last"), F.min("container").alias("least"), F.max("container").alias("most"))
+    return per.where("last > 0 and least < most").select("doc_id")

@@ -6,6 +6,9 @@ within reach, else the last line end), and ``follow`` the boundary where the nex
 ``overlap`` lines before the cut. Squaring ``follow`` (``follow = follow[follow]``) and marking
 what the marked boundaries point to yields every greedy cut of every item of a batch in
 log2(lines) array operations, without walking the items.
+
+A natural cut is forced if every chain visits it, wherever the chain starts before it. ``visits``
+counts the chains through each boundary with the same squaring.
 """
 
 from __future__ import annotations
@@ -16,8 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.plans.tables import stage
+
 MAX_CHARS = 800
 OVERLAP_LINES = 2
+#: Buckets that are broadcast: as a rule some dozen bytes each, and 16 KB at most.
+FEW = 4_000
 
 
 class Lines:
@@ -85,6 +92,23 @@ def mark(follow: np.ndarray, roots: np.ndarray) -> np.ndarray:
         follow = squared
 
 
+def visits(follow: np.ndarray) -> np.ndarray:
+    """How many starts have chains that visit each boundary, their own start included, by squaring the successor table.
+
+    The end of a chain is a number behind the table or the boundary itself. After k rounds ``seen``
+    counts the starts within 2^k steps of a boundary, and ``hop`` is 2^k steps long.
+    """
+    n = len(follow)
+    hop = np.append(np.where(follow <= np.arange(n), n, np.minimum(follow, n)), n)
+    seen = np.append(np.ones(n, np.int64), 0)
+    while (hop < n).any():
+        far = np.bincount(hop, weights=seen, minlength=n + 1)
+        far[n] = 0
+        seen = seen + far.astype(np.int64)
+        hop = hop[hop]
+    return seen[:n]
+
+
 def pieces_of(texts: list[str], limit: int = MAX_CHARS, overlap: int = OVERLAP_LINES) -> list[tuple[int, int, int, str]]:
     """``(item, first line, last line, text)`` of all pieces; lines count from 0.
 
@@ -119,9 +143,11 @@ def blocks_of(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forced_of(texts: list[str], limit: int = MAX_CHARS) -> list[tuple[int, int]]:
-    """``(item, line)`` where a natural cut is forced, from the successor table over blocks.
+    """``(item, line)`` of the natural cuts that every legal splitting at blank lines has to make.
 
-    Both blocks fit alone, yet the first one's farthest legal successor is the second's start.
+    The successor table is that over blocks, without overlap: a piece ends behind the farthest block
+    within the limit. A block that the chains of all earlier blocks of its item visit begins a piece in
+    every splitting. It is a natural cut if it and the block before fit in a piece each.
     """
     lines = Lines(texts)
     if not len(lines.start):
@@ -129,10 +155,13 @@ def forced_of(texts: list[str], limit: int = MAX_CHARS) -> list[tuple[int, int]]
     a, z = blocks_of(lines)
     start, end, item = lines.start[a], lines.end[z], lines.item[a]
     own = np.arange(len(a))
-    reach = _far(start, end, item, limit)
+    first = np.searchsorted(item, item)
+    last = np.searchsorted(item, item, side="right")
+    follow = np.maximum(_far(start, end, item, limit), own + 1)
+    through = visits(np.where(follow >= last, len(a), follow))
     fits = end - start <= limit
-    cut = (own[1:] > 0) & (item[1:] == item[:-1]) & fits[1:] & fits[:-1] & (reach[:-1] <= own[1:])
-    at = np.flatnonzero(cut) + 1
+    cut = (own > first) & (through == own - first + 1) & fits & np.roll(fits, 1)
+    at = np.flatnonzero(cut)
     return [(int(i), int(n)) for i, n in zip(item[at], a[at] - lines.first[item[at]], strict=True)]
 
 
@@ -145,12 +174,12 @@ def _first_line(batch: pa.RecordBatch) -> list[int]:
 
 
 def split(chunks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP_LINES) -> DataFrame:
-    """All chunks with the oversized ones replaced by their pieces, ``ord`` renumbered per file.
+    """All chunks with the oversized ones replaced by their pieces, ``ord`` moved on by the pieces before.
 
     Returns ``chunk_id, piece, file_id, ord, start_line, end_line, text``. Rows within the limit
     pass unchanged but for ``ord``; null texts pass as they are; a null ``start_line`` counts as 1
-    in a piece. Other columns are not kept. ``ord`` is a prefix sum over buckets of 1,024 old
-    numbers, so that no task has to hold a hot file.
+    in a piece. A repeated row repeats its pieces and their numbers; a null ``ord`` or ``file_id`` stays
+    as it is. An oversized chunk of only blank text has no piece. Other columns are not kept.
     """
     cols = ["chunk_id", "file_id", "ord", "start_line", "end_line", "text"]
     rows = chunks.select(*cols)
@@ -167,20 +196,37 @@ def split(chunks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP_LINE
                 take = b.select(["chunk_id", "file_id", "ord"]).take(pa.array(i))
                 yield pa.RecordBatch.from_arrays([*take.columns, pa.array(lo), pa.array(hi), pa.array([g[3] for g in got], pa.string()), pa.array(piece, pa.int32())], [*cols, "piece"])
 
-    parts = oversized(rows, limit).mapInArrow(cut, "chunk_id long, file_id long, ord int, start_line int, end_line int, text string, piece int")
-    return renumbered(whole.unionByName(parts)).select("chunk_id", "piece", "file_id", "ord", "start_line", "end_line", "text")
+    parts = stage(oversized(rows, limit).mapInArrow(cut, "chunk_id long, file_id long, ord int, start_line int, end_line int, text string, piece int"), "pieces")
+    out = moved_on(whole.unionByName(parts), oversized(rows, limit).select("chunk_id", "file_id", "ord"), parts.select("chunk_id", "file_id", "ord", "piece"))
+    return out.select("chunk_id", "piece", "file_id", "ord", "start_line", "end_line", "text")
 
 
-def renumbered(rows: DataFrame) -> DataFrame:
-    """``ord`` from 0 within each file by old ``ord``, ``chunk_id`` and ``piece``, without a window over a whole file."""
-    rows = rows.withColumn("bucket", F.shiftright(F.coalesce("ord", F.lit(0)), 10))
-    order = Window.partitionBy("file_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("file_id", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(order), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("file_id", "bucket").orderBy("ord", "chunk_id", "piece")) - 1
-    placed = rows.withColumn("inside", inside).join(
-        before.select(F.col("file_id").alias("_f"), F.col("bucket").alias("_b"), "before"), F.col("file_id").eqNullSafe(F.col("_f")) & (F.col("bucket") == F.col("_b")), "left"
-    )
-    return placed.withColumn("ord", (F.coalesce("before", F.lit(0)) + F.col("inside")).cast("int")).drop("bucket", "_f", "_b", "before", "inside")
+def moved_on(rows: DataFrame, large: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with ``ord`` increased by what the oversized chunks before it gained, and by its own ``piece``.
+
+    Only the numbers of the oversized chunks (``large``) and of their pieces are brought together: per
+    file and bucket of 1,024 old numbers what the buckets before gained, and the gains inside. Files
+    without an oversized chunk and all texts stay where they are, unless there are too many such
+    buckets to broadcast (``FEW``).
+    """
+    key = ["chunk_id", "file_id", "ord"]
+    named = large.where("file_id is not null and ord is not null").distinct()
+    n = parts.groupBy(*key).agg((F.max("piece") + 1).alias("n"))
+    gains = named.join(n, key, "left").select("file_id", "ord", (F.coalesce("n", F.lit(0)) - 1).alias("gain")).where("gain <> 0")
+    inside = gains.groupBy("file_id", F.shiftright("ord", 10).alias("bucket")).agg(F.sum("gain").alias("total"), F.collect_list(F.struct("ord", "gain")).alias("gains"))  # at most 1,024 numbers
+    order = Window.partitionBy("file_id").orderBy("bucket")
+    before = F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = rows.groupBy("file_id").agg(F.max(F.shiftright("ord", 10)).alias("top"))
+    sums = inside.withColumn("before", before).withColumn("next", F.lead("bucket").over(order)).join(top, "file_id")
+    # a bucket without a gain of its own has the sum of the last one with a gain before it
+    each = sums.withColumn("at", F.explode(F.sequence("bucket", F.coalesce(F.col("next") - 1, "top"))))
+    own = F.col("at") == F.col("bucket")
+    each = stage(each.select(F.col("file_id").alias("_file"), F.col("at").alias("_at"), F.when(own, F.col("before")).otherwise(F.col("before") + F.col("total")).alias("_before"), F.when(own, F.col("gains")).alias("_gains")), "gains")
+    few = F.broadcast(each) if each.limit(FEW + 1).count() <= FEW else each
+    here = rows.join(few, (F.col("file_id") == F.col("_file")) & (F.shiftright("ord", 10) == F.col("_at")), "left")
+    earlier = F.aggregate("_gains", F.lit(0).cast("long"), lambda t, g: t + F.when(g["ord"] < F.col("ord"), g["gain"]).otherwise(0))
+    gained = F.coalesce("_before", F.lit(0)) + F.coalesce(earlier, F.lit(0))
+    return here.withColumn("ord", (F.col("ord") + gained + F.col("piece")).cast("int")).drop("_file", "_at", "_before", "_gains")
 
 
 def forced_cuts(chunks: DataFrame, limit: int = MAX_CHARS) -> DataFrame:

@@ -85,7 +85,9 @@ def test_table_cases(spark):
     assert [tuple(r) for r in split.forced_cuts(df).collect()] == [(1, 12), (1, 12)]
     out = split.split(df).collect()
     own = sorted((r["ord"], r["chunk_id"], r["start_line"], r["end_line"]) for r in out if r["file_id"] == 1)
-    assert [o[0] for o in own] == list(range(len(own))) == list(range(9))
+    assert [o[0] for o in own] == [0, 0, 1, 1, 2, 3, 4, 5, 6]  # the repeated row repeats its numbers
+    assert sorted((r["ord"], r["chunk_id"]) for r in out if r["file_id"] == 1 and r["chunk_id"] > 1) == [(2, 2), (3, 2), (4, 2), (5, 3), (6, 4)]
+    assert [r["ord"] for r in out if r["chunk_id"] == 5] == [None]
     assert sum(len(r["text"]) for r in out if r["chunk_id"] == 2) == 2000 and {r["start_line"] for r in out if r["chunk_id"] == 2} == {1}
     assert sum(r["text"] is None for r in out) == 1
     assert split.split(df.limit(0)).count() == 0 and split.forced_cuts(df.limit(0)).count() == 0
@@ -94,3 +96,32 @@ def test_table_cases(spark):
 def test_mark_reaches_all_roots():
     follow = np.array([2, 3, 4, 4, 4, 6, 6])
     assert split.mark(follow, np.array([0, 5])).tolist() == [True, False, True, False, True, True, True]
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=40))
+def test_visits_counts_the_chains(steps):
+    n = len(steps)
+    follow = np.minimum(np.arange(n) + steps, n)
+    want = np.zeros(n, int)
+    for i in range(n):
+        while i < n:
+            want[i] += 1
+            i = int(follow[i])
+    assert split.visits(follow).tolist() == want.tolist()
+
+
+def test_numbers_move_on_over_buckets(spark, monkeypatch):
+    """A long file with oversized chunks here and there, one of them blank, against a plain count."""
+    text = {5: "x" * 900, 1023: "y" * 2000, 1024: "z" * 801, 3000: " " * 900}
+    rows = [(i, 7, i, 1, 1, text.get(i, "short"), "p", 1) for i in range(5000)] + [(9000 + i, 8, i, 1, 1, "short", "p", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want, at = {}, 0
+    for i in range(5000):
+        n = {5: 2, 1023: 3, 1024: 2, 3000: 0}.get(i, 1)
+        want |= {(i, k): at + k for k in range(n)}
+        at += n
+    want |= {(9000 + i, 0): i for i in range(3)}
+    for few in (split.FEW, 0):
+        monkeypatch.setattr(split, "FEW", few)
+        assert {(r["chunk_id"], r["piece"]): r["ord"] for r in split.split(df).collect()} == want
