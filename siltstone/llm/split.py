@@ -23,8 +23,8 @@ from siltstone.plans.tables import stage
 
 MAX_CHARS = 800
 OVERLAP_LINES = 2
-#: Buckets that are broadcast: as a rule some dozen bytes each, and 16 KB at most.
-FEW = 4_000
+#: Up to so many bytes the gains are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 class Lines:
@@ -207,7 +207,7 @@ def moved_on(rows: DataFrame, large: DataFrame, parts: DataFrame) -> DataFrame:
     Only the numbers of the oversized chunks (``large``) and of their pieces are brought together: per
     file and bucket of 1,024 old numbers what the buckets before gained, and the gains inside. Files
     without an oversized chunk and all texts stay where they are, unless there are too many such
-    buckets to broadcast (``FEW``).
+    gains to broadcast (``BROADCAST_BYTES``).
     """
     key = ["chunk_id", "file_id", "ord"]
     named = large.where("file_id is not null and ord is not null").distinct()
@@ -222,7 +222,8 @@ def moved_on(rows: DataFrame, large: DataFrame, parts: DataFrame) -> DataFrame:
     each = sums.withColumn("at", F.explode(F.sequence("bucket", F.coalesce(F.col("next") - 1, "top"))))
     own = F.col("at") == F.col("bucket")
     each = stage(each.select(F.col("file_id").alias("_file"), F.col("at").alias("_at"), F.when(own, F.col("before")).otherwise(F.col("before") + F.col("total")).alias("_before"), F.when(own, F.col("gains")).alias("_gains")), "gains")
-    few = F.broadcast(each) if each.limit(FEW + 1).count() <= FEW else each
+    size = each.agg(F.coalesce(F.sum(48 + 16 * F.coalesce(F.size("_gains"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    few = F.broadcast(each) if size <= BROADCAST_BYTES else each
     here = rows.join(few, (F.col("file_id") == F.col("_file")) & (F.shiftright("ord", 10) == F.col("_at")), "left")
     earlier = F.aggregate("_gains", F.lit(0).cast("long"), lambda t, g: t + F.when(g["ord"] < F.col("ord"), g["gain"]).otherwise(0))
     gained = F.coalesce("_before", F.lit(0)) + F.coalesce(earlier, F.lit(0))

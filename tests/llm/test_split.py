@@ -122,6 +122,6 @@ def test_numbers_move_on_over_buckets(spark, monkeypatch):
         want |= {(i, k): at + k for k in range(n)}
         at += n
     want |= {(9000 + i, 0): i for i in range(3)}
-    for few in (split.FEW, 0):
-        monkeypatch.setattr(split, "FEW", few)
+    for few in (split.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(split, "BROADCAST_BYTES", few)
         assert {(r["chunk_id"], r["piece"]): r["ord"] for r in split.split(df).collect()} == want
