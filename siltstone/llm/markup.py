@@ -4,21 +4,24 @@ A chunk is a sequence of leaves (its lines that aren't blank). Each leaf is a ve
 (the HTML elements, fences and environments open there), its words and signs, both hashed, and its
 outline. A bidirectional LSTM in numpy reads the sequence, so a leaf is labelled with what comes
 before and after it, and says for each leaf how likely it holds HTML, Markdown, wiki or LaTeX
-markup or is sample code. It is trained here, in seconds, on ``TRAIN_DOCS`` documents written by
-the generator below with known labels; nothing is fitted to the data it is used on.
+markup or is sample code. It was trained on ``TRAIN_DOCS`` documents written by
+the generator below with known labels; nothing is fitted to the data it is used on. Among its inputs
+is what patterns see in a leaf (``rules``); whether that is markup, a sign in prose or part of a
+sample is for the network to say.
 
 A chunk that begins inside a fence, ``<pre>`` or listing of its file is read with that open: the
 signs that open and close them are gathered from all chunks of a document file and followed in its
 order (see ``seeds``).
 
-A kind is reported where the labeller proposes it (at least ``PROPOSE``) and an exact check then
-finds a sign of that kind outside sample code. The clean text is made from the same labels.
+A kind is reported where a leaf holds it with a probability of at least ``DECIDE``. The clean text is
+made from the same labels.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import json
+import os
 import random
 import re
 from functools import lru_cache
@@ -35,14 +38,16 @@ KINDS = ["html", "markdown", "wiki", "latex"]
 LABELS = [*KINDS, "code"]
 #: Extensions of document files.
 DOCUMENTS = ["md", "markdown", "html", "htm", "wiki", "tex", "txt", "docx", "odt"]
-TRAIN_DOCS = 1600
-PROPOSE = 0.05
+TRAIN_DOCS = 5000
+WEIGHTS = os.path.join(os.path.dirname(__file__), "markup_weights.npz")
+DECIDE = 0.5
 CODE_SURE = 0.7
 FEW = 500_000
 #: Chunks of a file that are followed at once; a longer file's buckets are combined.
 BUCKET = 1024
 PATH_DIM, WORD_DIM, SIGN_DIM, HIDDEN = 16, 32, 96, 24
-INPUTS = PATH_DIM + WORD_DIM + SIGN_DIM + 6
+RULES = 7
+INPUTS = PATH_DIM + WORD_DIM + SIGN_DIM + RULES + 6
 
 #: HTML element names.
 ELEMENTS = (
@@ -66,12 +71,17 @@ SIGNS = {
         r"|^\s*\\[\[\]]\s*$|\\\(.+?\\\)|(?<![\w$\\])\$(?=\S)[^$\n]*(?:\\[A-Za-z]+|[_^][{\d])[^$\n]*\$(?!\d)|\}~?\\ref\{|\w~\\(?:ref|cite)\{"
     ),
 }
+#: A sign of a kind holds one of these.
+_CHARS = {"html": re.compile(r"[<&]|-->"), "markdown": re.compile(r"[#`~\[*_|>]"), "wiki": re.compile(r"[=\['{|}]"), "latex": re.compile(r"[\\$]")}
 _PRE_OPENS = re.compile(r"<pre\b(?!.*</pre)", re.I)
 _SETEXT = re.compile(r"^ {0,3}(?:={3,}|-{3,})\s*$")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 _TOKEN = re.compile(r"</?[A-Za-z][\w-]*|\\[A-Za-z]+|[^\W\d_]+|\d+|&[#\w]+;|\[\[|\]\]|\]\(|\{\{|\}\}|\{\||\|\}|'{2,3}|={2,}|-{3,}|\#+|`+|~{3}|\*+|[^\w\s]")
 _TIGHT = re.compile(r"[^\w\s.,]+\w+|\w+[^\w\s.,]+")  # a sign and the word that it touches
 _WORDS = re.compile(r"\w+")
+_LETTER = re.compile(r"[^\W\d_]")
+_HELD_TAG = re.compile(r"</?(?:pre|code)\b", re.I)
+_HELD_END = re.compile(r"\\end\{(?:verbatim|lstlisting)\}")
 #: Words of programming languages and of prose that tell sample code from sentences.
 _KEPT = frozenset(
     "the a of and to that is in it if we der die das und wenn wird für le la les un et est que pour el los las una por que en y"
@@ -113,6 +123,7 @@ def _present(tokens: set[str]) -> np.ndarray:
     return np.clip(v, -2, 2)
 
 
+@lru_cache(maxsize=1 << 16)
 def _shown(token: str) -> str:
     """Words of no known meaning count by their case only, numbers as such; signs and names of tags count themselves."""
     if token[0].isalpha():
@@ -247,18 +258,32 @@ def own_signs(rows: list[dict]) -> list[list[str]]:
     return out
 
 
+def rules(found: list[tuple[str, tuple[str, ...]]], i: int) -> tuple[bool, ...]:
+    """What patterns see in a leaf: a sign of each kind outside code spans, an underline of the line before, and entities or tags and the end of a listing within held code."""
+    line, path = found[i]
+    held = any(x in ("pre", "env:verbatim", "env:lstlisting") for x in path)
+    bare = _SPAN.sub("`x`", line) if "`" in line else line
+    setext = bool(i and line.lstrip()[:1] in ("=", "-") and _SETEXT.match(line) and _LETTER.search(found[i - 1][0]) and len(line.strip()) >= 0.5 * len(found[i - 1][0].strip()))
+    return (
+        *(bool(_CHARS[k].search(line)) and (bool(SIGNS[k].search(bare)) or (k == "markdown" and bare != line)) for k in KINDS), setext,
+        held and "fence" not in path and not any(x.startswith("env:") for x in path) and bool(_ENTITY.search(line) or _HELD_TAG.search(line)), held and bool(_HELD_END.search(line)),
+    )
+
+
 def vectors(found: list[tuple[str, tuple[str, ...]]]) -> np.ndarray:
     out = np.zeros((len(found), INPUTS), np.float32)
     for i, (line, path) in enumerate(found):
         tokens = [_shown(t) for t in _TOKEN.findall(line)]
         tight = {m.group() for m in _TIGHT.finditer(line)}
         n = max(1, len(line))
-        letters = sum(c.isalpha() for c in line)
-        out[i, :PATH_DIM] = _hashed(list(path[-6:]), PATH_DIM)
+        letters = sum(map(str.isalpha, line))
+        if path:
+            out[i, :PATH_DIM] = _hashed(list(path[-6:]), PATH_DIM)
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = _hashed(tokens, WORD_DIM)
         first = "^" + tokens[0] if tokens else "^"
         signs = {t for t in tokens if not (t[0].isalnum() or t in ".,")} | {_WORDS.sub("a", t) for t in tight} | {first, "$" + (tokens[-1] if tokens else "")}
         out[i, PATH_DIM + WORD_DIM : PATH_DIM + WORD_DIM + SIGN_DIM] = _present(signs)
+        out[i, -6 - RULES : -6] = rules(found, i)
         indent = len(line) - len(line.lstrip())
         out[i, -6:] = (min(indent, 8) / 8, letters / n, min(n, 200) / 200, line.rstrip().endswith((";", "{", "}", ":")), line.rstrip().endswith("."), any(p.startswith(("fence", "pre", "env:verb", "env:lst")) for p in path))
     return out
@@ -379,8 +404,13 @@ class Writer:
 
     def sentence(self) -> str:
         odd = self.rng.random()
-        if odd < 0.06:
+        if odd < 0.12:
+            a, b = self.word(), self.word()
             return self.pick(
+                f"Issue #{self.rng.randrange(99)} asks for C# bindings [sic] in {a}_{b}.py and {b}_{a}.rs, see [{self.rng.randrange(9)}] and {a}[{b}].",
+                f"Set {a}_{b}_index before {b}_{a}_index; C:\\{a}_{b}\\{b}_{a} is the {self.pick('old', 'new')} path of {a}_{b}.",
+                f"The check holds while {self.rng.randrange(99)} < {self.rng.randrange(999)} and {self.rng.randrange(999)} > {self.rng.randrange(99)}, or {a} -> {b} is <= {self.rng.randrange(99)}.",
+                f"{a.capitalize()} & {b} use {self.rng.randrange(9)} * {self.rng.randrange(9)} * {self.rng.randrange(9)} slots, __init__ and *args aside, ~{self.rng.randrange(9)} {b}.",
                 f"Call {self.word()}({self.word()}) only if {self.word()} == {self.word()}, never if {self.word()} != {self.word()}.",
                 f"It holds while {self.rng.randrange(99)} < {self.rng.randrange(999)} and {self.rng.randrange(99)} > 12, so {self.rng.randrange(99)} & {self.rng.randrange(99)} stay apart.",
                 f"It costs ${self.rng.randrange(1, 9)} per month, not ${self.rng.randrange(1, 9)}, and R&D pays * see note {self.rng.randrange(9)}.",
@@ -398,6 +428,16 @@ class Writer:
         )
         return self.pick("", "", "  ", "    ") + line
 
+    def sample(self) -> str:
+        """A line within a fence, listing or <pre>: code, as a rule, and now and then markup that is shown."""
+        a, n = self.word(), self.rng.randrange(300)
+        if self.rng.random() < 0.55:
+            return self.code()
+        return self.pick(
+            f"# {self.words(1, 5)}", f"## {self.words(1, 4)}", f"// {self.words(2, 6)}", f"if [[ -f {a}.txt ]]; then", f"echo {{{{ {a} }}}}", f"call({a}, **{self.word()})", f"- [ ] {self.words(2, 5)}", f"> {self.words(1, 5)}", f"{a}[{n}][{self.word()}]", f"$ {a} --{self.word()} {n}",
+            f"--- {a}", f"| {a} | {n} |", f"|---|---|", self.inline(self.pick(*KINDS)), self.marked(self.pick(*KINDS)), f"=== {self.words(1, 3)} ===",  "'" * 3 + self.words(1, 3) + "'" * 3, f"\\item {self.words(1, 4)}", f"{a} = '<{self.pick('b', 'p', 'div', 'br')}>' + {self.word()}", f"{n} {a} {self.rng.randrange(99)} ms",
+        )
+
     def inline(self, kind: str) -> str:
         w = self.words(1, 3)
         if kind == "html":
@@ -409,7 +449,7 @@ class Writer:
         return self.pick(f"\\emph{{{w}}}", f"\\texttt{{{w}}}", f"$x_{{{self.rng.randrange(9)}}} \\le {self.rng.randrange(99)}$", f"$\\frac{{1}}{{k+{self.rng.randrange(99)}}}$", f"\\textbf{{{w}}}", f"page~\\ref{{sec:{self.word()}}}", f"\\cite{{{self.word()}}}")
 
     def marked(self, kind: str) -> str:
-        s = self.sentence().split(" ")
+        s = " ".join(self.sentence() for _ in range(self.pick(1, 1, 1, 3, 6))).split(" ")
         at, piece = self.rng.randrange(1, max(2, len(s))), self.inline(kind)
         if kind == "html" and self.rng.random() < 0.4:  # touches the word before
             s[at - 1] += self.pick(piece, "<br/>", "<br>")
@@ -419,8 +459,9 @@ class Writer:
 
     def part(self, kind: str) -> list[tuple[str, list[str]]]:
         """Some lines of a document of this kind, each with its labels."""
-        plain = lambda: (self.sentence(), [])
+        plain = lambda: (" ".join(self.sentence() for _ in range(self.pick(1, 1, 2, 4, 8))), [])
         code = [(self.code(), ["code"]) for _ in range(self.rng.randrange(2, 7))]
+        shown = [(self.sample(), ["code"]) for _ in range(self.rng.randrange(1, 8))]
         title, roll = self.words(2, 6).capitalize(), self.rng.random()
         if roll < 0.25:
             return [plain() for _ in range(self.rng.randrange(1, 4))]
@@ -441,16 +482,16 @@ class Writer:
         if kind == "markdown":
             tick = self.pick("```", "~~~")
             return self.pick(
-                [("#" * self.rng.randrange(1, 5) + f" {title}", mark)], [(title, []), (self.pick("=", "-") * max(3, len(title)), mark)], [(tick + self.pick("", "python", "rust", "text"), mark), *code, (tick, mark)],
+                [("#" * self.rng.randrange(1, 5) + f" {title}", mark)], [(title, []), (self.pick("=", "-") * max(3, len(title)), mark)], [(tick + self.pick("", "python", "rust", "text", "sh", "console"), mark), *shown, (tick, mark)],
                 [(f"| {self.word()} | {self.word()} |", mark), ("|---|:---|", mark), *((f"| {self.word()} | {self.rng.randrange(999)} |", mark) for _ in range(3))], [(f"- [{self.pick(' ', 'x')}] {self.sentence()}", mark) for _ in range(3)], [(f"> {self.sentence()}", mark)],
             )
         if kind == "wiki":
             eq = "=" * self.rng.randrange(2, 6)
             return self.pick([(f"{eq} {title} {eq}", mark)], [(f"** {self.marked(kind)}", mark), (f"* {self.sentence()}", [])], [('{| class="wikitable"', mark), ("|-", mark), (f"| {self.word()} || {self.rng.randrange(99)}", mark), ("|}", mark)], [(f"{{{{infobox|name={self.word()}|size={self.rng.randrange(99)}}}}}", mark)], [(f"{{{{code|{self.word()}}}}}", mark)])
-        env = self.pick("itemize", "enumerate")
+        env, held = self.pick("itemize", "enumerate"), self.pick("verbatim", "lstlisting")
         return self.pick(
             [(self.pick("\\section{", "\\subsection{", "\\subsubsection{") + title + "}", mark)], [(f"\\begin{{{env}}}", mark), *((f"  \\item {self.sentence()}", mark) for _ in range(3)), (f"\\end{{{env}}}", mark)],
-            [("\\[", mark), (f"s_{{1}} = \\sum_{{i=1}}^{{{self.rng.randrange(99)}}} \\frac{{1}}{{k + r_i}}", mark), ("\\]", mark)], [("\\begin{verbatim}", mark), *code, ("\\end{verbatim}", mark)],
+            [("\\[", mark), (f"s_{{1}} = \\sum_{{i=1}}^{{{self.rng.randrange(99)}}} \\frac{{1}}{{k + r_i}}", mark), ("\\]", mark)], [(f"\\begin{{{held}}}", mark), *shown, (f"\\end{{{held}}}", mark)],
         )
 
     def document(self) -> list[tuple[str, list[str]]]:
@@ -464,18 +505,28 @@ class Writer:
         return lines
 
 
-@lru_cache(maxsize=1)
-def labeller() -> Labeller:
-    """The trained labeller; the same on every call and machine."""
+def trained(docs: int = TRAIN_DOCS, epochs: int = 10) -> Labeller:
+    """A labeller trained on so many documents of the writer; the same on every call."""
     w = Writer(3)
-    docs = []
-    for _ in range(TRAIN_DOCS):
+    told = []
+    for _ in range(docs):
         lines = w.document()
         found = leaves("\n".join(x for x, _ in lines))
         if len(found) == len(lines) and lines:
-            docs.append((vectors(found), np.array([[float(k in ls) for k in LABELS] for _, ls in lines], np.float32)))
+            told.append((vectors(found), np.array([[float(k in ls) for k in LABELS] for _, ls in lines], np.float32)))
+    model = Labeller(INPUTS)
+    model.train(told, epochs)
+    return model
+
+
+@lru_cache(maxsize=1)
+def labeller(weights: str = WEIGHTS) -> Labeller:
+    """The trained labeller. ``python -m siltstone.llm.markup`` trains it and writes its weights; without that file it is trained here."""
+    if not os.path.exists(weights):
+        return trained()
     model = Labeller(INPUTS)
-    model.train(docs)
+    with np.load(weights) as stored:
+        model.p = {k: stored[k].astype(np.float32) for k in model.p}
     return model
 
 
@@ -496,32 +547,17 @@ def label(model: Labeller, texts: list[str], batch: int = 256, states: list[str]
     return out
 
 
-# ---- exact check and clean text
+# ---- kinds and clean text
 
 
 def _is_code(path: tuple[str, ...], p: np.ndarray) -> bool:
     return "fence" in path or any(x in ("pre", "env:verbatim", "env:lstlisting") for x in path) or (p[4] >= CODE_SURE and p[:4].max() < 0.5)
 
 
-def kinds_of(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray) -> list[str]:
-    """Kinds that the labeller proposes for some leaf and of which that leaf, outside sample code, has a sign."""
-    got = set()
-    for i, (line, path) in enumerate(found):
-        code = _is_code(path, p[i])
-        bare = _SPAN.sub("`x`", line)
-        for k, kind in enumerate(KINDS):
-            if kind in got or p[i, k] < PROPOSE:
-                continue
-            if code:
-                if (kind == "html" and "fence" not in path and not any(x.startswith("env:") for x in path) and (_ENTITY.search(line) or re.search(r"</?(?:pre|code)\b", line, re.I))) or (kind == "latex" and re.search(r"\\end\{(?:verbatim|lstlisting)\}", line)):
-                    got.add(kind)
-            elif kind == "markdown":
-                setext = i and _SETEXT.match(line) and re.search(r"[^\W\d_]", found[i - 1][0]) and len(line.strip()) >= 0.5 * len(found[i - 1][0].strip())
-                if setext or bare != line or SIGNS[kind].search(bare):
-                    got.add(kind)
-            elif SIGNS[kind].search(bare):
-                got.add(kind)
-    return sorted(got)
+def kinds_of(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray, decide: float = DECIDE) -> list[str]:
+    """Kinds that some leaf holds with a probability of at least ``decide``."""
+    most = p[:, : len(KINDS)].max(0) if len(p) else np.zeros(len(KINDS))
+    return sorted(k for k, q in zip(KINDS, most, strict=True) if q >= decide)
 
 
 def _of_documents(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -635,7 +671,7 @@ _INLINE = {
 }
 
 
-def clean(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray, propose: float = PROPOSE) -> str:
+def clean(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray, decide: float = DECIDE) -> str:
     """Text without markup that keeps headings (``# ``), lists (``- ``), code (fenced) and formulas (``$``).
 
     Blank lines of the source aren't kept; blocks of code are set off by fences, whatever marked them.
@@ -663,7 +699,7 @@ def clean(found: list[tuple[str, tuple[str, ...]]], p: np.ndarray, propose: floa
             out.append(text)
             continue
         fence(False)
-        kinds = [k for j, k in enumerate(KINDS) if p[i, j] >= propose and (SIGNS[k].search(line) or (k == "markdown" and (_SETEXT.match(line) or _SPAN.search(line))))]
+        kinds = [k for j, k in enumerate(KINDS) if p[i, j] >= decide and (SIGNS[k].search(line) or (k == "markdown" and (_SETEXT.match(line) or _SPAN.search(line))))]
         level, text = 0, line.strip()
         if "html" in kinds:
             if m := re.search(r"<h([1-6])\b", text, re.I):
@@ -721,3 +757,7 @@ def clean_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
     rows = _of_documents(files, chunks)
     return rows.mapInArrow(work, "chunk_id long, text string")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **trained().p)
