@@ -5,10 +5,16 @@ Three sources of judgement, in this order:
 1. Repository attribute files (``.gitattributes``): the lines that set ``linguist-generated`` or
    ``linguist-vendored``, with git's precedence (a deeper directory wins, then the later line). An
    explicit "not generated" or "not vendored" acquits a file of what follows.
-2. Patterns for repositories that declare nothing: those that attribute files of at least
-   ``MINED_FROM`` directories agree on, and the places and names that such declarations usually
-   hold (``PLACES``, ``NAMES``).
-3. What the file says and looks like: a statement in its first lines; lines packed with code and
+2. Patterns for what declares nothing, mined from all that declares something: a file that an
+   attribute line or its own statement calls vendored speaks for the names of its directories, one
+   that is called generated, or is so by its contents, for the marks of its name (``.mark.`` or
+   ``_mark.``). A pattern holds if ``LEAST`` such files of ``MINED_FROM`` directories and the share
+   ``VENDORED_SHARE`` or ``GENERATED_SHARE`` of all files that it fits speak for it. A file counts
+   for one directory pattern only, the one that most speaks for, so that names below a third-party
+   directory gain nothing by it. Globs that attribute files of ``MINED_FROM`` directories agree on hold too.
+   Names by which such things commonly go (``PLACES``, ``MARKS``, ``ENDINGS``, ``FILES``) hold unless
+   ``REFUTED_FROM`` files or more contradict them; a small collection has too few files to tell.
+3. What the file says and looks like: a statement; lines packed with code and
    hardly any blanks; lines of literals; lines of two or three shapes only.
 
 Contents are reduced to a few counts for each chunk and summed per file, map-side first, so a file
@@ -21,10 +27,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.plans.tables import spread
+from siltstone.plans.tables import spread, stage
 
 #: Extensions (lower case) of files that are source code, which only can be generated, minified or data saved as code.
 CODE = "rs py pyi js mjs cjs jsx go ts tsx c h cc cpp hpp cs java kt scala rb php pl lua swift m sql sh bash css scss dart ex erl hs jl r proto vue".split()
@@ -33,22 +39,16 @@ PLACES = (
     "node_modules bower_components jspm_packages vendor vendors vendored third_party third-party thirdparty 3rdparty 3rd-party 3rd_party external externals extern"
     " pods carthage site-packages dist-packages bundled godeps".split()
 )
-#: File names that only tools write.
-NAMES = (
-    r"\.min\.(?:js|mjs|css)$",
-    r"\.pb\.[a-z]+$",
-    r"_pb2(?:_grpc)?\.[a-z]+$",
-    r"_generated\.[a-z]+$",
-    r"\.g\.[a-z]+$",
-    r"\.designer\.[a-z]+$",
-    r"(?:^|/)[^/]*\.lock$",
-    r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|go\.sum|gradlew(?:\.bat)?)$",
-)
-MINED_FROM = 2
+#: Marks in names, extensions and whole names of files that only tools write.
+MARKS = ["m:min", "m:pb", "m:g", "m:designer", "s:pb2", "s:grpc", "s:generated"]
+ENDINGS = ["e:lock"]
+FILES = ["n:package-lock.json", "n:npm-shrinkwrap.json", "n:pnpm-lock.yaml", "n:go.sum", "n:gradlew", "n:gradlew.bat"]
+LEAST, MINED_FROM = 3, 3
+VENDORED_SHARE, GENERATED_SHARE = 0.1, 0.5
+REFUTED_FROM, REFUTED_SHARE = 100, 0.02
 PACKED_LINE = 200
 PACKED_BLANKS = 0.1
 DATA_SHARE = 0.65
-SHAPE_LINES = 8
 SHAPE_LEAST = 12
 SHAPE_SHARE = 0.9
 
@@ -78,7 +78,8 @@ _DATA = re.compile(
     re.I,
 )
 _WORD = re.compile(r"\w+")
-SIGNS = ["generated", "foreign", "lines", "data", "long_chars", "long_blanks", "chars", "shaped", "shapes"]
+_ATTRIBUTES = r"(?:^|/)\.gitattributes$"
+SIGNS = ["generated", "foreign", "lines", "data", "long_chars", "long_blanks", "chars", "shaped"]
 
 
 def signs(text: str) -> tuple[int, ...]:
@@ -87,14 +88,11 @@ def signs(text: str) -> tuple[int, ...]:
     full = [x for x in lines if x.strip()]
     data = sum(1 for x in full if _DATA.match(x))
     packed = [x for x in full if len(x) >= PACKED_LINE]
-    shaped = shapes = 0
-    if len(full) >= SHAPE_LINES:
-        shapes = len(full)
-        common = Counter(_WORD.sub("w", text).split("\n"))
-        shaped = sum(n for x, n in Counter({k: v for k, v in common.items() if k.strip()}).most_common(3) if n > 1)
+    common = Counter(x for x in _WORD.sub("w", text).split("\n") if x.strip())
+    shaped = sum(n for _, n in common.most_common(3) if n > 1)
     return (
         int(bool(_GENERATED.search(text))), int(bool(_FOREIGN.search(text))), len(full), data,
-        sum(map(len, packed)), sum(x.count(" ") + x.count("\t") for x in packed), sum(map(len, full)), shaped, shapes,
+        sum(map(len, packed)), sum(x.count(" ") + x.count("\t") for x in packed), sum(map(len, full)), shaped,
     )
 
 
@@ -158,7 +156,7 @@ def attribute_lines(text: str) -> list[tuple[int, str, str, bool]]:
 
 def declared_rules(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """``dir, line, pattern, regex, kind, value`` of all attribute files, as stored in their chunks."""
-    own = files.where(F.col("path").rlike(r"(?:^|/)\.gitattributes$")).select("file_id", F.regexp_replace("path", r"\.gitattributes$", "").alias("dir"))
+    own = files.where(F.col("path").rlike(_ATTRIBUTES)).select("file_id", F.regexp_replace("path", r"\.gitattributes$", "").alias("dir"))
 
     def parse(batches):
         for b in batches:
@@ -186,53 +184,112 @@ def declared(files: DataFrame, rules: DataFrame) -> DataFrame:
     return last.select("file_id", "kind", F.col("m.value").alias("value"))
 
 
-def mined(rules: DataFrame, least: int = MINED_FROM) -> DataFrame:
-    """``regex, kind``: patterns that at least ``least`` directories set and none takes back."""
-    each = rules.groupBy("pattern", "regex", "kind").agg(F.countDistinct("dir").alias("n"), F.min("value").alias("always"))
-    return each.where((F.col("n") >= least) & F.col("always")).select("regex", "kind")
+def patterns_of(rows: DataFrame) -> DataFrame:
+    """``pattern, place`` for each row of ``rows(path, ...)``: ``d:`` a directory's name, ``m:`` and ``s:`` a mark, ``e:`` the extension, ``n:`` the name; ``place`` is the directory that it was met in."""
+    parts = F.split(F.lower("path"), "/")
+    dirs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda c, i: F.struct(F.concat(F.lit("d:"), c).alias("pattern"), F.array_join(F.slice(parts, 1, i), "/").alias("place"), i.alias("depth")))
+    name, here = F.element_at(parts, -1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    mark = lambda kind, regex: F.struct(F.concat(F.lit(kind), F.when(F.regexp_extract(name, regex, 1) != "", F.regexp_extract(name, regex, 1))).alias("pattern"), here.alias("place"), F.lit(-1).alias("depth"))
+    marks = F.array(mark("m:", r"[^.]\.(\w+)\.[a-z0-9]+$"), mark("s:", r"[^_]_([a-z0-9]+)\.[a-z0-9]+$"), mark("e:", r"\.([^.]+)$"), mark("n:", "^(.+)$"))
+    each = rows.where("path is not null").withColumn("_p", F.explode(F.concat(F.filter(dirs, lambda p: p["pattern"] != "d:"), marks)))
+    return each.select(*rows.columns, "_p.*").where("pattern is not null")
 
 
-def usual_place(path: Column) -> Column:
-    return F.lower(path).rlike("(?:^|/)(?:" + "|".join(re.escape(p) for p in PLACES) + ")/")
+def _usual(spark) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in [*(f"d:{x}" for x in PLACES), *MARKS, *ENDINGS, *FILES]], "pattern string")
 
 
-def usual_name(path: Column) -> Column:
-    return F.lower(path).rlike("|".join(NAMES))
+def agreed(rules: DataFrame, least: int = 2) -> DataFrame:
+    """``pattern``: what attribute lines of at least ``least`` directories set and none takes back, where it is of a kind that ``patterns_of`` knows."""
+    p = F.lower("pattern")
+    take = lambda kind, prefix, regex: F.when((F.col("kind") == kind) & p.rlike(regex), F.concat(F.lit(prefix), F.regexp_extract(p, regex, 1)))
+    kinds = [
+        take("vendored", "d:", r"^(?:\*\*/|/)?([^/*?\[\]]+)/\*\*?$"), take("generated", "m:", r"^(?:\*\*/)?\*\.(\w+)\.(?:\w+|\*)$"), take("generated", "s:", r"^(?:\*\*/)?\*_([a-z0-9]+)\.(?:\w+|\*)$"),
+        take("generated", "e:", r"^(?:\*\*/)?\*\.(\w+)$"), take("generated", "n:", r"^([^/*?\[\]]+)$"),
+    ]
+    each = rules.select(F.coalesce(*kinds).alias("pattern"), "dir", "value").where("pattern is not null").groupBy("pattern")
+    return each.agg(F.countDistinct("dir").alias("n"), F.min("value").alias("always")).where((F.col("n") >= least) & F.col("always")).select("pattern")
 
 
-def judged(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``file_id, path, vendored, generated, minified, data``: one row for each row of ``files``.
+def mined(evidence: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """``pattern, fits, speak, share, usual, declared``: the patterns that hold, once each.
 
-    Null paths are judged by contents only, as code of no known kind, hence only by statements of
-    foreign origin; a file without chunks by its path only. Repeated rows stay. Extra columns are
-    not kept.
+    ``evidence`` has a row for each file: ``file_id, path, code, vendored, generated`` (whether
+    something says so of this file). For marks only code files count, as others can't tell.
     """
+    spark = evidence.sparkSession
+    is_dir = F.col("pattern").startswith("d:")
+    speaks = F.when(is_dir, F.col("vendored")).otherwise(F.col("generated"))
+    each = patterns_of(evidence.select("file_id", "path", "code", "vendored", "generated")).where(is_dir | F.col("code")).where(~F.col("pattern").startswith("n:"))
+    figures = [F.count("*").alias("fits"), F.count_if(speaks).alias("speak"), F.approx_count_distinct(F.when(speaks, F.col("place"))).alias("places")]
+    # of few directories the approximate count is exact
+    enough = (F.col("speak") >= LEAST) & (F.col("places") >= MINED_FROM) & (F.col("speak") >= F.when(is_dir, VENDORED_SHARE).otherwise(GENERATED_SHARE) * F.col("fits"))
+    first = stage(each.groupBy("pattern").agg(*figures).where((F.col("speak") > 0) | (F.col("fits") >= REFUTED_FROM)).select("pattern", "fits", "speak", "places"), "patterns")
+    likely = first.where(enough & is_dir).select("pattern", "speak")
+    # a file counts for the likeliest of its directories
+    owner = each.where(is_dir).join(likely, "pattern").groupBy("file_id").agg(F.max(F.struct("speak", -F.col("depth"), "pattern", "place", "vendored")).alias("o"))
+    alone = owner.select("o.pattern", "o.place", "o.vendored").groupBy("pattern").agg(F.count("*").alias("fits"), F.count_if("vendored").alias("speak"), F.approx_count_distinct(F.when(F.col("vendored"), F.col("place"))).alias("places"))
+    marks = first.where(enough & (F.col("pattern").startswith("m:") | F.col("pattern").startswith("s:")))
+    held = alone.where(enough).unionByName(marks).withColumn("held", F.lit(True))
+    usual = _usual(spark).withColumn("usual", F.lit(True)).join(first.select("pattern", F.col("fits").alias("f"), F.col("speak").alias("s")), "pattern", "left")
+    usual = usual.where(F.col("f").isNull() | F.col("pattern").startswith("e:") | (F.col("f") < REFUTED_FROM) | (F.col("s") >= REFUTED_SHARE * F.col("f"))).select("pattern", "usual")
+    out = held.join(usual, "pattern", "full")
+    if rules is not None:
+        out = out.join(agreed(rules).distinct().withColumn("declared", F.lit(True)), "pattern", "full")
+    else:
+        out = out.withColumn("declared", F.lit(None).cast("boolean"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return out.select("pattern", "fits", "speak", (F.col("speak") / F.col("fits")).alias("share"), flag("usual"), flag("declared"))
+
+
+def _evidence(files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What attribute files, statements and contents say of each row of ``files``, and the attribute lines if there are any."""
     base = files.select("file_id", "path")
-    told = file_signs(chunks)
-    rules = declared_rules(base, chunks)
-    has_rules = not base.where(F.col("path").rlike(r"(?:^|/)\.gitattributes$")).isEmpty()
-    rows = base.join(told, "file_id", "left")
+    rules = None
+    rows = base.join(file_signs(chunks), "file_id", "left")
+    if not base.where(F.col("path").rlike(_ATTRIBUTES)).isEmpty():
+        rules = stage(declared_rules(base, chunks), "rules")
+        said = stage(declared(base, rules), "declared")
     for kind in ("generated", "vendored"):
-        if has_rules:
-            said = declared(base, rules).where(F.col("kind") == kind).select("file_id", F.col("value").alias(f"said_{kind}"))
-            common = mined(rules).where(F.col("kind") == kind).agg(F.concat_ws("|", F.collect_list("regex")).alias(f"mined_{kind}"))  # as many as patterns in use
-            rows = rows.join(said.dropDuplicates(["file_id"]), "file_id", "left").join(F.broadcast(common))
+        if rules is not None:
+            own = said.where(F.col("kind") == kind).select("file_id", F.col("value").alias(f"said_{kind}")).dropDuplicates(["file_id"])
+            rows = rows.join(own, "file_id", "left")
         else:
-            rows = rows.withColumn(f"said_{kind}", F.lit(None).cast("boolean")).withColumn(f"mined_{kind}", F.lit(""))
+            rows = rows.withColumn(f"said_{kind}", F.lit(None).cast("boolean"))
     count = {s: F.coalesce(F.col(s), F.lit(0)) for s in SIGNS}
     code = F.coalesce(F.regexp_extract(F.lower("path"), r"\.([^./]+)$", 1).isin(CODE), F.lit(False))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    by_mined = lambda k: (F.col(f"mined_{k}") != "") & F.expr(f"path rlike mined_{k}")
-    is_packed = (share(count["long_chars"], count["chars"]) > 0.5) & (share(count["long_blanks"], count["long_chars"]) < PACKED_BLANKS)
-    is_shaped = (count["shapes"] >= SHAPE_LEAST) & (share(count["shapes"], count["lines"]) > 0.5) & (share(count["shaped"], count["shapes"]) >= SHAPE_SHARE)
-    vendored = usual_place(F.col("path")) | by_mined("vendored") | (count["foreign"] > 0)
-    generated = usual_name(F.col("path")) | by_mined("generated") | (code & ((count["generated"] > 0) | is_shaped))
-    data = code & (share(count["data"], count["lines"]) > DATA_SHARE)
+    packed = (share(count["long_chars"], count["chars"]) > 0.5) & (share(count["long_blanks"], count["long_chars"]) < PACKED_BLANKS)
+    is_shaped = (count["lines"] >= SHAPE_LEAST) & (share(count["shaped"], count["lines"]) >= SHAPE_SHARE)
+    acquitted = F.coalesce("said_generated", F.lit(True))
+    rows = rows.select(
+        "file_id", "path", "said_generated", "said_vendored", code.alias("code"), (count["foreign"] > 0).alias("foreign"), (code & ((count["generated"] > 0) | is_shaped)).alias("made"),
+        (code & packed & acquitted).alias("minified"), (code & acquitted & (share(count["data"], count["lines"]) > DATA_SHARE)).alias("data"),
+    )
+    return stage(rows.withColumn("vendored", F.coalesce("said_vendored", "foreign")).withColumn("generated", F.coalesce("said_generated", F.col("made") | F.col("minified"))), "evidence"), rules
+
+
+def patterns(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The patterns that hold for these files (see :func:`mined`)."""
+    return mined(*_evidence(files, chunks))
+
+
+def judged(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``file_id, path, vendored, generated, minified, data``: one row for each row of ``files``.
+
+    Null paths are judged by contents only, as code of no known kind, hence only by statements of
+    foreign origin; a file without chunks by its path only. Repeated rows stay. Extra columns are
+    not kept.
+    """
+    rows, rules = _evidence(files, chunks)
+    hold = stage(mined(rows, rules).select("pattern"), "holding")
+    is_mark = F.col("pattern").startswith("m:") | F.col("pattern").startswith("s:")
+    fits = patterns_of(rows.select("file_id", "path", "code").distinct()).where(~is_mark | F.col("code")).join(hold, "pattern")
+    by = fits.groupBy("file_id").agg(F.max(F.col("pattern").startswith("d:")).alias("in_place"), F.max(~F.col("pattern").startswith("d:")).alias("by_name"))
     no = F.lit(False)
-    return rows.select(
-        "file_id", "path",
-        F.coalesce("said_vendored", vendored, no).alias("vendored"), F.coalesce("said_generated", generated, no).alias("generated"),
-        (code & is_packed & F.coalesce("said_generated", F.lit(True))).alias("minified"), (data & F.coalesce("said_generated", F.lit(True))).alias("data"),
+    return rows.join(by, "file_id", "left").select(
+        "file_id", "path", F.coalesce("said_vendored", F.coalesce("in_place", no) | F.col("foreign")).alias("vendored"),
+        F.coalesce("said_generated", F.coalesce("by_name", no) | F.col("made")).alias("generated"), "minified", "data",
     )
 
 

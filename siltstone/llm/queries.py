@@ -14,6 +14,10 @@ def p1_judged(spark, d):
     return handwritten.judged(table(spark, d, "files"), table(spark, d, "chunks"))
 
 
+def p1_patterns(spark, d):
+    return handwritten.patterns(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
 def p3_found(spark, d):
     return vectorjoin.pairs(table(spark, d, "vectors"))
 
@@ -111,5 +115,5 @@ grams AS MATERIALIZED (SELECT kind, id, string_agg(t, ' ') OVER twelve AS g, cou
 SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM grams d JOIN grams e ON d.g = e.g AND d.n = 12 AND e.n = 12 WHERE d.kind = 'd' AND e.kind = 'e'
 """
 
-QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_kept": p3_kept, "p4_found": p4_found, "p4_groups": p4_groups, "p4_visited": p4_visited, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_judged": p1_judged, "p1_patterns": p1_patterns, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_kept": p3_kept, "p4_found": p4_found, "p4_groups": p4_groups, "p4_visited": p4_visited, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_containers": p7_containers, "p7_unused": p7_unused, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL}

@@ -63,3 +63,37 @@ def test_statement_at_the_end(spark):
     rows = [(1, 1, body), (1, 61, "done();\n// Code generated by tool. DO NOT EDIT."), (2, 1, body), (2, 61, "done();\nlet s = 1; // it was generated by hand"), (3, 1, body), (3, 61, "// vendored from upstream")]
     told = {r["file_id"]: r for r in h.file_signs(spark.createDataFrame(rows, "file_id long, start_line int, text string")).collect()}
     assert [told[i]["generated"] for i in (1, 2, 3)] == [1, 0, 0] and [told[i]["foreign"] for i in (1, 2, 3)] == [0, 0, 1]
+
+
+def test_patterns_are_mined_from_what_says_so(spark):
+    """Directories and marks that no list names: files that say so speak for those that don't."""
+    files = []
+    for p in range(6):
+        for n in range(4):
+            files.append((f"/repo{p}/imported_stuff/lib{n}/x{p}{n}.py", "# Vendored from elsewhere 1.0\n" + HAND if n == 0 else HAND))
+            files.append((f"/repo{p}/src/lib{n}/y{p}{n}.py", HAND))
+        files.append((f"/repo{p}/src/api_stencil.rs", "// Code generated by stencil. DO NOT EDIT.\n" + HAND if p < 4 else HAND))
+        files.append((f"/repo{p}/src/other_reader.rs", "// Code generated by hand-me-down. DO NOT EDIT.\n" + HAND if p == 0 else HAND))
+    f = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(files)], "file_id long, path string")
+    c = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(files)], "file_id long, start_line int, text string")
+    held = {r["pattern"]: r for r in h.patterns(f, c).collect() if not r["usual"]}
+    # what lies below imported_stuff counts for that alone; lib0 is a name of hand-written directories too
+    assert set(held) == {"d:imported_stuff", "s:stencil"}
+    assert (held["d:imported_stuff"]["fits"], held["d:imported_stuff"]["speak"]) == (24, 6)
+    got = {files[r[0]][0] for r in h.found(f, c).collect()}
+    assert got == {p for p, t in files if "imported_stuff" in p or "stencil" in p or "generated" in t}
+
+
+def test_usual_names_can_be_refuted(spark, monkeypatch):
+    monkeypatch.setattr(h, "REFUTED_FROM", 8)
+    files = [(f"/p{i % 3}/external/a{i}.py", HAND) for i in range(9)]
+    assert judge(spark, files) == [[]] * 9
+    assert judge(spark, files[:7]) == [["vendored"]] * 7
+
+
+def test_nested_attribute_files_and_an_undeclared_sibling(spark):
+    files = [
+        ("/a/.gitattributes", "*.tpl.js linguist-generated\n/deps/** linguist-vendored\n"), ("/a/deps/.gitattributes", "own/** -linguist-vendored\n"), ("/a/deps/own/x.js", HAND), ("/a/deps/y.js", HAND), ("/a/x.tpl.js", HAND),
+        ("/b/.gitattributes", "**/deps/* linguist-vendored\n*.tpl.js linguist-generated\n"), ("/b/deps/y.js", HAND), ("/c/deps/z.js", HAND), ("/c/z.tpl.js", HAND), ("/c/src/z.js", HAND),
+    ]
+    assert judge(spark, files) == [[], ["vendored"], [], ["vendored"], ["generated"], [], ["vendored"], ["vendored"], ["generated"], []]
