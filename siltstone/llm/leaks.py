@@ -5,7 +5,7 @@ every ``GUARANTEE - GRAM + 1`` successive ``GRAM``-word hashes the smallest is k
 that share ``GUARANTEE`` words in a row share a kept hash of them. Hits are then extended to both
 sides; a pair counts if the shared run reaches ``GUARANTEE`` words.
 
-The evaluation set is small beside the corpus. Up to ``PROBE_WORDS`` words its fingerprints and
+The evaluation set is small beside the corpus. Up to ``PROBE_CHARS`` characters its fingerprints and
 words are sent to the tasks, which probe and extend in one pass over the corpus without a shuffle.
 A larger set is joined by fingerprint, and runs are extended from the two word hash arrays.
 """
@@ -25,7 +25,7 @@ from siltstone.plans.tables import spread
 
 GUARANTEE = 12
 GRAM = 6
-PROBE_WORDS = 1_000_000
+PROBE_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]+")
@@ -152,32 +152,17 @@ class Probe:
         return got
 
 
-def leaks(self, h: np.ndarray) -> list[int]:
-        """Items that share ``guarantee`` words in a row with a text."""
-        if len(h) < self.guarantee or not len(self.key):
-            return []
-        key, at = fingerprints(h, self.guarantee, self.gram)
-        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        got: set[int] = set()
-        for k in np.flatnonzero(hi > lo):
-            for m in range(lo[k], hi[k]):
-                item = int(self.item[m])
-                if item not in got and extend(h, int(at[k]), self.texts[item], int(self.at[m])) >= self.guarantee:
-                    got.add(item)
-        return [self.ids[i] for i in got]
-
-
-def leaks(documents: DataFrame, items: DataFrame, guarantee: int = GUARANTEE, gram: int = GRAM, probe_words: int = PROBE_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, guarantee: int = GUARANTEE, gram: int = GRAM, probe_chars: int = PROBE_CHARS) -> DataFrame:
     """``doc_id, item_id`` once for each document and item with ``guarantee`` common words in a row.
 
     Null and empty texts, and texts of fewer words, leak nothing. A document that repeats another
     is reported for itself. Extra columns are not kept.
     """
     items = items.where("text is not null").select("item_id", "text")
-    n_words = items.select(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
-    if n_words > probe_words:
+    n_chars = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if n_chars > probe_chars:
         return _joined(documents, items, guarantee, gram)
-    rows = [(r["item_id"], r["text"]) for r in items.collect()]  # at most probe_words words
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]  # at most probe_chars characters
 
     def find(batches):
         probe, hasher = Probe(rows, guarantee, gram), Hasher()

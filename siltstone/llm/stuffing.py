@@ -8,7 +8,8 @@ A segment is stuffing if it is
 - mostly links or tags, or a few words and the host they lead to,
 - content words most of which recur within ``NEAR`` words, with next to no function words,
 - the same at one lag, with some function words but no sentence (a phrase repeated with a
-  changing word), or
+  changing word),
+- a trail of navigation (names with arrows between them), or
 - a list of a few words between separators, with next to no function words and no sign of a
   sentence, table, figure or code, in a run of such lists that has ``MANY`` distinct words. Nothing
   needs to recur in it; a short list is honest.
@@ -53,6 +54,7 @@ _FIGURE = re.compile(r"(?<!\S)\S*\d\S*")
 _SENTENCE = re.compile(r"[.!?][\"')]*\s*$")
 _BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý¿¡\"'(])")
 _SEPARATORS = re.compile(r"[|»›/,;•·>]|\s[-–—]\s")
+_ARROW = re.compile(r"[»›]")
 _NO_LIST = re.compile(r"[{}\[\]()=<$`\\]|::|->|\w[._]\w|^\s*\||:.*:", re.S)
 _META = re.compile(r"<meta\s+name=.keywords.[^>]*>", re.I)
 
@@ -105,45 +107,55 @@ def is_list(seg: str, n: int) -> bool:
     return items >= 4 and n <= 2.5 * items and not _SENTENCE.search(seg) and not _NO_LIST.search(seg) and len(_FIGURE.findall(seg)) <= 0.1 * n
 
 
+def is_trail(seg: str, n: int) -> bool:
+    """Whether a segment of ``n`` words is a trail of navigation: three names or more with arrows between them."""
+    items = 1 + len(_ARROW.findall(seg.strip().strip("»›")))
+    return items >= 3 and n <= 2.5 * items and not _SENTENCE.search(seg)
+
+
 def stuffed_share(text: str, share: float = SHARE) -> float:
     """The share of the judged characters that is stuffing, or 0 where it can't be more than ``share``."""
-    found = list(_WORD.finditer(text))
-    words = [m.group().lower() for m in found]
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    starts = np.fromiter((m.start() for m in found), np.int64, len(found))
-    function = np.fromiter((w in FUNCTION for w in words), bool, len(words))
-    functions = np.r_[0, np.cumsum(function)]
-    parts = []
+    parts: list[tuple[str, int, int, int, int]] = []
+    words: list[str] = []
+    functions: list[int] = []  # of each segment
     may = total = 0
     for a, b in segments(text):
         seg = text[a:b]
         size = len(seg.strip())
-        lo, hi = np.searchsorted(starts, (a, b))
-        links = sum(len(m.group()) for m in _LINK.finditer(seg))
-        parts.append((seg, size, lo, hi, links))
+        here = _WORD.findall(seg.lower())
+        lo = len(words)
+        words += here
+        own = sum(map(FUNCTION.__contains__, here))
+        functions.append(own)
+        links = sum(len(m.group()) for m in _LINK.finditer(seg)) if "/" in seg or "#" in seg or "www." in seg.lower() or "<" in seg else 0
+        parts.append((seg, size, lo, len(words), links))
         total += size
-        if links >= 0.5 * size or functions[hi] - functions[lo] < 0.3 * (hi - lo) or _META.search(seg):
+        if links >= 0.5 * size or own < 0.3 * len(here) or _META.search(seg) or is_trail(seg, len(here)):
             may += size
     if may <= share * total:
         return 0.0
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    function = np.fromiter(map(FUNCTION.__contains__, words), bool, len(words))
     near, best = recurrence(ids)
     content_near, lags = np.r_[0, np.cumsum(near & ~function)], np.r_[0, np.cumsum(best)]
     bad = 0
     run, run_words = 0, set()  # the lists since the last segment of another form
-    for seg, size, lo, hi, links in parts:
-        n = int(hi - lo)
+    for (seg, size, lo, hi, links), own in zip(parts, functions, strict=True):
+        n = hi - lo
         if _META.search(seg) or links >= 0.5 * size:
             bad += size
             continue
         if n < 2:
             continue
-        f = (functions[hi] - functions[lo]) / n
-        recur = (content_near[hi] - content_near[lo]) / max(1, n - (functions[hi] - functions[lo]))
+        f = own / n
+        recur = (content_near[hi] - content_near[lo]) / max(1, n - own)
         lag = (lags[hi] - lags[lo]) / n
         coded = not links and (len(_CODE.findall(seg)) >= 2 + n / 12 or len(_FIGURE.findall(seg)) >= max(3, 0.25 * len(seg.split())))
         listed = len(_SEPARATORS.findall(seg)) >= max(2, n / 5)
-        if not coded and ((f < 0.1 and recur >= 0.6) or (f < 0.3 and lag >= 0.45 and recur >= 0.6 and not _SENTENCE.search(seg)) or (f < 0.05 and n >= 4 and (listed or links) and recur >= 0.3) or (f < 0.05 and n >= 5 and recur >= 0.4) or (f == 0 and n <= 10 and _HOST.search(seg))):
+        if not coded and ((f <= 0.15 and recur >= 0.6 + f) or (f < 0.3 and lag >= 0.45 and recur >= 0.6 and not _SENTENCE.search(seg)) or (f < 0.05 and n >= 4 and (listed or links) and recur >= 0.3) or (f < 0.05 and n >= 5 and recur >= 0.4) or (f == 0 and n <= 10 and _HOST.search(seg))):
+            bad += size
+        elif f <= 0.25 and is_trail(seg, n):
             bad += size
         elif f < 0.05 and is_list(seg, n):
             run += size

@@ -52,13 +52,13 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("probe_words", [10**6, 0])
-def test_both_ways_equal_brute_force(spark, case, probe_words):
+@pytest.mark.parametrize("probe_chars", [10**6, 0])
+def test_both_ways_equal_brute_force(spark, case, probe_chars):
     docs, items = case
     d = spark.createDataFrame([(*x, 1, "t") for x in docs], "doc_id long, text string, item_id int, task string")
     i = spark.createDataFrame([(*x, 2) for x in items], "item_id long, text string, doc_id int")
-    got = [tuple(r) for r in leaks.leaks(d, i, probe_words=probe_words).collect()]
+    got = [tuple(r) for r in leaks.leaks(d, i, probe_chars=probe_chars).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute([(a, b) for a, b in docs if b], [(a, b) for a, b in items if b], 12)
-    assert leaks.leaks(d.limit(0), i, probe_words=probe_words).count() == 0
-    assert leaks.leaks(d, i.limit(0), probe_words=probe_words).count() == 0
+    assert leaks.leaks(d.limit(0), i, probe_chars=probe_chars).count() == 0
+    assert leaks.leaks(d, i.limit(0), probe_chars=probe_chars).count() == 0
