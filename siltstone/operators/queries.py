@@ -456,7 +456,7 @@ def fleet_breakdown(spark, d):
 
 # ---- chunking
 
-_CHUNK_SQL = r"""
+CHUNK_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, list_transform(CASE WHEN text LIKE '%' || chr(10) THEN raw[1:len(raw) - 1] ELSE raw END, lambda x, i: CASE WHEN i < len(raw) AND x LIKE '%' || chr(13) THEN x[1:length(x) - 1] ELSE x END) AS lines
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents WHERE text <> '')),
@@ -475,12 +475,12 @@ final AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a,
 """
 
 
-@query(_CHUNK_SQL + "SELECT * FROM final")
+@query(CHUNK_SQL + "SELECT * FROM final")
 def chunk_lines(spark, d):
     return chunking.chunked(table(spark, d, "documents"), "doc_id")
 
 
-@query(_CHUNK_SQL + "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, max(length(text)) AS longest, CAST(sum(length(text)) AS BIGINT) AS chars FROM final")
+@query(CHUNK_SQL + "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, max(length(text)) AS longest, CAST(sum(length(text)) AS BIGINT) AS chars FROM final")
 def chunk_stats(spark, d):
     c = chunk_lines(spark, d)
     return c.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("chars"))

@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 STORE_DIR = ".siltstone"
 #: Larger files, and empty ones, have no text.
 MAX_FILE_BYTES = 8 << 20
+#: Contents that are read before they are passed on.
+BATCH_BYTES = 4 << 20
 SCHEMA = "path string, bytes long, hash string, content binary"
 
 
@@ -126,6 +128,24 @@ def read_file(path: str) -> tuple[str, int | None, str | None, bytes | None]:
         return path, None, None, None
 
 
+def read_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """The files as Arrow batches of some ``BATCH_BYTES`` of contents."""
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "bytes", "hash", "content"])
+
+    for p in paths:
+        rows.append(read_file(p))
+        held += 1024 + len(rows[-1][3] or b"")
+        if held >= BATCH_BYTES:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 class Paths(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -141,9 +161,7 @@ class CorpusReader(DataSourceReader):
         return [Paths(paths[i::n]) for i in range(n)]
 
     def read(self, partition: Paths):
-        for p in partition.paths:
-            path, size, digest, content = read_file(p)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([digest], pa.string()), pa.array([content], pa.binary())], ["path", "bytes", "hash", "content"])
+        yield from read_batches(partition.paths)
 
 
 class SnapshotStream(SimpleDataSourceStreamReader):
@@ -205,9 +223,7 @@ def read_paths(spark: SparkSession, paths: DataFrame) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for p in b.column("path").to_pylist():
-                rows = [[x] for x in read_file(p)]
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["path", "bytes", "hash", "content"])
+            yield from read_batches(b.column("path").to_pylist())
 
     return paths.select("path").mapInArrow(read, SCHEMA)
 
