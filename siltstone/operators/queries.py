@@ -179,10 +179,9 @@ def fleet_stats(spark, d):
 @query(r"""
 SELECT file_id, regexp_extract(path, '([^/]+)/*$', 1) AS name, regexp_extract(path, '^(.*)/[^/]+/*$', 1) AS parent, lower(regexp_extract(path, '[^/]\.([^./]+)$', 1)) AS ext,
        CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.0f KB', bytes / 1024.0) ELSE printf('%.1f MB', bytes / 1048576.0) END AS size
-FROM files WHERE bytes % 1024 <> 512
+FROM files
 """)
 def path_parts(spark, d):
-    """All files. The SQL leaves out those whose size is half-way between two whole KB, and those without one."""
     p = F.col("path")
     return table(spark, d, "files").select("file_id", scalars.file_name(p).alias("name"), scalars.parent(p).alias("parent"), scalars.extension(p).alias("ext"), scalars.human_bytes(F.col("bytes")).alias("size"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,23 +54,16 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     ``k`` candidates per query and batch, the rest is one grouped limit. More queries than
     ``QUERY_CELLS`` allow are answered in several scans.
     """
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id")
-    first = q.head()
+    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     schema = f"query_id long, {key} long, similarity double"
+    first = q.head()
     if first is None:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
     per_scan = max(1, QUERY_CELLS // max(1, len(first["embedding"])))
-    spark = vectors.sparkSession
-    found, last = None, None
-    while True:
-        part = (q if last is None else q.where(F.col("query_id") > last)).limit(per_scan).toPandas()
-        if part.empty:
-            break
-        last = int(part["query_id"].iloc[-1])
-        one = _scan(spark, vectors, part, k, key, schema)
+    spark, found, rows = vectors.sparkSession, None, q.toLocalIterator()
+    while part := list(islice(rows, per_scan)):
+        one = _scan(spark, vectors, pd.DataFrame(part, columns=q.columns), k, key, schema)
         found = one if found is None else found.unionByName(one)
-        if len(part) < per_scan:
-            break
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -14,6 +14,10 @@ from siltstone.operators import fusion
 from siltstone.sources.store import Store
 
 
+#: Paths that one listing shows at most.
+PATHS_MOST = 10_000
+
+
 def store_dirs(given: Sequence[str], env: str | None = None) -> list[str]:
     """The given directories, else those of the environment variable, else the default one."""
     if given:
@@ -67,10 +71,10 @@ class Fleet:
         return hits.orderBy("merged").select("score", "path", "start_line", "end_line", "text", "store", "similarity")
 
     def paths(self, narrowed: Filter, limit: int, only: Sequence[str] | None = None) -> tuple[list[str], int]:
-        """At most ``limit`` paths in order of store and path, and how many more there are."""
+        """At most ``limit`` paths (and ``PATHS_MOST``) in order of store and path, and how many more there are."""
         parts = [s.files().where(narrowed.predicate(F.col("path"))).select(F.lit(i).alias("o"), F.lit(n).alias("n"), "path") for i, n, s in self.chosen(only)]
         all_paths = reduce(DataFrame.unionByName, parts)
-        rows = all_paths.orderBy("o", "path").limit(max(limit, 1)).collect()
+        rows = all_paths.orderBy("o", "path").limit(min(max(limit, 1), PATHS_MOST)).collect()
         shown = [f"[{r['n']}] {r['path']}" if len(self.stores) > 1 else r["path"] for r in rows]
         return shown, all_paths.count() - len(rows)
 

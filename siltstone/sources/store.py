@@ -82,11 +82,11 @@ class WriterLock:
             fcntl.flock(self.file, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except OSError:
             self.file.seek(0)
-            holder = self.file.read().strip() or "another process"
+            holder = self.file.read().strip() or "a process that left no name"
             self.file.close()
-            raise Locked(f"{os.path.dirname(self.path)} is being written by {holder}") from None
+            raise Locked(f"the writer of {os.path.dirname(self.path)} is {holder}; wait for it") from None
         self.file.truncate(0)
-        self.file.write(f"pid {os.getpid()} (started at unix {int(time.time())})")
+        self.file.write(f"process {os.getpid()}, since {time.strftime('%Y-%m-%d %H:%M:%S')}")
         self.file.flush()
         return self
 

@@ -84,7 +84,7 @@ def test_rules_of_opening(spark, tmp_path):
 def test_one_writer_and_no_half_runs(spark, tmp_path, monkeypatch):
     write(tmp_path / "c", a="alpha\n", b="beta\n")
     s = Store(spark, str(tmp_path / "s"))
-    with WriterLock(s.root), pytest.raises(Locked, match="pid"):
+    with WriterLock(s.root), pytest.raises(Locked, match="process"):
         s.index([str(tmp_path / "c")])
     monkeypatch.setattr(s, "_write_files", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
     with pytest.raises(RuntimeError, match="killed"):
@@ -128,20 +128,21 @@ def test_fleet_service_and_cli(spark, tmp_path, capsys):
     assert ask("ping")["result"] == {} and ask("nope")["error"]["code"] == -32601
     assert ask("initialize", protocolVersion="2024-11-05")["result"]["protocolVersion"] == "2024-11-05"
     assert ask("initialize", protocolVersion="1999")["result"]["protocolVersion"] == "2025-11-25"
+    assert ask("initialize")["result"]["protocolVersion"] == "2024-11-05"
     assert len(ask("tools/list")["result"]["tools"]) == 5
     meta = {"io.modelcontextprotocol/protocolVersion": "1999"}
     assert ask("ping", _meta=meta)["error"]["code"] == -32022
     assert "ttlMs" in ask("server/discover")["result"]
     text = call("search", query="sourdough", k=1, ext="md")["content"][0]["text"]
     assert text.startswith("[1] bread ") and "bread.md:1-1 (score 0.0" in text
-    assert "Try again without it" in call("search", query="x", ext=["zzz"])["content"][0]["text"]
+    assert "loosen path" in call("search", query="x", ext=["zzz"])["content"][0]["text"]
     assert call("search", query="x", lang=["klingon"])["isError"]
     assert ask("tools/call", name="siltstone_search", arguments={})["error"]["code"] == -32602
-    assert "more." in call("files", limit=1)["content"][0]["text"]
+    assert "1 further files" in call("files", limit=1)["content"][0]["text"]
     assert "bread: 1 files" in call("stats")["content"][0]["text"]
     assert call("index", path=str(tmp_path / "rust"))["isError"]
     assert "1 unchanged" in call("index", path=str(tmp_path / "rust"), store="rust")["content"][0]["text"]
-    assert "not indexed" in call("forget", path="/nowhere", store="rust")["content"][0]["text"]
+    assert "does not know" in call("forget", path="/nowhere", store="rust")["content"][0]["text"]
 
     assert cli.main(["-s", dirs[0], "search", "sourdough", "--json"], spark) == 0
     assert [sorted(h) for h in json.loads(capsys.readouterr().out)] == [["end_line", "path", "score", "start_line", "text"]]
