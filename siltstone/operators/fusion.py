@@ -39,7 +39,7 @@ def search(
     chunks: DataFrame,
     vecs: DataFrame,
     index: DataFrame,
-    n_tokens: DataFrame,
+    total: tuple[int, float],
     query: str,
     query_vector: Sequence[float],
     k: int = 8,
@@ -48,16 +48,19 @@ def search(
     """``position, score, similarity, path, start_line, end_line, text, chunk_id`` of the ``k`` best excerpts.
 
     The filter narrows both halves before they rank; the keyword statistics stay those of the whole
-    store. Only chunks with a vector can be found where a filter is given, as without one only they
+    store (``total``). ``vecs`` has one row for each chunk. Only chunks with a vector can be found where a filter is given, as without one only they
     can be in the vector half. Texts are looked up for the final ``k`` alone.
     """
     depth = RANK_DEPTH * k
-    searched = vecs.where(F.col("embedding").isNotNull()).dropDuplicates(["chunk_id"])
+    if not k:
+        return resolve(fuse(vecs.sparkSession.createDataFrame([], "chunk_id long, similarity double, rank int"), vecs.sparkSession.createDataFrame([], "chunk_id long, rank int"), 0), files, chunks)
+    searched = vecs.where(F.col("embedding").isNotNull())
     allowed = None
     if narrowed:
-        allowed = allowed_chunks(files, chunks, narrowed).join(searched.select("chunk_id"), "chunk_id", "left_semi")
+        own = ["chunk_id"] + (["shard"] if "shard" in vecs.columns else [])
+        allowed = searched.select(*own).join(allowed_chunks(files, chunks, narrowed), "chunk_id", "left_semi")
     dense = vectors.top_k(searched, query_vector, depth, allowed=allowed)
-    words = keyword.keyword_top(keyword.bm25(index, n_tokens, query, allowed=allowed), depth)
+    words = keyword.keyword_top(keyword.bm25(index, total, query, allowed=allowed), depth)
     return resolve(fuse(dense, words, k), files, chunks)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from siltstone.plans.tables import spread
 K1, B = 1.2, 0.75
 #: An idf that is not positive counts as this.
 IDF_FLOOR = 1e-6
+#: Buckets that a stored index is laid out by; a query reads those of its terms.
+BUCKETS = 32
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -54,9 +57,44 @@ def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def postings(words: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``term, key, positions``: the inverted index."""
-    each = words.select(key, F.posexplode("words").alias("position", "term"))
-    return each.groupBy("term", key).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """``term, key, positions, n_tokens``: the inverted index. Every row has a key of its own, so its postings are made where it is."""
+
+    def invert(batches):
+        for b in batches:
+            terms, keys, ends, places, sizes = [], [], [0], [], []
+            for i, ws in zip(b.column(key).to_pylist(), b.column("words").to_pylist(), strict=True):
+                at: dict[str, list[int]] = {}
+                for n, w in enumerate(ws):
+                    at.setdefault(w, []).append(n)
+                for w, ns in at.items():
+                    terms.append(w)
+                    places += ns
+                    ends.append(len(places))
+                keys += [i] * len(at)
+                sizes += [len(ws)] * len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array(keys, b.schema.field(key).type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32())), pa.array(sizes, pa.int32())], ["term", key, "positions", "n_tokens"]
+            )
+
+    return words.mapInArrow(invert, f"term string, {key} {words.schema[key].dataType.simpleString()}, positions array<int>, n_tokens int")
+
+
+def bucket(term: str) -> int:
+    return crc32(term.encode()) % BUCKETS
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    """Store postings by bucket of their term and sorted by it, so that a query reads few files and row groups of them."""
+    rows = index.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def of_query(index: DataFrame, query: str) -> DataFrame:
+    """The postings of a query's terms; of a stored index only their buckets are read."""
+    terms = sorted({t for p in phrases(query) for t in p})
+    if "bucket" in index.columns:
+        index = index.where(F.col("bucket").isin(sorted({bucket(t) for t in terms})))
+    return index.where(F.col("term").isin(terms))
 
 
 def lengths(words: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -64,53 +102,57 @@ def lengths(words: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def occurrences(index: DataFrame, wanted: list[tuple[str, ...]], key: str = "chunk_id") -> DataFrame:
-    """``phrase, key, f``: how often each phrase of the query occurs in each text.
+    """``phrase, key, f, n_tokens``: how often each phrase of the query occurs in each text.
 
-    The index is filtered to the query's terms (a pushed-down IN) and a phrase needs its n-th term
+    ``index`` holds the postings of the query's terms. A single word occurs as often as it has places; a phrase needs its n-th term
     at n places after its first: an equality on term and starting position, counted once.
     """
     spark = index.sparkSession
     slots = [(i, n, term, len(p)) for i, p in enumerate(wanted) for n, term in enumerate(p)]
-    plan = spark.createDataFrame(slots, "phrase int, slot int, term string, size int")
-    near = index.where(F.col("term").isin(sorted({s[2] for s in slots}))).join(F.broadcast(plan), "term")  # a row for each word of the query
-    starts = near.select("phrase", key, "size", F.explode("positions").alias("at"), "slot").withColumn("start", F.col("at") - F.col("slot"))
-    whole = starts.groupBy("phrase", key, "start").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
-    return whole.groupBy("phrase", key).agg(F.count("*").alias("f"))
+    plan = F.broadcast(spark.createDataFrame(slots, "phrase int, slot int, term string, size int"))  # a row for each word of the query
+    near = index.join(plan, "term")
+    found = near.where("size = 1").select("phrase", key, F.size("positions").cast("long").alias("f"), "n_tokens")
+    if all(len(p) == 1 for p in wanted):
+        return found
+    starts = near.where("size > 1").select("phrase", key, "size", "n_tokens", F.explode("positions").alias("at"), "slot").withColumn("start", F.col("at") - F.col("slot"))
+    whole = starts.groupBy("phrase", key, "start").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("n_tokens").alias("n_tokens")).where("n = size")
+    return found.unionByName(whole.groupBy("phrase", key).agg(F.count("*").alias("f"), F.first("n_tokens").alias("n_tokens")))
+
 
+def totals(n_tokens: DataFrame) -> tuple[int, float]:
+    """How many texts there are and how many words they have on the average, as a store keeps it."""
+    r = n_tokens.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("average")).first()
+    return r["n"], r["average"] or 0.0
 
-def bm25(index: DataFrame, n_tokens: DataFrame, query: str, key: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
+
+def bm25(index: DataFrame, total: tuple[int, float], query: str, key: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
     """``key, score`` of the texts with a phrase of the query; the larger the better.
 
-    A query without any word finds nothing. Repeated phrases count repeatedly.
+    ``total`` is that of :func:`totals`. A query without any word finds nothing. Repeated phrases count repeatedly.
     """
     wanted = phrases(query)
-    spark = index.sparkSession
     if not wanted:
-        return spark.createDataFrame([], f"{key} long, score double")
-    total = n_tokens.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("average"))
-    found = occurrences(index, wanted, key)
-    seen_in = found.groupBy("phrase").agg(F.count("*").alias("n_in"))  # a row for each phrase
-    idf = F.log((F.col("n_all") - F.col("n_in") + 0.5) / (F.col("n_in") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
-    weight = F.broadcast(seen_in.crossJoin(total)).select("phrase", idf.alias("idf"), "average")
+        return index.sparkSession.createDataFrame([], f"{key} long, score double")
+    n_all, average = total
+    found = occurrences(of_query(index, query), wanted, key)
+    idf = F.log((n_all - F.col("n_in") + 0.5) / (F.col("n_in") + 0.5))
+    weight = found.groupBy("phrase").agg(F.count("*").alias("n_in")).select("phrase", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))  # a row for each phrase
     rows = found if allowed is None else found.join(allowed.select(key).distinct(), key, "left_semi")
-    rows = rows.join(F.broadcast(weight), "phrase").join(n_tokens, key)
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    return rows.groupBy(key).agg(F.sum(part).alias("score"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(float(average))))
+    return rows.join(F.broadcast(weight), "phrase").groupBy(key).agg(F.sum(part).alias("score"))
 
 
-def bm25_batch(index: DataFrame, n_tokens: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+def bm25_batch(index: DataFrame, total: tuple[int, float], queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """``query_id, key, score, rank`` for many queries of single words, ``queries(query_id, term)``, a row for each word.
 
     One join on the term answers them all; terms that many texts hold are split by AQE.
     """
-    total = n_tokens.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("average"))
+    n_all, average = total
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    near = index.join(asked.select("term").distinct(), "term", "left_semi").select("term", key, F.size("positions").alias("f"))
-    seen_in = near.groupBy("term").agg(F.count("*").alias("n_in")).crossJoin(total)  # a single row of totals
-    idf = F.log((F.col("n_all") - F.col("n_in") + 0.5) / (F.col("n_in") + 0.5))
-    weight = seen_in.select("term", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"), "average")
-    rows = near.join(weight, "term").join(n_tokens, key)
+    near = index.join(asked.select("term").distinct(), "term", "left_semi").select("term", key, F.size("positions").alias("f"), "n_tokens")
+    idf = F.log((n_all - F.col("n_in") + 0.5) / (F.col("n_in") + 0.5))
+    weight = near.groupBy("term").agg(F.count("*").alias("n_in")).select("term", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"), F.lit(float(average)).alias("average"))
+    rows = near.join(weight, "term")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
     scored = rows.select("term", key, part.alias("part")).join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("times")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import scalars
 from siltstone.functions.filters import Filter, allowed_chunks, languages, listed_paths, matching_files
-from siltstone.operators import change, chunking, fusion, incremental, keyword, vectors
+from siltstone.operators import change, chunking, fusion, incremental, keyword, stored, vectors
 from siltstone.plans.tables import own_folder, stage, table
 from siltstone.streaming import sessions
 
@@ -212,12 +212,24 @@ def shard_sizes(spark, d):
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-def _first_vector(vecs):
-    return vecs.where("embedding is not null").orderBy("chunk_id").select("embedding").first()["embedding"]
+_BUILT: dict[tuple, tuple] = {}
 
 
-def _searched(spark, d):
-    return table(spark, d, "vectors").where("embedding is not null").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+def _index(spark, d) -> tuple[stored.Index, list[float]]:
+    """The store's index, built once for a session and data directory, and the vector that queries ask with: that of the smallest id."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        index = stored.build(table(spark, d, "chunks"), table(spark, d, "vectors"))
+        first = index.vectors.orderBy("chunk_id").select("embedding").first()
+        _BUILT[key] = index, first["embedding"] if first else []
+    return _BUILT[key]
+
+
+def _documents(spark, d) -> stored.Index:
+    key = (spark.sparkContext.applicationId, d, "documents")
+    if key not in _BUILT:
+        _BUILT[key] = (stored.build(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), key="doc_id"),)
+    return _BUILT[key][0]
 
 
 _VECS = "v AS (SELECT chunk_id, any_value(embedding) AS embedding FROM vectors WHERE embedding IS NOT NULL GROUP BY chunk_id), q AS (SELECT embedding AS e FROM v ORDER BY chunk_id LIMIT 1)"
@@ -225,8 +237,8 @@ _VECS = "v AS (SELECT chunk_id, any_value(embedding) AS embedding FROM vectors W
 
 @query(f"WITH {_VECS}, s AS (SELECT chunk_id, {_DOT.format(a='embedding', b='e')} AS x FROM v, q) SELECT chunk_id, round(x, 6) AS similarity, row_number() OVER (ORDER BY x DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20")
 def knn_topk(spark, d):
-    vecs = _searched(spark, d)
-    return vectors.top_k(vecs, _first_vector(vecs), 20).withColumn("similarity", F.round("similarity", 6))
+    index, asked = _index(spark, d)
+    return vectors.top_k(index.vectors, asked, 20).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""
@@ -235,9 +247,9 @@ WITH {_VECS}, s AS (SELECT chunk_id, {_DOT.format(a='embedding', b='e')} AS x FR
 SELECT chunk_id, round(x, 6) AS similarity, row_number() OVER (ORDER BY x DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20
 """)
 def knn_filtered(spark, d):
-    vecs = _searched(spark, d)
-    allowed = allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(langs=["javascript"]))
-    return vectors.top_k(vecs, _first_vector(vecs), 20, allowed=allowed).withColumn("similarity", F.round("similarity", 6))
+    index, asked = _index(spark, d)
+    allowed = allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(langs=["javascript"])).withColumn("shard", stored.shard_of(F.col("chunk_id")))
+    return vectors.top_k(index.vectors, asked, 20, allowed=allowed).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""
@@ -306,37 +318,44 @@ keyword_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC,
 _IN_DOCS = "WHERE h.chunk_id IN (SELECT chunk_id FROM chunks JOIN files USING (file_id) WHERE lower(path) GLOB '*/docs/**')"
 
 
-def _index(spark, d):
-    words = stage(keyword.tokenized(table(spark, d, "chunks")), "words")
-    return keyword.postings(words), keyword.lengths(words)
+def _bm25(spark, d, text, allowed=None):
+    index, _ = _index(spark, d)
+    return keyword.bm25(index.postings, index.total, text, allowed=allowed)
 
 
 @query(f"WITH {_TOKENS}, {_bm25_sql(KEYWORDS)} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
 def keyword_bm25(spark, d):
-    return keyword.keyword_top(keyword.bm25(*_index(spark, d), KEYWORDS), 20).withColumn("score", F.round("score", 6))
+    return keyword.keyword_top(_bm25(spark, d, KEYWORDS), 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_TOKENS}, {_bm25_sql('while_the_lock nothing_at_all durable')} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
 def keyword_phrase(spark, d):
-    return keyword.keyword_top(keyword.bm25(*_index(spark, d), "while_the_lock nothing_at_all durable"), 20).withColumn("score", F.round("score", 6))
+    return keyword.keyword_top(_bm25(spark, d, "while_the_lock nothing_at_all durable"), 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_TOKENS}, {_bm25_sql(KEYWORDS, _IN_DOCS)} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
 def keyword_filtered(spark, d):
     """Filtered, with the statistics of the whole store."""
     allowed = allowed_chunks(table(spark, d, "files"), table(spark, d, "chunks"), Filter.of(paths=["docs/**"]))
-    return keyword.keyword_top(keyword.bm25(*_index(spark, d), KEYWORDS, allowed=allowed), 20).withColumn("score", F.round("score", 6))
+    return keyword.keyword_top(_bm25(spark, d, KEYWORDS, allowed), 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_TOKENS}, {_bm25_sql('snapshot AND (vector* NEAR -lock')} SELECT chunk_id, round(score, 6) AS score, rank FROM keyword_top")
 def keyword_syntax_inert(spark, d):
-    return keyword.keyword_top(keyword.bm25(*_index(spark, d), 'snapshot" AND (vector* NEAR -lock'), 20).withColumn("score", F.round("score", 6))
+    return keyword.keyword_top(_bm25(spark, d, 'snapshot" AND (vector* NEAR -lock'), 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_TOKENS} SELECT (SELECT count(DISTINCT term) FROM toks) AS terms, (SELECT count(*) FROM words) AS texts, (SELECT count(DISTINCT chunk_id) FROM vectors WHERE embedding IS NOT NULL) AS vectors")
+def index_sizes(spark, d):
+    """What the index that searches read holds; the first query that needs it builds it."""
+    index, _ = _index(spark, d)
+    terms = index.postings.select("term").distinct().agg(F.count("*").alias("terms"))
+    return terms.crossJoin(index.vectors.agg(F.count("*").alias("vectors"))).select("terms", F.lit(index.total[0]).cast("long").alias("texts"), "vectors")  # single rows
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS occurrences FROM toks GROUP BY term")
 def vocabulary(spark, d):
-    index, _ = _index(spark, d)
-    return index.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("occurrences"))
+    return _index(spark, d)[0].postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("occurrences"))
 
 
 @query(r"""
@@ -353,10 +372,10 @@ SELECT count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM (
 def mrr_at_10(spark, d):
     """Known-item search: the first line of a document as a query should find it. Queries are the rows whose id 50 divides."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = stage(keyword.tokenized(docs, "doc_id"), "words")
+    index = _documents(spark, d)
     first = keyword.tokenized(docs.where("doc_id % 50 = 0").withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "doc_id")
     asked = first.select(F.col("doc_id").alias("query_id"), F.explode("words").alias("term"))
-    found = keyword.bm25_batch(keyword.postings(words, "doc_id"), keyword.lengths(words, "doc_id"), asked, 10, "doc_id")
+    found = keyword.bm25_batch(index.postings, index.total, asked, 10, "doc_id")
     hit = found.where("doc_id = query_id").select("query_id", (1.0 / F.col("rank")).alias("gain"))
     return asked.select("query_id").distinct().join(hit, "query_id", "left").agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("gain", F.lit(0.0))), 6).alias("mrr"))
 
@@ -380,9 +399,9 @@ FROM best b JOIN chunks c ON c.chunk_id = b.chunk_id JOIN files f USING (file_id
 
 
 def _hybrid(spark, d, k, narrowed=None):
-    vecs = _searched(spark, d)
+    index, asked = _index(spark, d)
     files, chunks = table(spark, d, "files"), table(spark, d, "chunks")
-    hits = fusion.search(files, chunks, vecs, *_index(spark, d), KEYWORDS, _first_vector(vecs), k, narrowed)
+    hits = fusion.search(files, chunks, index.vectors, index.postings, index.total, KEYWORDS, asked, k, narrowed)
     return hits.withColumn("score", F.round(F.col("score").cast("double"), 6)).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -425,11 +444,10 @@ def _fleet(spark, d):
     own = chunks.select("chunk_id", "file_id").join(files.select("file_id", F.split_part("path", F.lit("/"), F.lit(4)).alias("store")), "file_id").select("chunk_id", "store")
     stores = files.select(F.split_part("path", F.lit("/"), F.lit(4)).alias("store")).distinct()
     stores = stores.withColumn("store_ord", F.row_number().over(Window.orderBy("store")))  # one row for each store
-    vecs = _searched(spark, d)
-    index, n_tokens = _index(spark, d)
+    index, asked = _index(spark, d)
     limit = lambda df, order: df.withColumn("rank", F.row_number().over(Window.partitionBy("store").orderBy(*order))).where("rank <= 32")
-    dense = limit(vecs.select("chunk_id", vectors.dot(F.col("embedding"), vectors.literal(_first_vector(vecs))).alias("similarity")).join(own, "chunk_id"), (F.desc("similarity"), "chunk_id"))
-    words = keyword.bm25(index, n_tokens, KEYWORDS).withColumn("score", F.round("score", 9)).join(own, "chunk_id")
+    dense = limit(index.vectors.select("chunk_id", vectors.dot(F.col("embedding"), vectors.literal(asked)).alias("similarity")).join(own, "chunk_id"), (F.desc("similarity"), "chunk_id"))
+    words = _bm25(spark, d, KEYWORDS).withColumn("score", F.round("score", 9)).join(own, "chunk_id")
     return dense, limit(words, (F.desc("score"), "chunk_id")), stores
 
 

@@ -37,12 +37,14 @@ def literal(vector: Sequence[float]) -> Column:
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
     """``key, similarity, rank`` of the ``k`` vectors with the largest inner product, ties by key.
 
-    ``allowed`` (a table of keys) narrows before the ranking. The limit is a heap in each task
+    Keys are unique. ``allowed`` (a table of keys) narrows before the ranking; where both it and the
+    vectors have a ``shard`` that the vectors are stored by, only the shards it names are read. The limit is a heap in each task
     (TakeOrderedAndProject); only ``k`` rows of each leave it. Null vectors are not searched.
     """
     rows = vectors.where(F.col("embedding").isNotNull())
     if allowed is not None:
-        rows = rows.join(allowed.select(key).distinct(), key, "left_semi")
+        keys = [c for c in (key, "shard") if c in rows.columns and c in allowed.columns]
+        rows = rows.join(allowed.select(*keys).distinct(), keys, "left_semi")
     best = rows.select(key, dot(F.col("embedding"), literal(query)).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))  # k rows
 

@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,20 +27,22 @@ from pyspark.sql import functions as F
 from siltstone.functions import embedding
 from siltstone.functions.filters import Filter, matching_files
 from siltstone.operators import chunking, fusion, keyword
+from siltstone.operators.stored import shard_of
 from siltstone.plans.tables import stage
 from siltstone.sources import corpus
 from siltstone.sources.markup_text import extract
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 #: Part of every stored hash, so that a better reader reads old files again.
 READER_VERSION = "1"
 FILES = "file_id long, path string, hash string, bytes long, indexed_at timestamp"
 CHUNKS = "chunk_id long, file_id long, ord int, start_line int, end_line int, text string"
-VECTORS = "chunk_id long, file_id long, shard long, embedding array<float>"
-POSTINGS = "term string, chunk_id long, file_id long, positions array<int>"
+VECTORS = "chunk_id long, file_id long, embedding array<float>, shard long"
+POSTINGS = "term string, chunk_id long, file_id long, positions array<int>, n_tokens int, bucket int"
 LENGTHS = "chunk_id long, file_id long, n_tokens int"
 SEGMENT_TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
-SHARD_VECTORS = 65_536
+#: What the files of a table are laid out by.
+LAID_OUT_BY = {"vectors": "shard", "postings": "bucket"}
 #: Files that one commit indexes; what a run that dies has committed is not done again.
 SLICE_FILES = 10_000
 
@@ -98,6 +101,7 @@ class WriterLock:
 class Store:
     def __init__(self, spark: SparkSession, root: str, model: str | None = None, create: bool = True) -> None:
         self.spark, self.root = spark, os.path.realpath(root)
+        self._known_totals: dict[int, tuple[int, float]] = {}
         if not os.path.isdir(os.path.join(self.root, "generations")):
             if not create:
                 raise FileNotFoundError(f"no store at {root}")
@@ -106,6 +110,8 @@ class Store:
         now = self.generation()
         if now.format_version > FORMAT_VERSION:
             raise ValueError(f"store has format {now.format_version}, this program knows {FORMAT_VERSION}")
+        if now.format_version < FORMAT_VERSION:
+            raise ValueError(f"store has the older format {now.format_version}; index into a new one")
         if model and model != now.model:
             raise ValueError(f"store was made with model {now.model}, not {model}")
         self.model = now.model
@@ -159,7 +165,11 @@ class Store:
         schema = SEGMENT_TABLES[name]
         if not g.segments:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*(os.path.join(self.root, s, name) for s in g.segments))
+        paths = [os.path.join(self.root, s, name) for s in g.segments]
+        if name in LAID_OUT_BY:  # each segment has directories of its own
+            rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p) for p in paths])
+        else:
+            rows = self.spark.read.schema(schema).parquet(*paths)
         return rows.join(self.files(g).select("file_id"), "file_id", "left_semi")
 
     # ---- indexing
@@ -223,10 +233,9 @@ class Store:
             return g
         segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         at = os.path.join(self.root, segment)
-        shard = F.floor(F.col("chunk_id") / SHARD_VECTORS).cast("long")
         rows.select("chunk_id", "file_id", "ord", "start_line", "end_line", "text").write.parquet(f"{at}/chunks")
         kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
-        kept.select("chunk_id", "file_id", shard.alias("shard"), embedding.embedded(F.col("text"), g.model).alias("embedding")).write.parquet(f"{at}/vectors")
+        kept.select("chunk_id", "file_id", embedding.embedded(F.col("text"), g.model).alias("embedding"), shard_of(F.col("chunk_id")).alias("shard")).write.partitionBy("shard").parquet(f"{at}/vectors")
         self._write_words(at)
         new = done.join(part, "path").select("file_id", "path", "hash", "bytes", F.current_timestamp().alias("indexed_at"))
         old = self.files(g).join(new.select("path"), "path", "left_anti").select("file_id", "path", "hash", "bytes", "indexed_at")
@@ -256,7 +265,8 @@ class Store:
             segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
             for name, schema in SEGMENT_TABLES.items():
                 cols = [c.split()[0] for c in schema.split(", ")]
-                self.table(name, g).select(*cols).write.parquet(os.path.join(self.root, segment, name))
+                rows, by = self.table(name, g).select(*cols), LAID_OUT_BY.get(name)
+                (rows.repartition(by).write.partitionBy(by) if by else rows.write).parquet(os.path.join(self.root, segment, name))
             self._write_files(g, self.files(g), (segment,), g.next_file_id, g.next_chunk_id)
 
     def backfill(self) -> int:
@@ -273,7 +283,7 @@ class Store:
     def _write_words(self, at: str) -> None:
         kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
         words, ids = stage(keyword.tokenized(kept), "words"), kept.select("chunk_id", "file_id")
-        keyword.postings(words).join(ids, "chunk_id").select("term", "chunk_id", "file_id", "positions").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
+        keyword.write_postings(keyword.postings(words).join(ids, "chunk_id").select("term", "chunk_id", "file_id", "positions", "n_tokens"), f"{at}/postings")
         keyword.lengths(words).join(ids, "chunk_id").select("chunk_id", "file_id", "n_tokens").write.mode("overwrite").parquet(f"{at}/lengths")
 
     # ---- reading
@@ -309,7 +319,13 @@ class Store:
         """``position, score, similarity, path, start_line, end_line, text, chunk_id``."""
         g = self.generation()
         drop = lambda name: self.table(name, g).drop("file_id")
-        return fusion.search(self.files(g), self.table("chunks", g), drop("vectors"), drop("postings"), drop("lengths"), query, vector or self.query_vector(query), max(k, 0), narrowed)
+        return fusion.search(self.files(g), self.table("chunks", g), drop("vectors"), drop("postings"), self._totals(g), query, vector or self.query_vector(query), max(k, 0), narrowed)
+
+    def _totals(self, g: Generation) -> tuple[int, float]:
+        """Of a generation's live texts; asked once for each."""
+        if g.number not in self._known_totals:
+            self._known_totals = {g.number: keyword.totals(self.table("lengths", g))}
+        return self._known_totals[g.number]
 
 
 def _numbered(df: DataFrame, name: str, start: int) -> DataFrame:

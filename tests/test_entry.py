@@ -23,19 +23,19 @@ def close(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-#: One of each kind; SILTSTONE_ALL_SQL=1 runs them all, which takes minutes.
-SOME = ["p2_found", "filter_intersect", "change_detect", "shard_sizes", "knn_batch", "keyword_phrase", "hybrid_filtered", "fleet_merge", "chunk_lines", "watch_sessions"]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("SILTSTONE_ALL_SQL") else SOME
+@pytest.fixture(scope="module")
+def con():
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute("set timezone = 'UTC'")
+    for p in glob.glob(f"{D}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return c
 
 
 @needs_data
-@pytest.mark.parametrize("name", NAMES)
-def test_sql_agrees(spark, name):
-    duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    con.execute("set timezone = 'UTC'")
-    for p in glob.glob(f"{D}/*.parquet"):
-        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_sql_agrees(spark, con, name):
     df = entry.queries()[name](spark, D)
     cur = con.execute(entry.oracle_sql()[name])
     names = [c[0] for c in cur.description]

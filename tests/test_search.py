@@ -17,7 +17,7 @@ TEXTS = [
 def index(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, text string")
     words = keyword.tokenized(rows).cache()
-    return keyword.postings(words), keyword.lengths(words)
+    return keyword.postings(words), keyword.totals(keyword.lengths(words))
 
 
 @pytest.mark.parametrize("query", ["EMBED_BATCH", "retry backoff", "cafe", "retry retry jitter", "naive straße", "backoff_and_jitter nothing", "œuvre ÜBER"])
@@ -101,9 +101,9 @@ def test_search_filters_before_it_ranks(spark):
     chunks = spark.createDataFrame([(i, i, 0, 1, 1, f"retry backoff {'noise ' * (i % 3)}") for i in range(40)], "chunk_id long, file_id long, ord int, start_line int, end_line int, text string")
     vecs = spark.createDataFrame([(i, [1.0 if i > 5 else 0.1, 0.2]) for i in range(40)] + [(0, None)], "chunk_id long, embedding array<float>")
     words = keyword.tokenized(chunks)
-    hits = fusion.search(files, chunks, vecs, keyword.postings(words), keyword.lengths(words), "retry", [1.0, 0.0], 4, Filter.of(paths=["sub/**"])).collect()
+    hits = fusion.search(files, chunks, vecs, keyword.postings(words), keyword.totals(keyword.lengths(words)), "retry", [1.0, 0.0], 4, Filter.of(paths=["sub/**"])).collect()
     assert len(hits) == 4 and all("/sub/" in h["path"] for h in hits)
-    assert fusion.search(files, chunks, vecs, keyword.postings(words), keyword.lengths(words), "retry", [1.0, 0.0], 0).count() == 0
+    assert fusion.search(files, chunks, vecs, keyword.postings(words), keyword.totals(keyword.lengths(words)), "retry", [1.0, 0.0], 0).count() == 0
 
 
 def test_change_detection(spark):
