@@ -376,10 +376,10 @@ def stream_changes(spark, d):
     """The change stream of a directory: all files, then in a restarted run from the same checkpoint what was edited or removed."""
     docs = table(spark, d, "documents").where("text is not null")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
-    root, out = _local(spark, "watched"), own_folder(spark, "changes")
+    root, out, snapshots = _local(spark, "watched"), own_folder(spark, "changes"), _local(spark, "snapshots")
 
     def run(number: int) -> DataFrame:
-        rows = corpus.changes(spark, [root]).writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{out}/run{number}"))
+        rows = corpus.changes(spark, [root], f"{snapshots}/s").writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{out}/run{number}"))
         q = rows.start()
         try:
             q.processAllAvailable()

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import os
 import re
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from siltstone.streaming.sessions import Quiet
+
 STORE_DIR = ".siltstone"
 #: Larger files, and empty ones, have no text.
 MAX_FILE_BYTES = 8 << 20
@@ -165,10 +169,16 @@ class CorpusReader(DataSourceReader):
 
 
 class SnapshotStream(SimpleDataSourceStreamReader):
-    """Creations, edits and deletions as rows; the offset is a number into snapshots, kept by time and size of each file."""
+    """Creations, edits and deletions as rows, by what a snapshot (time and size of each file) has that the one before hasn't.
+
+    A batch closes after ``quiet`` seconds without another change, ``longest`` seconds after its first
+    at the latest. An offset is the number of a snapshot in the directory ``snapshots``.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.roots = options["roots"].split(os.pathsep)
+        self.roots, self.kept = options["roots"].split(os.pathsep), options["snapshots"]
+        self.rule, self.seen = Quiet(float(options.get("quiet", 0)), float(options.get("longest", 5))), None
+        os.makedirs(self.kept, exist_ok=True)
 
     def _snapshot(self) -> dict[str, list]:
         out = {}
@@ -180,20 +190,49 @@ class SnapshotStream(SimpleDataSourceStreamReader):
                 continue
         return out
 
+    def _load(self, n: int) -> dict[str, list]:
+        if not n:
+            return {}
+        with open(os.path.join(self.kept, f"{n}.json"), encoding="utf-8") as f:
+            return json.load(f)
+
+    def _save(self, n: int, files: dict[str, list]) -> None:
+        tmp = os.path.join(self.kept, f".{n}-{os.getpid()}")
+        with open(tmp, "w", encoding="utf-8") as f:
+            json.dump(files, f)
+        os.replace(tmp, os.path.join(self.kept, f"{n}.json"))
+
+    @staticmethod
+    def _between(before: dict[str, list], now: dict[str, list]) -> Iterator[tuple[str, bool]]:
+        return iter([(p, True) for p, s in now.items() if before.get(p) != s] + [(p, False) for p in before if p not in now])
+
     def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"snapshot": 0}
 
     def read(self, start: dict):
-        before, now = start["files"], self._snapshot()
-        rows = [(p, True) for p, s in now.items() if before.get(p) != s] + [(p, False) for p in before if p not in now]
-        return iter(rows), {"files": now}
+        before, files, now = self._load(start["snapshot"]), self._snapshot(), time.monotonic()
+        if files == before:
+            self.rule.closed()
+            self.seen = files
+            return iter([]), start
+        if files != self.seen:
+            self.rule.saw(now)
+            self.seen = files
+        if not self.rule.due(now):
+            return iter([]), start
+        self.rule.closed()
+        end = {"snapshot": start["snapshot"] + 1}
+        self._save(end["snapshot"], files)
+        return self._between(before, files), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        before, now = start["files"], end["files"]
-        return iter([(p, True) for p, s in now.items() if before.get(p) != s] + [(p, False) for p in before if p not in now])
+        return self._between(self._load(start["snapshot"]), self._load(end["snapshot"]))
 
     def commit(self, end: dict) -> None:
-        pass
+        """Snapshots before this one are asked for no more."""
+        for name in os.listdir(self.kept):
+            if name.endswith(".json") and int(name[:-5]) < end["snapshot"]:
+                os.unlink(os.path.join(self.kept, name))
 
 
 class Corpus(DataSource):
@@ -228,6 +267,8 @@ def read_paths(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(read, SCHEMA)
 
 
-def changes(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
+def changes(spark: SparkSession, roots: Iterable[str], snapshots: str, quiet: float = 0.0, longest: float = 5.0) -> DataFrame:
+    """``path, exists`` of what changes below the roots. ``snapshots`` belongs to the query's checkpoint."""
     spark.dataSource.register(Corpus)
-    return spark.readStream.format("corpus").option("roots", os.pathsep.join(roots)).option("changes", "true").load()
+    stream = spark.readStream.format("corpus").option("roots", os.pathsep.join(roots)).option("changes", "true")
+    return stream.option("snapshots", snapshots).option("quiet", quiet).option("longest", longest).load()

@@ -16,7 +16,8 @@ import os
 import shutil
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextlib import contextmanager, nullcontext
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import embedding
+from siltstone.functions import embedding, scalars
 from siltstone.functions.filters import Filter, matching_files
 from siltstone.operators import chunking, fusion, keyword
 from siltstone.operators.stored import shard_of
@@ -43,8 +44,10 @@ LENGTHS = "chunk_id long, file_id long, n_tokens int"
 SEGMENT_TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
 #: What the files of a table are laid out by.
 LAID_OUT_BY = {"vectors": "shard", "postings": "bucket"}
-#: Files that one commit indexes; what a run that dies has committed is not done again.
-SLICE_FILES = 10_000
+#: Files that one commit indexes at most, and about how many seconds it may take; what a run that dies has committed is not done again.
+SLICE_FILES, SLICE_SECONDS = 10_000, 30.0
+#: Files of the first commit of a run, which tells the pace.
+FIRST_FILES = 500
 
 
 @dataclass(frozen=True)
@@ -102,6 +105,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, model: str | None = None, create: bool = True) -> None:
         self.spark, self.root = spark, os.path.realpath(root)
         self._known_totals: dict[int, tuple[int, float]] = {}
+        self._held = False
         if not os.path.isdir(os.path.join(self.root, "generations")):
             if not create:
                 raise FileNotFoundError(f"no store at {root}")
@@ -174,10 +178,28 @@ class Store:
 
     # ---- indexing
 
-    def index(self, roots: Iterable[str], sweep: bool = True, budget: float | None = None) -> IndexReport:
-        """Bring the store up to date with what a walk of ``roots`` finds; ``sweep`` drops recorded files that are gone."""
+    @contextmanager
+    def holding(self):
+        """Be the only writer for as long as this lasts, over several runs."""
+        with WriterLock(self.root):
+            self._held = True
+            try:
+                yield self
+            finally:
+                self._held = False
+
+    def _lock(self):
+        return nullcontext() if self._held else WriterLock(self.root)
+
+    def index(self, roots: Iterable[str], sweep: bool = True, budget: float | None = None, progress: Callable[[str], None] | None = None, stop: Callable[[], bool] | None = None) -> IndexReport:
+        """Bring the store up to date with what a walk of ``roots`` finds; ``sweep`` drops recorded files that are gone.
+
+        Commits are sized by the pace so far, to ``SLICE_SECONDS`` and to what is left of ``budget``
+        seconds. ``progress`` is told how far it is after each, ``stop`` asked whether to go on; what is
+        left is counted as remaining, and nothing is swept then.
+        """
         roots = list(roots)
-        return self._index(corpus.corpus(self.spark, roots).select("path", "bytes", "hash"), sweep, budget)
+        return self._index(corpus.corpus(self.spark, roots).select("path", "bytes", "hash"), sweep, budget, None, progress, stop)
 
     def index_changed(self, paths: DataFrame) -> IndexReport:
         """The same for single paths; those that are gone are dropped, nothing else is."""
@@ -187,9 +209,9 @@ class Store:
         gone = _missing(recorded.join(paths, "path", "left_semi"))
         return self._index(seen.where("bytes is not null"), False, None, gone)
 
-    def _index(self, listing: DataFrame, sweep: bool, budget: float | None, gone: DataFrame | None = None) -> IndexReport:
+    def _index(self, listing: DataFrame, sweep: bool, budget: float | None, gone: DataFrame | None = None, progress: Callable[[str], None] | None = None, stop: Callable[[], bool] | None = None) -> IndexReport:
         began = time.monotonic()
-        with WriterLock(self.root):
+        with self._lock():
             self.clean()
             g = self.generation()
             seen = stage(listing.withColumn("hash", F.when(F.col("hash").isNotNull(), F.concat(F.lit(READER_VERSION + ":"), "hash"))), "seen")
@@ -198,14 +220,25 @@ class Store:
             judged = stage(seen.join(own, F.col("path") == F.col("_path"), "left").select("path", "bytes", "hash", status.alias("status")), "judged")
             counts = {r["status"]: r["count"] for r in judged.groupBy("status").count().collect()}
             report = IndexReport(scanned=sum(counts.values()), unchanged=counts.get("unchanged", 0), skipped=counts.get("skipped", 0))
-            todo = judged.where("status = 'todo'").select("path", "bytes", "hash")
-            slices = -(-counts.get("todo", 0) // SLICE_FILES)
-            for i in range(slices):
-                if budget is not None and i and time.monotonic() - began > budget:
-                    report.remaining = todo.where(F.pmod(F.xxhash64("path"), F.lit(slices)) >= i).count()
+            total = counts.get("todo", 0)
+            todo = _numbered(judged.where("status = 'todo'").select("path", "bytes", "hash"), "n", 0) if total else None
+            at, working = 0, time.monotonic()
+            while at < total:
+                now = time.monotonic()
+                pace = at / (now - working) if at else None
+                size = FIRST_FILES if pace is None else int(pace * SLICE_SECONDS)
+                if budget is not None and at:
+                    size = min(size, int(pace * (began + budget - now)))
+                if (at and budget is not None and size < 1) or (stop is not None and stop()):
+                    report.remaining = total - at
                     break
-                part = todo.where(F.pmod(F.xxhash64("path"), F.lit(slices)) == i)
-                g = self._commit(g, part, report)
+                end = at + max(1, min(size, SLICE_FILES))
+                g = self._commit(g, todo.where((F.col("n") >= at) & (F.col("n") < end)).drop("n"), report)
+                at = min(end, total)
+                if progress is not None:
+                    progress(scalars.progress(at, total, report.chunks, time.monotonic() - working))
+            if report.remaining:
+                return report
             if sweep or gone is not None:
                 lost = stage(gone if gone is not None else _missing(self.files(g).select("path")), "lost")
                 report.removed = lost.count()
@@ -250,7 +283,7 @@ class Store:
 
     def forget(self, path: str) -> int:
         """Drop one file; the number of chunks that went."""
-        with WriterLock(self.root):
+        with self._lock():
             g = self.generation()
             own = self.files(g).where(F.col("path") == os.path.realpath(path))
             n = self.table("chunks", g).join(own.select("file_id"), "file_id", "left_semi").count()
@@ -260,7 +293,7 @@ class Store:
 
     def compact(self) -> None:
         """One segment of the live rows instead of many with dead ones."""
-        with WriterLock(self.root):
+        with self._lock():
             g = self.generation()
             segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
             for name, schema in SEGMENT_TABLES.items():
@@ -271,7 +304,7 @@ class Store:
 
     def backfill(self) -> int:
         """Rebuild the inverted index of segments that lack it, from their chunks. The number of segments mended."""
-        with WriterLock(self.root):
+        with self._lock():
             mended = 0
             for segment in self.generation().segments:
                 at = os.path.join(self.root, segment)

@@ -20,21 +20,35 @@ def last_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, "_e.*")
 
 
-def batches(times: Iterable[float], quiet: float = 0.5, longest: float = 5.0) -> Iterator[list[int]]:
-    """Indices of events (in order of time, in seconds) that one batch holds.
+class Quiet:
+    """When a batch of changes is due: after ``quiet`` seconds without another, and in any case ``longest`` after its first, so that a source that never pauses is still served."""
+
+    def __init__(self, quiet: float = 0.5, longest: float = 5.0) -> None:
+        self.quiet, self.longest = quiet, longest
+        self.first: float | None = None
+        self.last = 0.0
+
+    def due(self, now: float) -> bool:
+        return self.first is not None and (now - self.last >= self.quiet or now - self.first >= self.longest)
+
+    def saw(self, now: float) -> None:
+        if self.first is None:
+            self.first = now
+        self.last = now
 
-    A batch closes after ``quiet`` without an event, and in any case ``longest`` after its first,
-    so that a source that never pauses is still served.
-    """
-    held: list[int] = []
-    first = last = 0.0
+    def closed(self) -> None:
+        self.first = None
+
+
+def batches(times: Iterable[float], quiet: float = 0.5, longest: float = 5.0) -> Iterator[list[int]]:
+    """Indices of events (in order of time, in seconds) that one batch holds, by :class:`Quiet`."""
+    rule, held = Quiet(quiet, longest), []
     for i, t in enumerate(times):
-        if held and (t - last >= quiet or t - first >= longest):
+        if rule.due(t):
             yield held
             held = []
-        if not held:
-            first = t
+            rule.closed()
+        rule.saw(t)
         held.append(i)
-        last = t
     if held:
         yield held

@@ -7,6 +7,7 @@ import pytest
 from siltstone.functions import embedding
 from siltstone.functions.filters import Filter
 from siltstone.service import Service
+from siltstone.sources import corpus
 from siltstone.sources.fleet import Fleet, labels, store_dirs
 from siltstone.sources.store import Locked, Store, WriterLock
 from siltstone.streaming.sessions import batches
@@ -147,6 +148,10 @@ def test_fleet_service_and_cli(spark, tmp_path, capsys):
     assert cli.main(["-s", dirs[0], "search", "sourdough", "--json"], spark) == 0
     assert [sorted(h) for h in json.loads(capsys.readouterr().out)] == [["end_line", "path", "score", "start_line", "text"]]
     assert cli.main(["-s", dirs[0], "search", "sourdough", "--json", "-e", "zzz"], spark) == 0 and capsys.readouterr().out == "[]\n"
+    assert cli.main(["-s", dirs[0], "-s", dirs[1], "search", "retry", "-k", "2"], spark) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("  1  0.0") and "lines 1 to 1 in " in text and text.endswith("by store: bread 1, rust 1\n")
+    assert cli.shown(os.path.join(os.getcwd(), "x/y")) == "x/y" and cli.shown("/nowhere/z") == "/nowhere/z"
     assert cli.main(["-s", dirs[0], "-s", dirs[1], "forget", "x"], spark) == 2
     assert cli.main(["-s", str(tmp_path / "no"), "stats"], spark) == 1
     assert cli.main(["languages"], spark) == 0 and "rust: rs" in capsys.readouterr().out
@@ -173,24 +178,71 @@ def test_batches():
     assert list(batches([])) == []
 
 
-def test_watch(spark, tmp_path):
+def until(true, seconds=120):
+    end = time.time() + seconds
+    while time.time() < end and not true():
+        time.sleep(0.3)
+    return true()
+
+
+def test_watch(spark, tmp_path, monkeypatch):
     write(tmp_path / "c", a="alpha\n", b="beta\n")
     s, seen = Store(spark, str(tmp_path / "s")), []
-    q = watch(s, [str(tmp_path / "c")], str(tmp_path / "ck"), seen.append)
+    w = watch(s, [str(tmp_path / "c")], str(tmp_path / "ck"), seen.append)
+    kinds = lambda: [e.kind for e in seen if e.kind != "progress"]
     try:
-        q.processAllAvailable()
-        assert seen[0].indexed == 2 and len(seen) == 1
+        ready = next(e for e in seen if e.kind == "ready")
+        assert ready.report.indexed == 2
+        with pytest.raises(Locked):
+            Store(spark, s.root).index([str(tmp_path / "c")])  # the watch is the only writer
+        assert until(lambda: os.path.exists(tmp_path / "ck" / "snapshots" / "1.json"))
         write(tmp_path / "c", a="gamma\n")
         os.rename(tmp_path / "c" / "b.md", tmp_path / "c" / "d.md")
-        end = time.time() + 90
-        while time.time() < end and {os.path.basename(r["path"]) for r in s.files().collect()} != {"a.md", "d.md"}:
-            time.sleep(0.5)
-        q.processAllAvailable()
+        assert until(lambda: {os.path.basename(r["path"]) for r in s.files().collect()} == {"a.md", "d.md"})
+        assert until(lambda: kinds()[-1] == "indexed")
         assert names(s.search("gamma", 1)) == ["a.md"]
-        assert {os.path.basename(r["path"]) for r in s.files().collect()} == {"a.md", "d.md"}
         n = len(seen)
         os.utime(tmp_path / "c" / "a.md")
-        time.sleep(2)
+        time.sleep(3)
         assert len(seen) == n  # nothing changed but the time
+        with monkeypatch.context() as m:
+            m.setattr(s, "index_changed", lambda p: (_ for _ in ()).throw(OSError("disk full")))
+            write(tmp_path / "c", e="epsilon\n")
+            assert until(lambda: kinds()[-1] == "error") and "disk full" in seen[-1].message
+        write(tmp_path / "c", f="phi\n")  # what failed comes again with it
+        assert until(lambda: {os.path.basename(r["path"]) for r in s.files().collect()} == {"a.md", "d.md", "e.md", "f.md"})
     finally:
-        q.stop()
+        w.stop()
+    assert kinds()[-1] == "stopped" and w.wait(0)
+    assert Store(spark, s.root).index([str(tmp_path / "c")]).unchanged == 4
+
+
+def test_a_run_can_be_stopped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("siltstone.sources.store.FIRST_FILES", 2)
+    monkeypatch.setattr("siltstone.sources.store.SLICE_FILES", 2)
+    write(tmp_path / "c", **{f"n{i}": f"note {i}\n" for i in range(5)})
+    s, said = Store(spark, str(tmp_path / "s")), []
+    r = s.index([str(tmp_path / "c")], progress=said.append, stop=lambda: len(said) == 1)
+    assert (r.indexed, r.remaining) == (2, 3) and said[0].startswith("2/5 files")
+    assert s.index([str(tmp_path / "c")]).indexed == 3
+
+
+def test_quiet_snapshots(tmp_path):
+    """A batch waits for quiet, but not longer than the cap; offsets are numbers, old snapshots go."""
+    write(tmp_path / "c", a="x")
+    r = corpus.SnapshotStream({"roots": str(tmp_path / "c"), "snapshots": str(tmp_path / "k"), "quiet": "0.4", "longest": "1.2"})
+    rows, at = r.read(r.initialOffset())
+    assert list(rows) == [] and at == {"snapshot": 0}
+    time.sleep(0.5)
+    rows, at = r.read(at)
+    assert [(os.path.basename(p), e) for p, e in rows] == [("a.md", True)] and at == {"snapshot": 1}
+    began, turns = time.monotonic(), 0
+    while at["snapshot"] == 1:  # never quiet
+        write(tmp_path / "c", **{f"n{turns}": "y"})
+        turns += 1
+        rows, at = r.read(at)
+        time.sleep(0.1)
+    assert 1.0 < time.monotonic() - began < 3 and len(list(rows)) == turns
+    assert len(list(r.readBetweenOffsets({"snapshot": 1}, at))) == turns
+    r.commit(at)
+    assert os.listdir(tmp_path / "k") == ["2.json"]
