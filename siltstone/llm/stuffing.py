@@ -40,7 +40,7 @@ MANY = 24
 FUNCTION = frozenset(
     """the of and to a an in is it its that this these those for on with as was were be been by are at from not nor or but have has had if when then than only we
     our you your they their he she his her i my there here what who which nobody every each some any all no so must may can could would should will do does did
-    before after between because while until since near into over under about without within per
+    before after between because while until since into over under about without within per
     der die das den dem des und ist sind war nicht ein eine einen einem einer von zu zum zur mit auf für im in am an als auch wird werden wurde haben hat wenn kein
     keine dann nach bei bis aus dass es sie er wir ihr sich noch nur oder aber vom über unter später jede jeder jedes gibt
     le la les l un une des du de et est sont dans que qui pour pas sur au aux ne ce cette se par avec sans plus ou mais nous vous ils elle il on quand chaque dès
