@@ -107,10 +107,12 @@ def occurrences(index: DataFrame, wanted: list[tuple[str, ...]], key: str = "chu
     ``index`` holds the postings of the query's terms. A single word occurs as often as it has places; a phrase needs its n-th term
     at n places after its first: an equality on term and starting position, counted once.
     """
-    spark = index.sparkSession
-    slots = [(i, n, term, len(p)) for i, p in enumerate(wanted) for n, term in enumerate(p)]
-    plan = F.broadcast(spark.createDataFrame(slots, "phrase int, slot int, term string, size int"))  # a row for each word of the query
-    near = index.join(plan, "term")
+    slots: dict[str, list] = {}
+    for i, p in enumerate(wanted):
+        for n, term in enumerate(p):
+            slots.setdefault(term, []).append(F.struct(F.lit(i).alias("phrase"), F.lit(n).alias("slot"), F.lit(len(p)).alias("size")))
+    told = F.create_map(*(x for term, at in slots.items() for x in (F.lit(term), F.array(*at))))  # the words of the query
+    near = index.withColumn("_at", F.explode(told[F.col("term")])).select(key, "positions", "n_tokens", "_at.*")
     found = near.where("size = 1").select("phrase", key, F.size("positions").cast("long").alias("f"), "n_tokens")
     if all(len(p) == 1 for p in wanted):
         return found

@@ -351,6 +351,8 @@ class Store:
     def search(self, query: str, k: int = 8, narrowed: Filter | None = None, vector: list[float] | None = None) -> DataFrame:
         """``position, score, similarity, path, start_line, end_line, text, chunk_id``."""
         g = self.generation()
+        if vector is not None and len(vector) != embedding.load(g.model).dim:
+            raise ValueError(f"the store's vectors have {embedding.load(g.model).dim} numbers, not {len(vector)}")
         drop = lambda name: self.table(name, g).drop("file_id")
         return fusion.search(self.files(g), self.table("chunks", g), drop("vectors"), drop("postings"), self._totals(g), query, vector or self.query_vector(query), max(k, 0), narrowed)
 
