@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import scalars
 from siltstone.functions.filters import Filter, allowed_chunks, languages, listed_paths, matching_files
 from siltstone.operators import change, chunking, fusion, incremental, keyword, stored, vectors
-from siltstone.plans.tables import own_folder, stage, table
+from siltstone.plans.tables import once, own_folder, stage, table
 from siltstone.streaming import sessions
 
 QUERIES, SQL = {}, {}
@@ -212,24 +212,20 @@ def shard_sizes(spark, d):
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-_BUILT: dict[tuple, tuple] = {}
-
-
 def _index(spark, d) -> tuple[stored.Index, list[float]]:
     """The store's index, built once for a session and data directory, and the vector that queries ask with: that of the smallest id."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
+
+    def build():
         index = stored.build(table(spark, d, "chunks"), table(spark, d, "vectors"))
         first = index.vectors.orderBy("chunk_id").select("embedding").first()
-        _BUILT[key] = index, first["embedding"] if first else []
-    return _BUILT[key]
+        return index, first["embedding"] if first else []
+
+    return once(spark, ("index", d), build)
 
 
 def _documents(spark, d) -> stored.Index:
-    key = (spark.sparkContext.applicationId, d, "documents")
-    if key not in _BUILT:
-        _BUILT[key] = (stored.build(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), key="doc_id"),)
-    return _BUILT[key][0]
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return once(spark, ("documents", d), lambda: stored.build(texts, key="doc_id"))
 
 
 _VECS = "v AS (SELECT chunk_id, any_value(embedding) AS embedding FROM vectors WHERE embedding IS NOT NULL GROUP BY chunk_id), q AS (SELECT embedding AS e FROM v ORDER BY chunk_id LIMIT 1)"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import scalars
 from siltstone.functions.filters import Filter
 from siltstone.operators.queries import CHUNK_SQL
-from siltstone.plans.tables import own_folder, table
+from siltstone.plans.tables import once, own_folder, table
 from siltstone.service import Service
 from siltstone.sources import corpus
 from siltstone.sources.fleet import Fleet
@@ -29,7 +29,6 @@ from siltstone.sources.markup_text import extract
 from siltstone.sources.store import Store
 
 QUERIES, SQL = {}, {}
-_MADE: dict[tuple, object] = {}
 
 
 def query(sql: str | None = None):
@@ -44,14 +43,7 @@ def query(sql: str | None = None):
 
 def _once(make):
     """Made once for a session and data directory."""
-
-    def get(spark: SparkSession, d: str):
-        key = (make.__name__, spark.sparkContext.applicationId, d)
-        if key not in _MADE:
-            _MADE[key] = make(spark, d)
-        return _MADE[key]
-
-    return get
+    return lambda spark, d: once(spark, (make.__name__, d), lambda: make(spark, d))
 
 
 def _local(spark: SparkSession, name: str) -> str:

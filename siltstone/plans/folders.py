@@ -25,6 +25,11 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at, _ = _fs(spark, path)
+    return fs.exists(at)
+
+
 def read(spark: SparkSession, path: str) -> str:
     """A small text file."""
     fs, at, _ = _fs(spark, path)

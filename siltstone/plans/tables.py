@@ -41,6 +41,18 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_KEPT: dict[tuple, tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """What ``make()`` gives, made once for a session, and again if the shared folder was emptied since."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT or not folders.exists(spark, _KEPT[full][0]):
+        mark = own_folder(spark, "mark")
+        _KEPT[full] = mark, make()
+    return _KEPT[full][1]
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -1,7 +1,7 @@
 """Files below some directories as a table, and changes to them as a stream.
 
 Hidden names, the store's own directory and what ``.gitignore`` files exclude (nested, with
-negation, also outside repositories) are left out. The driver lists names only; executors read
+negation, also outside repositories), a repository's own excludes and the user's are left out. The driver lists names only; executors read
 the contents, so bytes never pass through the driver.
 """
 
@@ -77,15 +77,33 @@ def _ignored(path: str, is_dir: bool, rules: list[Ignore]) -> bool:
     return False
 
 
-def _rules_at(directory: str) -> list[Ignore]:
-    path = os.path.join(directory, ".gitignore")
+def _rules_of(path: str, base: str) -> list[Ignore]:
     try:
         with open(path, encoding="utf-8", errors="replace") as f:
-            return [Ignore(directory, f)]
+            return [Ignore(base, f)]
     except OSError:
         return []
 
 
+def _rules_at(directory: str) -> list[Ignore]:
+    """What a directory's own file excludes, and before it, as it counts less, what its repository excludes for this clone alone."""
+    return _rules_of(os.path.join(directory, ".git", "info", "exclude"), directory) + _rules_of(os.path.join(directory, ".gitignore"), directory)
+
+
+def _rules_of_user(base: str) -> list[Ignore]:
+    """The user's excludes: the file that ``~/.gitconfig`` names, else the usual one."""
+    home = os.path.expanduser("~")
+    named = os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config"), "git", "ignore")
+    try:
+        with open(os.path.join(home, ".gitconfig"), encoding="utf-8", errors="replace") as f:
+            for line in f:
+                if m := re.match(r"\s*excludesfile\s*=\s*(.+?)\s*$", line, re.I):
+                    named = os.path.expanduser(m.group(1).strip('"'))
+    except OSError:
+        pass
+    return _rules_of(named, base)
+
+
 def walk(roots: Iterable[str]) -> Iterator[str]:
     """Real paths of regular files below the roots, each once. A root that is a file is given as such."""
     seen: set[str] = set()
@@ -97,7 +115,7 @@ def walk(roots: Iterable[str]) -> Iterator[str]:
             if at == os.path.dirname(at):
                 break
             at = os.path.dirname(at)
-        todo = [(top, above)]
+        todo = [(top, _rules_of_user(top) + above)]
         while todo:
             path, rules = todo.pop()
             if os.path.isfile(path):

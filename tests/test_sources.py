@@ -103,6 +103,16 @@ def test_walk(tmp_path):
     assert found == {"a.md", "sub/keep.log", "sub/deep/top.txt"}
 
 
+def test_excludes_of_repository_and_user(tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    tree(tmp_path, {"c/a.md": "x", "c/a.tmp": "x", "c/keep.tmp": "x", "c/sub/b.bak": "x", "c/sub/b.md": "x", "c/.gitignore": "!keep.tmp\n", "c/.git/info/exclude": "*.bak\n", "home/.config/git/ignore": "*.tmp\n", "home/mine": "b.md\n"})
+    found = lambda: {os.path.relpath(p, os.path.realpath(tmp_path / "c")) for p in corpus.walk([str(tmp_path / "c")])}
+    assert found() == {"a.md", "keep.tmp", "sub/b.md"}
+    (tmp_path / "home" / ".gitconfig").write_text("[core]\n\texcludesFile = ~/mine\n")
+    assert found() == {"a.md", "a.tmp", "keep.tmp"}
+
+
 def test_corpus_source(spark, tmp_path):
     tree(tmp_path, {"a.md": "hello", "empty.md": ""})
     rows = {os.path.basename(r["path"]): r for r in corpus.corpus(spark, [str(tmp_path)], 3).collect()}
