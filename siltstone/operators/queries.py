@@ -268,6 +268,19 @@ def normalize_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 4).alias("norm"), F.round(vectors.norm(vectors.normalized(v)), 4).alias("unit"))
 
 
+_CODE = "list_transform(embedding, lambda x: CASE WHEN m > 0 THEN floor(x::DOUBLE / m * 7 + 0.5) / 7 * m ELSE x::DOUBLE END)"
+
+
+@query(f"""
+WITH {_VECS}, c AS (SELECT chunk_id, {_CODE} AS code FROM (SELECT *, list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE AS m FROM v)), s AS (SELECT chunk_id, {_DOT.format(a='code', b='e')} AS x FROM c, q)
+SELECT chunk_id, round(x, 6) AS similarity, row_number() OVER (ORDER BY round(x, 12) DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20
+""")
+def knn_coded(spark, d):
+    """The same by the stored 4-bit codes alone."""
+    index, asked = _index(spark, d)
+    return vectors.coded_top_k(index.vectors, asked, 20).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"""
 WITH c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE * 7 + 0.5) / 7 * list_max(list_transform(embedding, lambda y: abs(y)))::DOUBLE) AS code FROM embeddings),
 q AS (SELECT vec_id, embedding FROM c WHERE vec_id % 50 = 0),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import keyword
+from siltstone.operators.vectors import packed
 from siltstone.plans.tables import own_folder, stage
 
 SHARD_VECTORS = 65_536
@@ -19,7 +20,7 @@ def shard_of(chunk_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, key, positions, n_tokens, bucket)``, the texts' number and average length, and unique ``vectors(chunk_id, shard, embedding)`` if there are any."""
+    """``postings(term, key, positions, n_tokens, bucket)``, the texts' number and average length, and unique ``vectors(chunk_id, shard, embedding, code)`` if there are any."""
 
     postings: DataFrame
     total: tuple[int, float]
@@ -34,6 +35,6 @@ def build(texts: DataFrame, vectors: DataFrame | None = None, key: str = "chunk_
     kept = None
     if vectors is not None:
         unique = vectors.where("embedding is not null").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
-        unique.withColumn("shard", shard_of(F.col("chunk_id"))).repartition("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("shard").parquet(f"{at}/vectors")
+        packed(unique).withColumn("shard", shard_of(F.col("chunk_id"))).repartition("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("shard").parquet(f"{at}/vectors")
         kept = spark.read.parquet(f"{at}/vectors").withColumn("shard", F.col("shard").cast("long"))
     return Index(spark.read.parquet(f"{at}/postings"), keyword.totals(keyword.lengths(words, key)), kept)

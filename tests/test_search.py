@@ -117,3 +117,19 @@ def test_change_detection(spark):
     batch = spark.createDataFrame([("/c",), ("/d",), ("/e",)], "path string")
     assert {r[0] for r in change.admissible(batch, listing, files).collect()} == {"/c", "/d"}
     assert change.store_stats(files, spark.createDataFrame([(1, 1)], "chunk_id long, file_id long")).first()["bytes"] == 10
+
+
+def test_packed_codes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 5)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 5), (901, None)]
+    df = vectors.packed(spark.createDataFrame(rows, "chunk_id long, embedding array<float>"))
+    assert {len(r["code"]) for r in df.where("code is not null").collect()} == {8 + 3}
+    q = x[7].tolist()
+    top = np.abs(x.astype(np.float64)).max(1)[:, None]
+    s = (np.floor(x / top * 7 + 0.5) / 7 * top) @ np.array(q)
+    want = sorted(range(300), key=lambda i: (-s[i], i))[:10]
+    assert [r["chunk_id"] for r in vectors.coded_top_k(df, q, 10).orderBy("rank").collect()] == want
+    exact = x.astype(np.float64) @ np.array(q)
+    assert [r["chunk_id"] for r in vectors.coded_top_k(df, q, 3, depth=60).orderBy("rank").collect()] == sorted(range(300), key=lambda i: (-exact[i], i))[:3]
+    assert vectors.coded_top_k(df.limit(0), q, 3).count() == 0
