@@ -39,14 +39,27 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "chunk_
     """``key, similarity, rank`` of the ``k`` vectors with the largest inner product, ties by key.
 
     Keys are unique. ``allowed`` (a table of keys) narrows before the ranking; where both it and the
-    vectors have a ``shard`` that the vectors are stored by, only the shards it names are read. The limit is a heap in each task
-    (TakeOrderedAndProject); only ``k`` rows of each leave it. Null vectors are not searched.
+    vectors have a ``shard`` that the vectors are stored by, only the shards it names are read. A task keeps the best of each
+    Arrow batch, then of all (TakeOrderedAndProject). Null vectors and those of another length are not searched.
     """
     rows = vectors.where(F.col("embedding").isNotNull())
     if allowed is not None:
         keys = [c for c in (key, "shard") if c in rows.columns and c in allowed.columns]
         rows = rows.join(allowed.select(*keys).distinct(), keys, "left_semi")
-    best = rows.select(key, dot(F.col("embedding"), literal(query)).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+    q = np.array(query, np.float64)
+
+    def scan(batches):
+        for b in batches:
+            column = b.column("embedding")
+            fits = np.flatnonzero(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == len(q))
+            if k < 1 or not len(fits):
+                continue
+            x = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q)).astype(np.float64)
+            s = np.einsum("ij,j->i", x, q)  # the same for equal rows, unlike a matrix product
+            keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))  # ties at the edge stay
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(fits[keep])), pa.array(s[keep])], [key, "similarity"])
+
+    best = rows.select(key, "embedding").mapInArrow(scan, f"{key} long, similarity double").orderBy(F.desc("similarity"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))  # k rows
 
 
@@ -136,7 +149,7 @@ def coded_top_k(vectors: DataFrame, query: Sequence[float], k: int, key: str = "
             raw = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
             top = raw[:, :8].copy().view(np.float64)[:, 0]
             x = np.stack([raw[:, 8:] >> 4, raw[:, 8:] & 15], axis=2).reshape(b.num_rows, -1)[:, : len(q)].astype(np.float64) - LEVELS
-            s = (x / LEVELS * top[:, None]) @ q
+            s = np.einsum("ij,j->i", x / LEVELS * top[:, None], q)
             keep = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n]) if len(s) > n else np.arange(len(s))  # ties at the edge stay
             yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keep)), pa.array(s[keep])], [key, "similarity"])
 
