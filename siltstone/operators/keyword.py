@@ -9,20 +9,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from functools import reduce
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.plans.tables import spread
+from siltstone.plans.tables import spread, stage
 
 K1, B = 1.2, 0.75
 #: An idf that is not positive counts as this.
 IDF_FLOOR = 1e-6
 #: Buckets that a stored index is laid out by; a query reads those of its terms.
 BUCKETS = 32
+#: Words of queries that one scan of the texts answers; more are answered by several scans.
+SCAN_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -161,6 +167,143 @@ def bm25_batch(index: DataFrame, total: tuple[int, float], queries: DataFrame, k
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def counted(texts: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``key, n_tokens, terms, times``: the words of each text once, with how often it holds them."""
+
+    def count(batches):
+        for b in batches:
+            sizes, terms, times, ends = [], [], [], [0]
+            for t in b.column("text").to_pylist():
+                words = tokens(t)
+                at = Counter(words)
+                sizes.append(len(words))
+                terms += at.keys()
+                times += at.values()
+                ends.append(len(terms))
+            offsets = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))], [key, "n_tokens", "terms", "times"]
+            )
+
+    return spread(texts.select(key, "text")).mapInArrow(count, f"{key} {texts.schema[key].dataType.simpleString()}, n_tokens int, terms array<string>, times array<int>")
+
+
+def known_item_ranks(texts: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """``query_id, rank`` of the text that has the query's own id, where it is among the ``k`` best; ``queries(query_id, term)`` as for :func:`bm25_batch`.
+
+    Only texts that beat a query's own one matter, and its score is known before: a text is looked at if the words of the query that it
+    may hold could reach that score, and nothing about a pair of query and text leaves the scan.
+    """
+    held = stage(counted(texts, key), "counted")
+    total = totals(held)
+    asked = stage(queries.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    blocks = -(-asked.count() // SCAN_WORDS)
+    parts = [_ranks_of(held, total, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k, key) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts) if parts else asked.select("query_id", F.lit(1).alias("rank")).limit(0)
+
+
+def _ranks_of(held: DataFrame, total: tuple[int, float], asked: DataFrame, k: int, key: str) -> DataFrame:
+    """The ranks of one scan's queries, whose words the driver and every task hold."""
+    rows = asked.toArrow()  # SCAN_WORDS or so
+    if not rows.num_rows:
+        return asked.select("query_id", F.lit(1).alias("rank"))
+    words = pc.unique(rows.column("term"))
+    ids, own_row = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+    term_of = pc.index_in(rows.column("term"), value_set=words).to_numpy().astype(np.int64)
+    codes, n_all, average = np.sort(own_row * len(words) + term_of), total[0], total[1] or 1.0
+
+    def entries(b):
+        """Of a batch the place, word, count and saturation of what queries ask for."""
+        terms, times = b.column("terms"), b.column("times")
+        term = pc.index_in(terms.flatten(), value_set=words)
+        kept = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+        at = np.repeat(np.arange(b.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[kept]
+        f, n = times.flatten().to_numpy(zero_copy_only=False)[kept].astype(np.float64), b.column("n_tokens").to_numpy(zero_copy_only=False)[at]
+        return at, term.fill_null(-1).to_numpy(zero_copy_only=False)[kept], f * (K1 + 1) / (f + K1 * (1 - B + B * n / average))
+
+    def about(batches):
+        """How many texts hold each word, the most that it counts in one, and what it counts in the queries' own."""
+        n_in, most, mine = np.zeros(len(words), np.int64), np.zeros(len(words)), []
+        for b in batches:
+            at, term, part = entries(b)
+            n_in += np.bincount(term, minlength=len(words))
+            np.maximum.at(most, term, part)
+            keys = b.column(key).fill_null(-1).to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
+            is_own = ((ids[place] == keys) & b.column(key).is_valid().to_numpy(zero_copy_only=False))[at]
+            code = place[at][is_own] * len(words) + term[is_own]
+            asked_for = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+            mine.append((code[asked_for], part[is_own][asked_for]))
+        seen = np.flatnonzero(n_in)
+        code, part = (np.concatenate(x) for x in zip(*mine, strict=True)) if mine else (np.zeros(0, np.int64), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([-1 - seen, code]), np.concatenate([n_in[seen], np.ones(len(code), np.int64)]), np.concatenate([most[seen], part]))], ["code", "n", "part"])
+
+    told = held.mapInArrow(about, "code long, n long, part double").groupBy("code").agg(F.sum("n").alias("n"), F.max("part").alias("part")).toArrow()
+    code, n, part = (told.column(c).to_numpy() for c in ("code", "n", "part"))
+    n_in, most, of_term = np.zeros(len(words)), np.zeros(len(words)), code < 0
+    n_in[-1 - code[of_term]], most[-1 - code[of_term]] = n[of_term], part[of_term]
+    idf = np.log((n_all - n_in + 0.5) / (n_in + 0.5))
+    idf = np.where(idf > 0, idf, IDF_FLOOR)
+    in_own = dict(zip(code[~of_term].tolist(), part[~of_term].tolist(), strict=True))
+    weight = rows.column("times").to_numpy() * idf[term_of]
+    order = np.lexsort((term_of, own_row))
+    starts = np.searchsorted(own_row[order], np.arange(len(ids) + 1))
+    plans = []  # id, score of the own text, words and weights, the words without which no text reaches that score, and what the others could add to them
+    for q in range(len(ids)):
+        own = order[starts[q] : starts[q + 1]]
+        parts = [in_own.get(q * len(words) + int(t)) for t in term_of[own]]
+        if all(p is None for p in parts):
+            continue
+        score = 0.0
+        for w, p in zip(weight[own].tolist(), parts, strict=True):
+            score += w * (p or 0.0)
+        bound = weight[own] * most[term_of[own]]
+        by = np.argsort(bound, kind="stable")
+        slack = np.cumsum(bound[by]) * (1 + 1e-9) + 1e-8  # rounding and the order of a sum
+        spare = min(int(np.searchsorted(slack, score)), len(own) - 1)
+        plans.append((int(ids[q]), score, list(zip(term_of[own].tolist(), weight[own].tolist(), strict=True)), [(int(term_of[own][i]), float(weight[own][i])) for i in by[spare:]], float(slack[spare - 1]) if spare else 1e-8))
+
+    def better(batches):
+        """How many texts come before the own one, for each query that has such; a task stops counting at ``k``."""
+        found, open_plans = {}, plans
+        for b in batches:
+            at, term, part = entries(b)
+            by = np.argsort(term, kind="stable")
+            at, part = at[by], part[by]
+            ends = np.searchsorted(term[by], np.arange(len(words) + 1)).tolist()
+            keys, sums = b.column(key).to_numpy(), np.zeros(b.num_rows)
+            for own, score, all_words, needed, more in open_plans:
+                some = False
+                for t, w in needed:
+                    lo, hi = ends[t], ends[t + 1]
+                    if lo < hi:
+                        sums[at[lo:hi]] += w * part[lo:hi]
+                        some = True
+                if not some:
+                    continue
+                near = np.flatnonzero(sums >= max(score - more, 1e-300))
+                for t, _ in needed:
+                    sums[at[ends[t] : ends[t + 1]]] = 0.0
+                if not len(near):
+                    continue
+                whole = np.zeros(len(near))
+                for t, w in all_words:  # in the order in which the own one was summed up
+                    lo, hi = ends[t], ends[t + 1]
+                    if lo < hi:
+                        place = np.minimum(lo + np.searchsorted(at[lo:hi], near), hi - 1)
+                        whole += np.where(at[place] == near, w * part[place], 0.0)
+                whole, least = np.round(whole, 9), np.round(score, 9)
+                n = int(((whole > least) | ((whole == least) & (keys[near] < own))).sum())
+                if n:
+                    found[own] = found.get(own, 0) + n
+            open_plans = [p for p in open_plans if found.get(p[0], 0) < k]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["query_id", "n"])
+
+    before = held.where(F.col(key).isNotNull()).mapInArrow(better, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+    known = held.sparkSession.createDataFrame(pa.table({"query_id": pa.array([p[0] for p in plans], pa.int64())}))
+    return known.join(before, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("rank")).where(F.col("rank") <= k)
+
+
 def keyword_top(scores: DataFrame, k: int, key: str = "chunk_id", digits: int = 9) -> DataFrame:
     """``key, score, rank`` of the ``k`` best. Scores are rounded first, so that the order of summation decides no tie."""
     best = scores.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), key).limit(k)

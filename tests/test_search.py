@@ -46,6 +46,22 @@ def test_batch_agrees_with_single(spark, index):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in got)
 
 
+@pytest.mark.parametrize("scan", [500_000, 150])
+def test_known_items_rank_as_the_batch_has_them(spark, monkeypatch, scan):
+    """Also over several scans, with copies (the smaller id comes first), more than k better texts and a text without an id."""
+    monkeypatch.setattr(keyword, "SCAN_WORDS", scan)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(3, 60)) % 40)) for i in range(120)]
+    rows += [(i + 200, t) for i, t in rows[:60]] + [(500, ""), (None, "w1 w2"), (501, "w1 " * 40 + "pad " * 400)]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, w) for i, t in rows if i is not None for w in t.split()[:4]], "query_id long, term string")
+    words = keyword.tokenized(texts)
+    best = keyword.bm25_batch(keyword.postings(words), keyword.totals(keyword.lengths(words)), asked, 10).where("chunk_id = query_id")
+    want = {(r["query_id"], r["rank"]) for r in best.collect()}
+    ranks = {(r["query_id"], r["rank"]) for r in keyword.known_item_ranks(texts, asked, 10).collect()}
+    assert ranks == want and 10 < len(want) < len({i for i, _ in rows}) - 2
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((50, 8)).astype(np.float32)
