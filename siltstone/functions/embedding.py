@@ -72,6 +72,12 @@ def load(name: str) -> Embedder:
     return _REGISTRY[name]()
 
 
+def maker(name: str) -> Callable[[], Embedder]:
+    """What makes a model where it is used, for the tasks of a pass."""
+    load(name)
+    return _REGISTRY[name]
+
+
 def embedded(text: Column, name: str) -> Column:
     """Vectors of texts; the model is loaded once in each Python worker and sees Arrow batches."""
     make = _REGISTRY[name]

@@ -7,15 +7,18 @@ which of them may be found.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
-from collections import Counter
-from functools import reduce
+from collections import Counter, defaultdict
+from functools import lru_cache, reduce
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +88,7 @@ def postings(words: DataFrame, key: str = "chunk_id") -> DataFrame:
     return words.mapInArrow(invert, f"term string, {key} {words.schema[key].dataType.simpleString()}, positions array<int>, n_tokens int")
 
 
+@lru_cache(1 << 17)
 def bucket(term: str) -> int:
     return crc32(term.encode()) % BUCKETS
 
@@ -95,6 +99,63 @@ def write_postings(index: DataFrame, path: str) -> None:
     rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def write_words(texts: DataFrame, postings_at: str, lengths_at: str, ids: list[str]) -> None:
+    """Write what :func:`write_postings` writes, and ``ids, n_tokens`` of ``texts(ids, text)``, into folders that all executors mount.
+
+    Postings pass from task to task as one block for each bucket and batch of texts, sorted where they are made, and never as rows.
+    ``ids`` are longs, the first of them the key.
+    """
+
+    def invert(batches):
+        for b in batches:
+            words = [tokens(t) for t in b.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int32, len(words))
+            flat = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
+            terms = flat.dictionary.to_pylist()
+            of_term = np.fromiter(map(bucket, terms), np.int64, len(terms))
+            order = np.array(sorted(range(len(terms)), key=lambda i: (of_term[i], terms[i])), np.int64)
+            rank = np.empty(len(terms), np.int64)
+            rank[order] = np.arange(len(terms))
+            code, row = rank[flat.indices.to_numpy()], np.repeat(np.arange(len(words)), sizes)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            by = np.argsort(code, kind="stable")  # rows and places stay in order within a term
+            code, row, place = code[by], row[by], place[by].astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.zeros(0, np.int64)
+            own = [b.column(c).to_numpy() for c in ids]
+            rows = pa.RecordBatch.from_arrays(
+                [flat.dictionary.take(pa.array(order[code[starts]])), *(pa.array(x[row[starts]]) for x in own), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)], pa.int32()), pa.array(place)), pa.array(sizes[row[starts]])],
+                ["term", *ids, "positions", "n_tokens"],
+            )
+            ends = np.searchsorted(of_term[order][code[starts]], np.arange(BUCKETS + 1))
+            parts = {i: rows.slice(ends[i], ends[i + 1] - ends[i]) for i in range(BUCKETS) if ends[i] < ends[i + 1]}
+            parts[BUCKETS] = pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), pa.array(sizes)], [*ids, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([_block(x) for x in parts.values()], pa.binary())], ["bucket", "block"])
+
+    def write(batches):
+        blocks = defaultdict(list)
+        for b in batches:
+            for i, x in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
+                blocks[i].append(pa.ipc.open_stream(x).read_all())
+        for i, parts in blocks.items():
+            rows = pa.concat_tables(parts)
+            folder = lengths_at if i == BUCKETS else f"{postings_at}/bucket={i}"
+            os.makedirs(folder, exist_ok=True)
+            tmp = f"{folder}/_{uuid4().hex}"
+            pq.write_table(rows if i == BUCKETS else rows.sort_by([("term", "ascending"), (ids[0], "ascending")]), tmp, compression="zstd", row_group_size=1 << 17)
+            os.replace(tmp, f"{folder}/part-{i:05d}.zstd.parquet")  # a task that is repeated replaces it
+        yield pa.RecordBatch.from_arrays([pa.array([len(blocks)], pa.int64())], ["n"])
+
+    made = spread(texts.select(*ids, "text")).mapInArrow(invert, "bucket int, block binary").repartition(BUCKETS + 1, "bucket")
+    made.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+
+
+def _block(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
 def of_query(index: DataFrame, query: str) -> DataFrame:
     """The postings of a query's terms; of a stored index only their buckets are read."""
     terms = sorted({t for p in phrases(query) for t in p})

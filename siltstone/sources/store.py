@@ -17,11 +17,14 @@ import shutil
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, nullcontext
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,8 @@ from siltstone.functions import embedding, scalars
 from siltstone.functions.filters import Filter, matching_files
 from siltstone.operators import chunking, fusion, keyword
 from siltstone.operators.stored import shard_of
-from siltstone.plans.tables import stage
+from siltstone.plans import folders
+from siltstone.plans.tables import own_folder, stage
 from siltstone.sources import corpus
 from siltstone.sources.markup_text import extract
 
@@ -41,6 +45,8 @@ CHUNKS = "chunk_id long, file_id long, ord int, start_line int, end_line int, te
 VECTORS = "chunk_id long, file_id long, embedding array<float>, shard long"
 POSTINGS = "term string, chunk_id long, file_id long, positions array<int>, n_tokens int, bucket int"
 LENGTHS = "chunk_id long, file_id long, n_tokens int"
+#: What one pass over files makes of them before they are numbered.
+CUT = "part int, file_no long, chunk_no long, path string, hash string, bytes long, ord int, start_line int, end_line int, text string, embedding array<float>"
 SEGMENT_TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
 #: What the files of a table are laid out by.
 LAID_OUT_BY = {"vectors": "shard", "postings": "bucket"}
@@ -233,8 +239,9 @@ class Store:
                     report.remaining = total - at
                     break
                 end = at + max(1, min(size, SLICE_FILES))
-                g = self._commit(g, todo.where((F.col("n") >= at) & (F.col("n") < end)).drop("n"), report)
-                at = min(end, total)
+                end = min(end, total)
+                g = self._commit(g, todo.where((F.col("n") >= at) & (F.col("n") < end)).drop("n"), end - at, report)
+                at = end
                 if progress is not None:
                     progress(scalars.progress(at, total, report.chunks, time.monotonic() - working))
             if report.remaining:
@@ -246,33 +253,47 @@ class Store:
                     g = self._write_files(g, self.files(g).join(lost, "path", "left_anti"), g.segments, g.next_file_id, g.next_chunk_id)
         return report
 
-    def _commit(self, g: Generation, part: DataFrame, report: IndexReport) -> Generation:
-        """Read, chunk and embed some files and publish them with the ones they replace gone."""
-
-        @F.pandas_udf("string")
-        def text_of(path: pd.Series, content: pd.Series) -> pd.Series:
-            return pd.Series([extract(p, c) for p, c in zip(path, content, strict=True)])
-
-        read = corpus.read_paths(self.spark, part).select("path", text_of("path", "content").alias("text"))
-        cut = read.select("path", F.explode(chunking.chunk_column(F.col("text"))).alias("c")).select("path", "c.*")
-        cut = stage(cut, "cut")
-        done = _numbered(cut.select("path").distinct(), "file_id", g.next_file_id)
-        rows = _numbered(cut.join(done, "path"), "chunk_id", g.next_chunk_id)
-        n_files, n_chunks = done.count(), rows.count()
-        report.indexed += n_files
-        report.chunks += n_chunks
-        report.skipped += part.count() - n_files
-        if not n_files:
-            return g
-        segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-        at = os.path.join(self.root, segment)
-        rows.select("chunk_id", "file_id", "ord", "start_line", "end_line", "text").write.parquet(f"{at}/chunks")
-        kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
-        kept.select("chunk_id", "file_id", embedding.embedded(F.col("text"), g.model).alias("embedding"), shard_of(F.col("chunk_id")).alias("shard")).write.partitionBy("shard").parquet(f"{at}/vectors")
-        self._write_words(at)
-        new = done.join(part, "path").select("file_id", "path", "hash", "bytes", F.current_timestamp().alias("indexed_at"))
-        old = self.files(g).join(new.select("path"), "path", "left_anti").select("file_id", "path", "hash", "bytes", "indexed_at")
-        return self._write_files(g, old.unionByName(new), (*g.segments, segment), g.next_file_id + n_files, g.next_chunk_id + n_chunks)
+    def _commit(self, g: Generation, part: DataFrame, size: int, report: IndexReport) -> Generation:
+        """Read, chunk and embed the ``size`` files of ``part`` and publish them with the ones they replace gone.
+
+        One pass reads, cuts and embeds and numbers files and chunks within its tasks; the numbers of the
+        tasks before are added when that is known. What is then written from it is written at the same time.
+        """
+        folder = own_folder(self.spark, "cut")
+        try:
+            _cut(part, embedding.maker(g.model)).write.parquet(f"{folder}/rows")
+            cut = self.spark.read.schema(CUT).parquet(f"{folder}/rows")
+            sizes = {r["part"]: (r["files"], r["chunks"]) for r in cut.groupBy("part").agg((F.max("file_no") + 1).alias("files"), (F.max("chunk_no") + 1).alias("chunks")).collect()}  # a row for each task
+            n_files, n_chunks = (sum(x[i] for x in sizes.values()) for i in (0, 1))
+            report.indexed += n_files
+            report.chunks += n_chunks
+            report.skipped += size - n_files
+            if not n_files:
+                return g
+            before, file_id, chunk_id = [], g.next_file_id, g.next_chunk_id
+            for p in range(max(sizes) + 1):
+                before.append((file_id, chunk_id))
+                file_id, chunk_id = file_id + sizes.get(p, (0, 0))[0], chunk_id + sizes.get(p, (0, 0))[1]
+            base = lambda i: F.array(*(F.lit(b[i]).cast("long") for b in before))[F.col("part")]
+            rows = cut.withColumn("file_id", base(0) + F.col("file_no")).withColumn("chunk_id", base(1) + F.col("chunk_no"))
+            segment = f"segments/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            at = os.path.join(self.root, segment)
+
+            def texts() -> None:
+                rows.select("chunk_id", "file_id", "ord", "start_line", "end_line", "text").write.option("compression", "zstd").parquet(f"{at}/chunks")
+                self._write_words(at)
+
+            def vectors() -> None:
+                rows.select("chunk_id", "file_id", "embedding", shard_of(F.col("chunk_id")).alias("shard")).write.option("compression", "zstd").partitionBy("shard").parquet(f"{at}/vectors")
+
+            with ThreadPoolExecutor(2) as pool:
+                for done in [pool.submit(texts), pool.submit(vectors)]:
+                    done.result()
+            new = rows.where("ord = 0").select("file_id", "path", "hash", "bytes", F.current_timestamp().alias("indexed_at"))
+            old = self.files(g).join(F.broadcast(new.select("path")), "path", "left_anti").select("file_id", "path", "hash", "bytes", "indexed_at")  # SLICE_FILES paths at most
+            return self._write_files(g, old.unionByName(new), (*g.segments, segment), g.next_file_id + n_files, g.next_chunk_id + n_chunks)
+        finally:
+            folders.remove(self.spark, folder)
 
     def _write_files(self, g: Generation, files: DataFrame, segments: tuple[str, ...], next_file: int, next_chunk: int) -> Generation:
         name = f"files/{g.number + 1:012d}-{uuid.uuid4().hex[:8]}"
@@ -314,10 +335,12 @@ class Store:
             return mended
 
     def _write_words(self, at: str) -> None:
-        kept = self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")
-        words, ids = stage(keyword.tokenized(kept), "words"), kept.select("chunk_id", "file_id")
-        keyword.write_postings(keyword.postings(words).join(ids, "chunk_id").select("term", "chunk_id", "file_id", "positions", "n_tokens"), f"{at}/postings")
-        keyword.lengths(words).join(ids, "chunk_id").select("chunk_id", "file_id", "n_tokens").write.mode("overwrite").parquet(f"{at}/lengths")
+        for name in ("postings", "lengths"):
+            shutil.rmtree(f"{at}/{name}", ignore_errors=True)
+            os.makedirs(f"{at}/{name}")
+        keyword.write_words(self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks"), f"{at}/postings", f"{at}/lengths", ["chunk_id", "file_id"])
+        for name in ("postings", "lengths"):
+            open(f"{at}/{name}/_SUCCESS", "wb").close()  # noqa: SIM115
 
     # ---- reading
 
@@ -363,6 +386,37 @@ class Store:
         return self._known_totals[g.number]
 
 
+def _cut(part: DataFrame, make: Callable[[], embedding.Embedder]) -> DataFrame:
+    """The chunks of the files of ``part``, embedded; files and chunks have the task's number and their own within it."""
+    names = [c.split()[0] for c in CUT.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def cut(batches):
+        task, model, n_files, n_chunks, held, rows = TaskContext.get().partitionId(), make(), 0, 0, 0, []
+
+        def batch() -> pa.RecordBatch:
+            x = model.embed([r[-1] for r in rows])
+            embedded = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float32()))
+            return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), embedded], names)
+
+        for b in batches:
+            for path, size, digest in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "hash")), strict=True):
+                text = extract(path, corpus.read_file(path)[3])
+                found = chunking.chunks_of(text) if text is not None else []
+                for i, (first, last, body) in enumerate(found):
+                    rows.append((task, n_files, n_chunks, path, digest, size, i, first, last, body))
+                    n_chunks += 1
+                    held += len(body)
+                n_files += bool(found)
+                if held >= corpus.BATCH_BYTES:
+                    yield batch()
+                    held, rows = 0, []
+        if rows:
+            yield batch()
+
+    return part.select("path", "bytes", "hash").repartition(part.sparkSession.sparkContext.defaultParallelism).mapInArrow(cut, CUT)
+
+
 def _numbered(df: DataFrame, name: str, start: int) -> DataFrame:
     """Adds consecutive ids from ``start``: places within the partitions of a written table, behind the rows of those before."""
     rows = stage(df.withColumn("_m", F.monotonically_increasing_id()), "numbered")

@@ -105,6 +105,30 @@ def test_budget_leaves_the_rest(spark, tmp_path, monkeypatch):
     assert s.index([str(tmp_path / "c")]).indexed == r.remaining and s.stats()["files"] == 5
 
 
+def test_commits_leave_nothing_behind_and_number_without_gaps(spark, tmp_path, monkeypatch):
+    """Over several commits and tasks; index and lengths are those of the chunks."""
+    from siltstone.operators import keyword
+
+    monkeypatch.setattr("siltstone.sources.store.FIRST_FILES", 7)
+    monkeypatch.setattr("siltstone.sources.store.SLICE_FILES", 9)
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    kinds = lambda: sorted(n.partition("-")[0] for n in os.listdir(shared) if n.partition("-")[0] in ("cut", "words"))
+    before = kinds()
+    write(tmp_path / "c", **{f"n{i}": f"Note {i} notes Ärger_{i % 3} \n" * (1 + 12 * (i % 5)) for i in range(20)}, blank=" \n")
+    s = Store(spark, str(tmp_path / "s"))
+    r = s.index([str(tmp_path / "c")])
+    assert (r.scanned, r.indexed, r.skipped) == (21, 20, 1) and kinds() == before
+    chunks = s.table("chunks")
+    assert sorted(c["chunk_id"] for c in chunks.collect()) == list(range(1, r.chunks + 1)) and len(s) == r.chunks > 20
+    assert sorted(f["file_id"] for f in s.files().collect()) == list(range(1, 21))
+    rows = lambda df, *cols: sorted(map(str, df.select(*cols).collect()))
+    words = keyword.tokenized(chunks)
+    own = ("term", "chunk_id", "positions", "n_tokens")
+    assert rows(s.table("postings"), *own) == rows(keyword.postings(words), *own)
+    assert {(p["term"], p["bucket"]) for p in s.table("postings").collect()} == {(t, keyword.bucket(t)) for t in {p["term"] for p in s.table("postings").collect()}}
+    assert rows(s.table("lengths"), "chunk_id", "n_tokens") == rows(keyword.lengths(words), "chunk_id", "n_tokens")
+
+
 def test_fleet_service_and_cli(spark, tmp_path, capsys):
     for name, text in (("bread", "sourdough starter and retry\n"), ("rust", "ownership and borrowing retry\n")):
         write(tmp_path / name, **{name: text})
