@@ -129,6 +129,25 @@ def test_commits_leave_nothing_behind_and_number_without_gaps(spark, tmp_path, m
     assert rows(s.table("lengths"), "chunk_id", "n_tokens") == rows(keyword.lengths(words), "chunk_id", "n_tokens")
 
 
+def test_words_are_hashed_once(monkeypatch):
+    """And vectors are those of a sum word by word."""
+    import hashlib
+
+    import numpy as np
+
+    asked, md5 = [], hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda b: asked.append(b) or md5(b))
+    texts = ["once zyx zyx wvu", "", "?!", "wvu zyx once once once tsr"] * 5
+    got = embedding.HashEmbedder(16).embed(texts)
+    assert sorted(asked) == [b"once", b"tsr", b"wvu", b"zyx"]
+    want = np.zeros((len(texts), 16), np.float32)
+    for i, t in enumerate(texts):
+        for w in t.split() if i % 4 != 2 else ():
+            h = md5(w.encode()).digest()
+            want[i, int.from_bytes(h[:8], "big") % 16] += 1 if h[8] & 1 else -1
+    assert (got == embedding.unit(want)).all() and got.dtype == np.float32 and embedding.HashEmbedder(16).embed([]).shape == (0, 16)
+
+
 def test_fleet_service_and_cli(spark, tmp_path, capsys):
     for name, text in (("bread", "sourdough starter and retry\n"), ("rust", "ownership and borrowing retry\n")):
         write(tmp_path / name, **{name: text})
