@@ -55,6 +55,9 @@ SLICE_FILES, SLICE_SECONDS = 10_000, 30.0
 #: Files of the first commit of a run, which tells the pace.
 FIRST_FILES = 500
 
+#: Ids of files that are broadcast at most.
+SENT_FILES = 500_000
+
 
 @dataclass(frozen=True)
 class Generation:
@@ -180,7 +183,11 @@ class Store:
             rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p) for p in paths])
         else:
             rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows.join(self.files(g).select("file_id"), "file_id", "left_semi")
+        return rows.join(self.sent_whole(self.files(g).select("file_id"), g), "file_id", "left_semi")
+
+    def sent_whole(self, files: DataFrame, g: Generation | None = None) -> DataFrame:
+        """Rows of files, of an id and another number at most, as the small side of a join if so few were ever indexed: texts, vectors and postings stay where they are then."""
+        return F.broadcast(files) if (g or self.generation()).next_file_id <= SENT_FILES else files
 
     # ---- indexing
 

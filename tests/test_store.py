@@ -148,6 +148,25 @@ def test_words_are_hashed_once(monkeypatch):
     assert (got == embedding.unit(want)).all() and got.dtype == np.float32 and embedding.HashEmbedder(16).embed([]).shape == (0, 16)
 
 
+@pytest.mark.parametrize(("most", "how"), [(500_000, "BroadcastHashJoin"), (3, "SortMergeJoin")])
+def test_live_rows_stay_where_they_are(spark, tmp_path, monkeypatch, most, how):
+    """Where only few files were ever indexed; else they are joined by a shuffle."""
+    monkeypatch.setattr("siltstone.sources.store.SENT_FILES", most)
+    write(tmp_path / "c", **{f"n{i}": f"note {i}\n" for i in range(5)})
+    s = Store(spark, str(tmp_path / "s"))
+    s.index([str(tmp_path / "c")])
+    assert s.forget(str(tmp_path / "c" / "n3.md")) == 1
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("chunks", "postings"):
+            rows = s.table(name)
+            assert rows.select("chunk_id").distinct().count() == 4
+            assert how in rows._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_fleet_service_and_cli(spark, tmp_path, capsys):
     for name, text in (("bread", "sourdough starter and retry\n"), ("rust", "ownership and borrowing retry\n")):
         write(tmp_path / name, **{name: text})
