@@ -250,7 +250,7 @@ def store_files(spark, d):
 def store_chunks(spark, d):
     """The live chunks after both runs."""
     store = _store(spark, d)[0]
-    return store.table("chunks").join(store.files().select("file_id", _doc_id().alias("doc_id")), "file_id").select("doc_id", "ord", "start_line", "end_line", "text")
+    return store.table("chunks").join(store.sent_whole(store.files().select("file_id", _doc_id().alias("doc_id"))), "file_id").select("doc_id", "ord", "start_line", "end_line", "text")
 
 
 _WORDS_OF = r"""regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"""

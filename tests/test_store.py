@@ -167,6 +167,19 @@ def test_live_rows_stay_where_they_are(spark, tmp_path, monkeypatch, most, how):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_texts_of_the_store_are_not_shuffled(spark):
+    import __spark_entry__
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = __spark_entry__.queries()["store_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
 def test_fleet_service_and_cli(spark, tmp_path, capsys):
     for name, text in (("bread", "sourdough starter and retry\n"), ("rust", "ownership and borrowing retry\n")):
         write(tmp_path / name, **{name: text})
