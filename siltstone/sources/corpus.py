@@ -115,11 +115,11 @@ def walk(roots: Iterable[str]) -> Iterator[str]:
             if at == os.path.dirname(at):
                 break
             at = os.path.dirname(at)
-        todo = [(top, _rules_of_user(top) + above)]
+        todo = [(top, _rules_of_user(top) + above, False)]
         while todo:
-            path, rules = todo.pop()
-            if os.path.isfile(path):
-                real = os.path.realpath(path)
+            path, rules, plain = todo.pop()  # plain: a file and no link, below real directories only
+            if plain or os.path.isfile(path):
+                real = path if plain else os.path.realpath(path)
                 if real not in seen:
                     seen.add(real)
                     yield real
@@ -134,7 +134,7 @@ def walk(roots: Iterable[str]) -> Iterator[str]:
                     continue
                 is_dir = e.is_dir(follow_symlinks=False)
                 if (is_dir or e.is_file()) and not _ignored(e.path, is_dir, rules):
-                    todo.append((e.path, rules))
+                    todo.append((e.path, rules, e.is_file(follow_symlinks=False)))
 
 
 def read_file(path: str) -> tuple[str, int | None, str | None, bytes | None]:
@@ -150,8 +150,8 @@ def read_file(path: str) -> tuple[str, int | None, str | None, bytes | None]:
         return path, None, None, None
 
 
-def read_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
-    """The files as Arrow batches of some ``BATCH_BYTES`` of contents."""
+def read_batches(paths: Iterable[str], contents: bool = True) -> Iterator[pa.RecordBatch]:
+    """The files as Arrow batches of some ``BATCH_BYTES`` of contents, which are read but not kept without ``contents``."""
     rows, held = [], 0
 
     def batch() -> pa.RecordBatch:
@@ -159,7 +159,7 @@ def read_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "bytes", "hash", "content"])
 
     for p in paths:
-        rows.append(read_file(p))
+        rows.append(read_file(p) if contents else (*read_file(p)[:3], None))
         held += 1024 + len(rows[-1][3] or b"")
         if held >= BATCH_BYTES:
             yield batch()
@@ -176,6 +176,7 @@ class Paths(InputPartition):
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.roots, self.parts = options["roots"].split(os.pathsep), int(options.get("partitions", 64))
+        self.contents = options.get("contents") != "false"
 
     def partitions(self):
         paths = list(walk(self.roots))
@@ -183,7 +184,7 @@ class CorpusReader(DataSourceReader):
         return [Paths(paths[i::n]) for i in range(n)]
 
     def read(self, partition: Paths):
-        yield from read_batches(partition.paths)
+        yield from read_batches(partition.paths, self.contents)
 
 
 class SnapshotStream(SimpleDataSourceStreamReader):
@@ -270,17 +271,18 @@ class Corpus(DataSource):
         return SnapshotStream(self.options)
 
 
-def corpus(spark: SparkSession, roots: Iterable[str], partitions: int = 64) -> DataFrame:
+def corpus(spark: SparkSession, roots: Iterable[str], partitions: int = 64, contents: bool = True) -> DataFrame:
+    """The files below the roots; without ``contents`` their digests are made where they are read and ``content`` is null."""
     spark.dataSource.register(Corpus)
-    return spark.read.format("corpus").option("roots", os.pathsep.join(roots)).option("partitions", partitions).load()
+    return spark.read.format("corpus").option("roots", os.pathsep.join(roots)).option("partitions", partitions).option("contents", str(contents).lower()).load()
 
 
-def read_paths(spark: SparkSession, paths: DataFrame) -> DataFrame:
+def read_paths(spark: SparkSession, paths: DataFrame, contents: bool = True) -> DataFrame:
     """The files of a table of paths, read by the executors."""
 
     def read(batches):
         for b in batches:
-            yield from read_batches(b.column("path").to_pylist())
+            yield from read_batches(b.column("path").to_pylist(), contents)
 
     return paths.select("path").mapInArrow(read, SCHEMA)
 

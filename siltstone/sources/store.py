@@ -212,13 +212,13 @@ class Store:
         left is counted as remaining, and nothing is swept then.
         """
         roots = list(roots)
-        return self._index(corpus.corpus(self.spark, roots).select("path", "bytes", "hash"), sweep, budget, None, progress, stop)
+        return self._index(corpus.corpus(self.spark, roots, contents=False).select("path", "bytes", "hash"), sweep, budget, None, progress, stop)
 
     def index_changed(self, paths: DataFrame) -> IndexReport:
         """The same for single paths; those that are gone are dropped, nothing else is."""
         recorded = self.files().select("path")
         paths = stage(paths.select("path").distinct(), "changed")
-        seen = corpus.read_paths(self.spark, paths).select("path", "bytes", "hash")
+        seen = corpus.read_paths(self.spark, paths, contents=False).select("path", "bytes", "hash")
         gone = _missing(recorded.join(paths, "path", "left_semi"))
         return self._index(seen.where("bytes is not null"), False, None, gone)
 

@@ -180,6 +180,20 @@ def test_texts_of_the_store_are_not_shuffled(spark):
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
+def test_listing_carries_no_contents(spark, tmp_path, monkeypatch):
+    """Digests and sizes are the same; links to files still count as what they lead to, once."""
+    write(tmp_path / "c" / "sub", a="alpha\n", b="beta\n")
+    (tmp_path / "away.md").write_text("gamma\n")
+    os.symlink(tmp_path / "away.md", tmp_path / "c" / "link.md")
+    os.symlink(tmp_path / "c" / "sub" / "a.md", tmp_path / "c" / "again.md")
+    whole, bare = ({r["path"]: (r["bytes"], r["hash"], r["content"]) for r in corpus.corpus(spark, [str(tmp_path / "c")], contents=c).collect()} for c in (True, False))
+    assert sorted(whole) == [str(tmp_path / x) for x in ("away.md", "c/sub/a.md", "c/sub/b.md")]
+    assert bare == {p: (n, h, None) for p, (n, h, _) in whole.items()} and all(c for _, _, c in whole.values())
+    asked, real = [], os.path.realpath
+    monkeypatch.setattr(os.path, "realpath", lambda p, **k: asked.append(str(p)) or real(p, **k))
+    assert sorted(corpus.walk([str(tmp_path / "c")])) == sorted(whole) and len(asked) == 3  # the root and both links
+
+
 def test_fleet_service_and_cli(spark, tmp_path, capsys):
     for name, text in (("bread", "sourdough starter and retry\n"), ("rust", "ownership and borrowing retry\n")):
         write(tmp_path / name, **{name: text})
